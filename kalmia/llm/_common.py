@@ -8,14 +8,18 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from kalmia.runtime import ship_package
 
 #: Rows in one Arrow batch: documents are large, so batches are short.
 ARROW_ROWS = 512
 
 
 def prepare(spark: SparkSession) -> None:
-    """Arrow batches that hold few rows, so that a worker's memory is bounded by bytes of text."""
+    """Arrow batches that hold few rows, so that a worker's memory is bounded; workers that find the package."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    ship_package(spark)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -78,3 +82,15 @@ def text_or_empty(name: str = "text") -> Column:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def map_arrow(df: DataFrame, work, schema: T.StructType) -> DataFrame:
+    """``mapInArrow`` for any column names, dots included."""
+    names, out = df.columns, schema.names
+
+    def renamed(batches):
+        for batch in work(x.rename_columns(names) for x in batches):
+            yield batch.rename_columns([f"c{i}" for i in range(len(out))])
+
+    plain = T.StructType([T.StructField(f"c{i}", f.dataType, f.nullable) for i, f in enumerate(schema.fields)])
+    return df.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(renamed, plain).toDF(*out)

@@ -48,7 +48,7 @@ GENERATORS = (
     ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20(?:at|AT)\x20[A-Za-z0-9-]{1,63}(?:\x20(?:dot|DOT)\x20[A-Za-z0-9-]{1,63}){1,6}(?![A-Za-z0-9])"),
 )
 #: A text that no generator can match has nothing of this.
-ANY_HINT = r"[0-9]{3}|[\[({]\x20?(?:at|AT|@)\x20?[\])}]|\x20(?:dot|DOT)\x20"
+ANY_HINT = r"[0-9]{3}|[\[({]\x20?(?:at|AT|@|dot|\.)\x20?[\])}]|\x20(?:dot|DOT)\x20"
 #: Words before a span that speak for its kind, and words that speak against any.
 FOR = {
     "email": r"(?i)mail|contact|write|reach|correo|courriel|kontakt|schreib|escrib|écri",

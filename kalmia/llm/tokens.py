@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from kalmia.llm._common import prepare, without
+from kalmia.llm._common import map_arrow, prepare, without
 
 #: The vocabulary of the production queries.
 VOCABULARY = "byte_bpe_50k.json"
@@ -108,7 +108,7 @@ def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, limit: int = 512
                 names=[*names, "n_bytes", "n_tokens", "over_limit"],
             )
 
-    return docs.mapInArrow(count, schema)
+    return map_arrow(docs, count, schema)
 
 
 def query(docs: DataFrame) -> DataFrame:

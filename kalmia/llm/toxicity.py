@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kalmia.llm._common import prepare, without
+from kalmia.llm._common import map_arrow, prepare, without
 
 #: Bounds of the samples that training reads.
 MAX_POSITIVE, MAX_UNLABELLED, MAX_CALIBRATION = 3_000, 9_000, 3_000
@@ -128,7 +128,7 @@ def train_nnpu(p: _Rows, u: _Rows, prior: float, seed: int, steps: int = 300, ra
         grad = np.append(p.pull(gp) + u.pull(gu) + decay * w, gp.sum() + gu.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-        w, b = w - move[:-1], b - move[-1]
+        w, b = np.maximum(w - move[:-1], 0), b - move[-1]  # the features are signs of P
     return w, b
 
 
@@ -143,7 +143,7 @@ def select(p: list[np.ndarray], u: list[np.ndarray], prior: float, most: int = 8
     clean = np.maximum(0, both / max(nu, 1) - prior * a) / (1 - prior)
     spread = np.sqrt(a * (1 - a) / np_ + (clean + 1 / max(nu, 1)) / max(nu, 1))
     z = (a - clean) / np.maximum(spread, 1e-9)
-    ok = np.flatnonzero((n >= 3) & (z > 3) & (a > 3 * (clean + 1 / max(nu, 1))))
+    ok = np.flatnonzero((n >= 3) & (z > 2.5) & (a > 3 * (clean + 1 / max(nu, 1))))
     return np.sort(ids[ok[np.argsort(-z[ok], kind="stable")[:most]]])
 
 
@@ -233,7 +233,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             s = own.scores([x or "" for x in batch.column("text").to_pylist()], cache)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=[*names, "score", "predicted"])
 
-    return docs.mapInArrow(work, schema)
+    return map_arrow(docs, work, schema)
 
 
 def query(docs: DataFrame, labels: DataFrame) -> DataFrame:
