@@ -1,0 +1,742 @@
+"""The detectors, in the order that breaks ties.
+
+Each yields (type, weight, node) for every node that speaks for its pattern; its gate decides, from the
+types found, whether the pattern counts. Weights and gates are fixed values.
+"""
+
+from __future__ import annotations
+
+import ast
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+
+from kalmia.operators.detect import syntax as S
+from kalmia.operators.detect.syntax import LOOP, every
+
+Item = tuple[str, float, ast.AST]
+
+
+@dataclass(frozen=True)
+class Detector:
+    pattern_id: str
+    find: Callable[[ast.AST], Iterator[Item]]
+    gate: Callable[[set[str]], bool]
+    #: Without the gate, confidence is 0 and there is no evidence.
+    strict: bool
+
+
+DETECTORS: list[Detector] = []
+
+
+def detector(pattern_id: str, gate: Callable[[set[str]], bool] = bool, strict: bool = False):
+    def add(find):
+        if any(d.pattern_id == pattern_id for d in DETECTORS):
+            raise ValueError(f"two detectors of {pattern_id}")
+        DETECTORS.append(Detector(pattern_id, find, gate, strict))
+        return find
+
+    return add
+
+
+def some(*wanted: str) -> Callable[[set[str]], bool]:
+    return lambda got: bool(got & set(wanted))
+
+
+@detector("brute_force", some("nested_loops", "recursive_branching"), strict=True)
+def brute_force(tree):
+    for loop in every(tree, *LOOP):
+        if any(isinstance(s, LOOP) for s in loop.body):
+            yield "nested_loops", 0.35, loop
+    for loop in every(tree, ast.For):
+        if S.is_range(loop.iter):
+            yield "range_enumeration", 0.20, loop
+    for test in every(tree, ast.If):
+        if isinstance(test.test, ast.Compare) and any(isinstance(x, ast.Subscript) for x in [test.test.left, *test.test.comparators]):
+            yield "pair_wise_check", 0.25, test
+    for fn in S.functions(tree):
+        calls = len(S.self_calls(fn))
+        if calls >= 2:
+            yield "recursive_branching", 0.20, fn
+        elif calls and any(every(fn, *LOOP)):
+            yield "recursive_branching", 0.25, fn
+
+
+@detector("array_traversal", lambda g: "loop" in g and len(g) > 1, strict=True)
+def array_traversal(tree):
+    for loop in every(tree, ast.For):
+        if S.name(loop.iter) or S.called(loop.iter) in ("range", "enumerate"):
+            yield "loop", 0.35, loop
+    for loop in every(tree, ast.For):
+        if S.name(loop.iter) and {S.name(t) for t in S.targets(loop)} & S.names(loop.body):
+            yield "element_use", 0.30, loop
+            break
+    for sub in every(tree, ast.Subscript):
+        if S.name(sub.value):
+            yield "subscript", 0.35, sub
+            break
+    for a in every(tree, ast.Assign):
+        if any(isinstance(t, ast.Subscript) and S.name(t.value) for t in a.targets):
+            yield "element_update", 0.30, a
+
+
+@detector("sorting")
+def sorting(tree):
+    for call in every(tree, ast.Call):
+        if S.method(call) == "sort":
+            yield "sort_method", 0.40, call
+    for call in every(tree, ast.Call):
+        if S.called(call) == "sorted":
+            yield "sorted_function", 0.40, call
+    for call in every(tree, ast.Call):
+        if any(k.arg == "key" for k in call.keywords):
+            yield "sort_key", 0.20, call
+
+
+@detector("hash_map_lookup", lambda g: {"dict", "membership", "loop"} <= g, strict=True)
+def hash_map_lookup(tree):
+    for a in every(tree, ast.Assign):
+        for t in a.targets:
+            if not S.name(t):
+                continue
+            if (isinstance(a.value, ast.Dict) and not a.value.keys) or S.called(a.value) in ("dict", "set"):
+                yield "dict", 0.25, a
+            elif isinstance(a.value, ast.DictComp):
+                yield "dict", 0.20, a
+    for c in every(tree, ast.Compare):
+        if any(isinstance(o, (ast.In, ast.NotIn)) for o in c.ops):
+            yield "membership", 0.35, c
+    for n in every(tree, *LOOP, *S.COMPREHENSION):
+        yield "loop", (0.20 if isinstance(n, LOOP) else 0.15), n
+
+
+@detector("hash_map_frequency", lambda g: ("increment" in g or ("import" in g and bool(g & {"loop", "constructor"}))), strict=True)
+def hash_map_frequency(tree):
+    for a in every(tree, ast.Assign):
+        for t in a.targets:
+            if S.name(t) and ((isinstance(a.value, ast.Dict) and not a.value.keys) or S.called(a.value) == "dict"):
+                yield "dict", 0.25, a
+    for a in every(tree, ast.Assign):
+        v = a.value
+        if isinstance(v, ast.BinOp) and isinstance(v.op, ast.Add) and S.method(v.left) == "get":
+            for t in a.targets:
+                if isinstance(t, ast.Subscript) and S.name(t.value) and S.name(t.value) == S.receiver(v.left):
+                    yield "increment", 0.35, a
+    for loop in every(tree, ast.For):
+        yield "loop", 0.20, loop
+        break
+    for i in every(tree, ast.ImportFrom):
+        for alias in i.names:
+            if i.module == "collections" and alias.name in ("Counter", "defaultdict"):
+                yield "import", 0.20, i
+    for c in every(tree, ast.Call):
+        if S.called(c) in ("Counter", "defaultdict") and c.args:
+            yield "constructor", 0.30, c
+
+
+@detector("two_pointers_same")
+def two_pointers_same(tree):
+    seen = False
+    for loop in every(tree, ast.While):
+        moves = {k: {x for x in v if x > 0} for k, v in S.steps(loop.body).items()}
+        values = set().union(*moves.values()) if moves else set()
+        if len([k for k in moves if moves[k]]) >= 2 and len(values) >= 2 and values & {1, -1}:
+            seen = True
+            yield "slow_fast", 0.40, loop
+    for loop in every(tree, ast.While):
+        assigned = {n for a in every(loop.body, ast.Assign) for t in a.targets if (n := S.name(t))}
+        if assigned & S.names(loop.test) and len(assigned) >= 2 and (S.has_attr(loop, "next") or not seen):
+            seen = True
+            yield "offset", 0.30, loop
+
+
+@detector("two_pointers_opposite")
+def two_pointers_opposite(tree):
+    for loop in every(tree, ast.While):
+        test = loop.test
+        if not (isinstance(test, ast.Compare) and len(test.ops) == 1 and isinstance(test.ops[0], (ast.Lt, ast.LtE)) and S.name(test.left)):
+            continue
+        right = test.comparators[0]
+        if not isinstance(right, (ast.Name, ast.Call)):
+            continue
+        moves = S.steps(loop.body)
+        up = 1 in moves.get(test.left.id, ())
+        down = any(-1 in v for v in moves.values())
+        if up and down:
+            yield "left_pointer", 0.25, loop
+            if S.name(right):
+                yield "right_pointer", 0.25, loop
+            yield "convergence", 0.40, loop
+
+
+@detector("sliding_window_fixed")
+def sliding_window_fixed(tree):
+    for loop in every(tree, ast.For):
+        var = S.name(loop.target)
+        first = next((s for s in loop.body if isinstance(s, ast.If)), None)
+        if not var or first is None or not any(var in S.names(c) for c in every(first.test, ast.Compare)):
+            continue
+        if any(isinstance(a.op, ast.Sub) for a in every(first.body, ast.AugAssign)):
+            yield "size_check", 0.30, first
+            yield "expand", 0.20, loop
+            yield "shrink", 0.35, first
+
+
+@detector("sliding_window_variable")
+def sliding_window_variable(tree):
+    zeros = {n for a in every(tree, ast.Assign) if S.constant(a.value) == 0 for t in a.targets if (n := S.name(t))}
+    for loop in every(tree, ast.For):
+        left = S.like(zeros, "left", "start", "begin", "lo", "l", "i") & {k for w in S.inner_loops(loop, ast.While) for k, v in S.steps(w.body).items() if 1 in v}
+        if left:
+            yield "shrink", 0.40, loop
+            yield "expand", 0.20, loop
+            yield "validity", 0.30, loop
+        elif (S.is_range(loop.iter) or S.called(loop.iter) == "enumerate") and any(S.name(t) in S.like(zeros, "left", "start") for a in every(loop.body, ast.Assign) for t in a.targets):
+            yield "expand", 0.20, loop
+            yield "shrink", 0.35, loop
+
+
+@detector("prefix_sum")
+def prefix_sum(tree):
+    for loop in every(tree, ast.For):
+        def running(v):
+            return isinstance(v, ast.BinOp) and isinstance(v.op, (ast.Add, ast.Mult, ast.BitXor)) and any(isinstance(x, ast.Subscript) for x in (v.left, v.right))
+
+        built = [a for a in every(loop.body, ast.Assign) if running(a.value) and any(isinstance(t, ast.Subscript) and S.base(t) in S.names(a.value) for t in a.targets)]
+        built += [c for c in every(loop.body, ast.Call) if S.method(c) == "append" and c.args and running(c.args[0]) and S.receiver(c) in S.names(c.args[0])]
+        if built:
+            yield "prefix_array", 0.40, built[0]
+            yield "accumulator", 0.30, loop
+            continue
+        sums = {S.name(a.target) for a in every(loop.body, ast.AugAssign) if isinstance(a.op, ast.Add) and S.name(a.target)}
+        tables = S.containers(tree, "dict", "defaultdict", "Counter")
+        used = [s for s in S.subscripts(loop.body) if S.base(s) in tables and S.names(s.slice) & sums] + [c for c in every(loop.body, ast.Compare) if any(isinstance(o, ast.In) for o in c.ops) and S.names(c) & sums and S.names(c) & tables]
+        if sums and used:
+            yield "running_sum", 0.30, loop
+            yield "sum_table", 0.35, used[0]
+
+
+# Names of search bounds.
+LOW, HIGH = ("left", "lo", "low", "l", "start", "begin"), ("right", "hi", "high", "r", "end")
+
+
+def _bisecting(tree):
+    """Loops that narrow two bounds: (loop, midpoint?, moves a bound?, feasibility call?)."""
+    for loop in every(tree, ast.While):
+        t = loop.test
+        if not (isinstance(t, ast.Compare) and len(t.ops) == 1 and isinstance(t.ops[0], (ast.Lt, ast.LtE)) and S.name(t.left) in LOW and S.name(t.comparators[0]) in HIGH):
+            continue
+        lo, hi = t.left.id, t.comparators[0].id
+        mids = {n for a in every(loop.body, ast.Assign) if {lo, hi} <= S.names(a.value) and any(isinstance(b.op, (ast.FloorDiv, ast.RShift)) for b in every(a.value, ast.BinOp)) for x in a.targets if (n := S.name(x))}
+        moves = any(n in (lo, hi) for a in every(loop.body, ast.Assign) for x in a.targets if (n := S.name(x)))
+        asks = any(S.called(c) and mids & S.names(c.args) for i in every(loop.body, ast.If) for c in every(i.test, ast.Call) if c.args)
+        yield loop, mids, moves, asks, (lo, hi)
+
+
+@detector("binary_search_standard")
+def binary_search_standard(tree):
+    for loop, mids, moves, asks, _ in _bisecting(tree):
+        if mids and moves and any(every(loop.body, ast.If)) and not asks:
+            yield "midpoint", 0.35, loop
+            yield "boundary", 0.25, loop
+            yield "comparison", 0.30, loop
+            yield "loop", 0.20, loop
+
+
+@detector("binary_search_answer")
+def binary_search_answer(tree):
+    for loop, mids, moves, asks, _ in _bisecting(tree):
+        if mids and asks:
+            yield "midpoint", 0.30, loop
+            yield "feasibility", 0.40, loop
+            if moves:
+                yield "boundary", 0.25, loop
+            yield "loop", 0.20, loop
+
+
+@detector("heap_top_k")
+def heap_top_k(tree):
+    weights = {"heappush": 0.35, "heappop": 0.35, "heapify": 0.25, "nlargest": 0.25, "nsmallest": 0.25}
+    for call in every(tree, ast.Call):
+        what = S.called(call) or (S.method(call) if S.receiver(call) == "heapq" else None)
+        if what in weights:
+            yield what, weights[what], call
+
+
+def _monotonic(tree, kinds):
+    boxes = S.containers(tree, *kinds)
+    for loop in every(tree, ast.For):
+        for w in S.inner_loops(loop, ast.While):
+            for box in sorted(boxes & S.names(w.test)):
+                mine = lambda m: [c for c in every(loop.body, ast.Call) if S.method(c) == m and S.receiver(c) == box]  # noqa: B023, E731
+                pops = [c for c in every(w.body, ast.Call) if S.method(c) == "pop" and S.receiver(c) == box]
+                compares = any(isinstance(o, (ast.Lt, ast.LtE, ast.Gt, ast.GtE)) for c in every(w.test, ast.Compare) for o in c.ops)
+                if pops and compares and mine("append"):
+                    yield loop, w, mine
+
+
+@detector("monotonic_stack")
+def monotonic_stack(tree):
+    for loop, w, _ in _monotonic(tree, ("list",)):
+        yield "pop", 0.40, w
+        yield "push", 0.25, loop
+        yield "loop", 0.30, loop
+
+
+@detector("monotonic_deque")
+def monotonic_deque(tree):
+    for loop, w, mine in _monotonic(tree, ("deque",)):
+        yield "pop", 0.35, w
+        yield "push", 0.20, loop
+        if mine("popleft"):
+            yield "popleft", 0.30, loop
+        yield "creation", 0.20, loop
+
+
+def _hops(value) -> int:
+    n = 0
+    while isinstance(value, ast.Attribute) and value.attr == "next":
+        n, value = n + 1, value.value
+    return n
+
+
+@detector("fast_slow_pointers", some("floyd", "cycle_check"))
+def fast_slow_pointers(tree):
+    pointers = {n for n in S.names(tree) if n.lower() in ("slow", "fast", "tortoise", "hare", "slow_ptr", "fast_ptr", "walker", "runner")}
+    if len(pointers) >= 2:
+        yield "names", 0.20, tree
+    for loop in every(tree, ast.While):
+        hops = {}
+        for a in every(loop.body, ast.Assign):
+            pairs = zip(a.targets[0].elts, a.value.elts, strict=False) if isinstance(a.targets[0], ast.Tuple) and isinstance(a.value, ast.Tuple) else [(a.targets[0], a.value)]
+            for t, v in pairs:
+                if S.name(t) and _hops(v):
+                    hops[t.id] = _hops(v)
+        if len(set(hops.values())) >= 2:
+            yield "floyd", 0.60, loop
+            pointers |= set(hops)
+    for c in every(tree, ast.Compare):
+        if len(c.ops) == 1 and isinstance(c.ops[0], (ast.Eq, ast.Is)) and {S.name(c.left), S.name(c.comparators[0])} <= pointers and S.name(c.left) != S.name(c.comparators[0]):
+            yield "cycle_check", 0.40, c
+
+
+@detector("linked_list_reversal", lambda g: bool(g & {"recursive_rewire"}) or ("rewire" in g and bool(g & {"shift", "names"})))
+def linked_list_reversal(tree):
+    for loop in every(tree, ast.While):
+        rewires = [a for a in every(loop.body, ast.Assign) if any(isinstance(t, ast.Attribute) and t.attr == "next" for t in S.targets(a))]
+        for a in rewires:
+            yield "rewire", 0.50, a
+        moves = [(S.name(a.targets[0]), S.name(a.value)) for a in loop.body if isinstance(a, ast.Assign) and S.name(a.targets[0]) and S.name(a.value)]
+        if any(b == c for i, (_, b) in enumerate(moves) for c, _ in moves[i + 1 :]):
+            yield "shift", 0.30, loop
+        if len(S.like(S.names(loop), "prev", "cur", "nxt", "next")) >= 2:
+            yield "names", 0.20, loop
+    for a in every(tree, ast.Assign):
+        if any(isinstance(t, ast.Attribute) and t.attr == "next" and isinstance(t.value, ast.Attribute) and t.value.attr == "next" for t in a.targets):
+            yield "recursive_rewire", 0.60, a
+    for fn in S.functions(tree):
+        for c in S.self_calls(fn):
+            if any(isinstance(x, ast.Attribute) and x.attr == "next" for x in c.args):
+                yield "recursive_call", 0.40, c
+
+
+def _base_case(fn) -> bool:
+    for test in every(fn, ast.If):
+        t = test.test
+        if (isinstance(t, ast.UnaryOp) and isinstance(t.op, ast.Not)) or any(isinstance(x, ast.Constant) and x.value is None for x in every(t, ast.Constant)):
+            return True
+    return False
+
+
+@detector("dfs_recursive", lambda g: "call" in g and bool(g & {"graph", "child", "grid", "visited"}))
+def dfs_recursive(tree):
+    for fn in S.functions(tree):
+        calls = S.self_calls(fn)
+        if not calls:
+            continue
+        yield "call", 0.35, fn
+        if any(S.called(c) == fn.name for loop in every(fn, ast.For) for c in every(loop.body, ast.Call)):
+            yield "graph", 0.30, fn
+        if any(isinstance(x, ast.Attribute) and x.attr in ("left", "right") for c in calls for x in c.args):
+            yield "child", 0.25, fn
+        shifted = [x for c in calls for x in c.args if isinstance(x, ast.BinOp) and isinstance(x.op, (ast.Add, ast.Sub)) and S.constant(x.right) == 1]
+        if len(shifted) >= 3:
+            yield "grid", 0.25, fn
+        if any(S.like(S.names(c), "visited", "seen") and any(isinstance(o, (ast.In, ast.NotIn)) for o in c.ops) for c in every(fn, ast.Compare)) or any(S.method(c) == "add" and S.like({S.receiver(c) or ""}, "visited", "seen") for c in every(fn, ast.Call)):
+            yield "visited", 0.20, fn
+        if _base_case(fn):
+            yield "base", 0.20, fn
+
+
+def _marks(loop) -> bool:
+    return any(S.method(c) == "add" and S.like({S.receiver(c) or ""}, "visited", "seen") for c in every(loop.body, ast.Call)) or any(isinstance(t, ast.Subscript) and S.like({S.base(t) or ""}, "visited", "seen") for a in every(loop.body, ast.Assign) for t in a.targets)
+
+
+@detector("dfs_iterative", lambda g: "stack" in g and len(g) > 1)
+def dfs_iterative(tree):
+    boxes = S.containers(tree, "list", "deque")
+    for loop in every(tree, ast.While):
+        if any(isinstance(o, (ast.Lt, ast.LtE, ast.Gt, ast.GtE)) for c in every(loop.test, ast.Compare) for o in c.ops if any(isinstance(x, ast.Subscript) for x in [c.left, *c.comparators])):
+            continue
+        pops = [c for c in every(loop.body, ast.Call) if S.method(c) == "pop" and not c.args and S.receiver(c) in boxes & (S.names(loop.test) | boxes)]
+        if not pops:
+            continue
+        box = S.receiver(pops[0])
+        yield "stack", 0.35, loop
+        if any(every(loop.body, ast.For)) or S.has_attr(loop.body, "left", "right", "children", "neighbors"):
+            yield "traversal", 0.30, loop
+        if any(S.method(c) in ("append", "extend") and S.receiver(c) == box for c in every(loop.body, ast.Call)):
+            yield "push", 0.25, loop
+        if _marks(loop):
+            yield "visited", 0.20, loop
+
+
+def _queues(tree):
+    for loop in every(tree, ast.While):
+        gets = [c for c in every(loop.body, ast.Call) if S.method(c) == "popleft" or (S.method(c) == "pop" and c.args and S.constant(c.args[0]) == 0)]
+        if gets:
+            yield loop, S.receiver(gets[0])
+
+
+def _distance(loop) -> bool:
+    return bool(S.like(S.written(loop.body) | {S.base(t) or "" for a in every(loop.body, ast.Assign) for t in a.targets if isinstance(t, ast.Subscript)}, "dist", "step", "depth"))
+
+
+@detector("bfs_level_order", lambda g: {"popleft", "enqueue"} <= g and not g & {"distance", "visited"})
+def bfs_level_order(tree):
+    for loop, box in _queues(tree):
+        yield "popleft", 0.35, loop
+        if any(S.method(c) == "append" and S.receiver(c) == box for c in every(loop.body, ast.Call)):
+            yield "enqueue", 0.30, loop
+        if any(S.is_range(f.iter) and any(S.called(c) == "len" for c in every(f.iter, ast.Call)) for f in every(loop.body, ast.For)):
+            yield "level", 0.25, loop
+        if _distance(loop):
+            yield "distance", 0.10, loop
+        if _marks(loop):
+            yield "visited", 0.10, loop
+    for i in every(tree, ast.ImportFrom):
+        if i.module == "collections" and any(x.name == "deque" for x in i.names):
+            yield "import", 0.20, i
+
+
+@detector("bfs_shortest_path", lambda g: "queue" in g and bool(g & {"distance", "visited"}))
+def bfs_shortest_path(tree):
+    for loop, _ in _queues(tree):
+        yield "queue", 0.30, loop
+        if _distance(loop):
+            yield "distance", 0.25, loop
+        if _marks(loop):
+            yield "visited", 0.20, loop
+        if any(every(loop.body, ast.For)):
+            yield "neighbour", 0.25, loop
+        if any(S.is_range(f.iter) and any(S.called(c) == "len" for c in every(f.iter, ast.Call)) for f in every(loop.body, ast.For)):
+            yield "level", 0.20, loop
+
+
+@detector("binary_search_tree", lambda g: {"comparison", "recursion"} <= g)
+def binary_search_tree(tree):
+    for fn in S.functions(tree):
+        if any(isinstance(x, ast.Attribute) and x.attr in ("val", "value", "key") for c in every(fn, ast.Compare) for x in [c.left, *c.comparators] if any(isinstance(o, (ast.Lt, ast.LtE, ast.Gt, ast.GtE)) for o in c.ops)):
+            yield "comparison", 0.30, fn
+        if any(isinstance(x, ast.Attribute) and x.attr in ("left", "right") for c in S.self_calls(fn) for x in c.args):
+            yield "recursion", 0.25, fn
+        if len(S.like({a.arg for a in fn.args.args}, "min", "max", "low", "high", "lower", "upper")) >= 2:
+            yield "bounds", 0.25, fn
+        if S.like({fn.name}, "search", "insert", "delete", "bst"):
+            yield "name", 0.30, fn
+
+
+@detector("topological_sort", lambda g: bool(g & {"indegree", "raise", "lower"}) and bool(g & {"zero_queue", "enqueue"}))
+def topological_sort(tree):
+    for scope in every(tree, ast.Module, ast.FunctionDef):
+        def degree(t):
+            return isinstance(t, ast.Subscript) and bool(S.like({S.base(t) or ""}, "indeg", "in_deg", "degree"))
+
+        if any(S.like({S.name(t) or ""}, "indeg", "in_deg", "degree") for a in every(scope, ast.Assign) for t in a.targets):
+            yield "indegree", 0.30, scope
+        moves = [a for a in every(scope, ast.AugAssign) if degree(a.target)]
+        if any(isinstance(a.op, ast.Add) for a in moves):
+            yield "raise", 0.25, scope
+        if any(isinstance(a.op, ast.Sub) for a in moves):
+            yield "lower", 0.25, scope
+        zero = [c for c in every(scope, ast.Compare) if degree(c.left) and isinstance(c.ops[0], ast.Eq) and S.constant(c.comparators[0]) == 0]
+        if zero:
+            yield "zero_queue", 0.30, scope
+        if any(c in list(every(i.test, ast.Compare)) for i in every(scope, ast.If) for c in zero if any(S.method(x) == "append" for x in every(i.body, ast.Call))):
+            yield "enqueue", 0.25, scope
+
+
+@detector("union_find", lambda g: "parent" in g and bool(g & {"find", "union"}))
+def union_find(tree):
+    for cls in every(tree, ast.ClassDef):
+        if any(isinstance(t, ast.Attribute) and t.attr in ("parent", "parents") and S.name(t.value) == "self" for a in every(cls, ast.Assign) for t in a.targets):
+            yield "parent", 0.25, cls
+        for fn in S.functions(cls):
+            if fn.name == "find":
+                again = any(S.method(c) == "find" for c in every(fn, ast.Call))
+                if again or any(every(fn, ast.While)):
+                    yield "find", (0.30 if again else 0.25), fn
+            elif fn.name in ("union", "unite", "merge"):
+                yield "union", 0.30, fn
+            elif "connected" in fn.name:
+                yield "connected", 0.20, fn
+        if any(isinstance(t, ast.Attribute) and t.attr in ("rank", "size", "ranks", "sizes") for a in every(cls, ast.Assign) for t in a.targets):
+            yield "rank", 0.25, cls
+
+
+@detector("binary_search_rotated", lambda g: {"sorted_half", "target_range"} <= g)
+def binary_search_rotated(tree):
+    for loop, mids, moves, asks, bounds in _bisecting(tree):
+        if not mids or asks:
+            continue
+        yield "midpoint", 0.20, loop
+        def at(x):
+            return isinstance(x, ast.Subscript) and S.names(x.slice) or set()
+
+        for c in every(loop.body, ast.Compare):
+            sides = [c.left, *c.comparators]
+            if len(sides) == 2 and all(isinstance(x, ast.Subscript) for x in sides) and {n for x in sides for n in at(x)} & mids and {n for x in sides for n in at(x)} & set(bounds):
+                yield "sorted_half", 0.35, c
+                break
+        for c in every(loop.body, ast.Compare):
+            if len(c.ops) == 2 and any(isinstance(x, ast.Subscript) for x in [c.left, *c.comparators]):
+                yield "target_range", 0.25, c
+                break
+        if moves:
+            yield "boundary", 0.25, loop
+
+
+@detector("greedy_local", lambda g: "optimum" in g or {"decision", "progress"} <= g)
+def greedy_local(tree):
+    for fn in S.functions(tree):
+        tracked = S.like(S.written(fn), "best", "max", "min", "profit")
+        if S.extreme(fn) or tracked:
+            yield "optimum", 0.35, fn
+        if any(S.like(S.names(i.test), "profit", "price", "cost", "gain", "best") and any(every(i.body, ast.Assign, ast.AugAssign)) for i in every(fn, ast.If)):
+            yield "decision", 0.30, fn
+        if any(1 in v for loop in every(fn, *LOOP) for v in S.steps(loop.body).values()):
+            yield "progress", 0.25, fn
+
+
+@detector("greedy_interval", lambda g: "sorting" in g and bool(g & {"comparison", "merge"}))
+def greedy_interval(tree):
+    for fn in S.functions(tree):
+        def interval_key(k):
+            body = k.value.body if isinstance(k.value, ast.Lambda) else None
+            return k.arg == "key" and ((isinstance(body, ast.Subscript) and S.constant(body.slice) in (0, 1)) or (isinstance(body, ast.Attribute) and body.attr in ("start", "end")))
+
+        if any(interval_key(k) for c in every(fn, ast.Call) if S.called(c) == "sorted" or S.method(c) == "sort" for k in c.keywords):
+            yield "sorting", 0.30, fn
+        ends = lambda x: (isinstance(x, ast.Subscript) and S.constant(x.slice) in (0, 1)) or bool(S.like(S.names(x), "start", "end"))
+        if any(isinstance(o, (ast.Lt, ast.LtE, ast.Gt, ast.GtE)) and any(map(ends, [c.left, *c.comparators])) for c in every(fn, ast.Compare) for o in c.ops):
+            yield "comparison", 0.25, fn
+        if any(isinstance(t, ast.Subscript) and isinstance(t.value, ast.Subscript) and any(S.called(x) == "max" for x in every(a.value, ast.Call)) for a in every(fn, ast.Assign) for t in a.targets):
+            yield "merge", 0.30, fn
+        if any(1 in v for k, v in S.steps(fn).items() if S.like({k}, "count", "res", "ans", "rooms")):
+            yield "count", 0.25, fn
+
+
+@detector("backtracking_subset", lambda g: "choose_unchoose" in g or {"branching", "restoration"} <= g)
+def backtracking_subset(tree):
+    for fn in S.functions(tree):
+        calls = S.self_calls(fn)
+        if not calls:
+            continue
+        on = lambda m: {S.receiver(c) for c in every(fn, ast.Call) if S.method(c) == m}  # noqa: B023, E731
+        if on("append") & on("pop") - {None}:
+            yield "choose_unchoose", 0.35, fn
+        if len(calls) >= 2:
+            yield "branching", 0.30, fn
+        if on("pop") or any(isinstance(a.op, ast.Sub) for a in every(fn, ast.AugAssign)):
+            yield "restoration", 0.25, fn
+        if S.like({n for n in on("append") if n}, "res", "path", "subset", "result", "out", "comb"):
+            yield "collection", 0.20, fn
+
+
+@detector("backtracking_permutation", lambda g: "swap" in g or {"used", "permutation"} <= g)
+def backtracking_permutation(tree):
+    for fn in S.functions(tree):
+        calls = S.self_calls(fn)
+        if not calls:
+            continue
+        for loop in every(fn, ast.For):
+            if S.is_range(loop.iter) and any(isinstance(a, ast.Assign) and isinstance(a.targets[0], ast.Tuple) and all(isinstance(x, ast.Subscript) for x in a.targets[0].elts) for a in loop.body):
+                yield "swap", 0.35, loop
+        if S.like({S.base(s) or "" for s in S.subscripts(fn)} | S.names(fn), "used", "visited"):
+            yield "used", 0.25, fn
+        if any(S.method(c) == "append" and S.like({S.receiver(c) or ""}, "perm", "res") for c in every(fn, ast.Call)):
+            yield "permutation", 0.30, fn
+        if any(isinstance(x, ast.BinOp) and isinstance(x.op, ast.Add) and S.constant(x.right) == 1 for c in calls for x in c.args):
+            yield "advance", 0.20, fn
+
+
+# ---- dynamic programming
+
+
+def _dp(tree, wide: bool):
+    """Per function: its tables, loops and the reads of tables inside loops."""
+    for fn in S.functions(tree):
+        tables = {n for a in every(fn, ast.Assign) if (S.grid if wide else lambda v: S.repeated(v) and not S.grid(v))(a.value) for t in a.targets if (n := S.name(t))}
+        tables |= S.like(S.containers(fn, "dict", "list"), "dp", "memo", "table")
+        reads = [s for loop in every(fn, *LOOP) for s in S.subscripts(loop.body) if isinstance(s.ctx, ast.Load)]
+        writes = [t for loop in every(fn, *LOOP) for a in every(loop.body, ast.Assign, ast.AugAssign) for t in S.targets(a) if isinstance(t, ast.Subscript)]
+        nested = [loop for loop in every(fn, *LOOP) if S.inner_loops(loop)]
+        yield fn, tables, reads, writes, nested
+
+
+def _fills(fn, writes, two: bool) -> bool:
+    return any(S.is_2d(w) == two for w in writes)
+
+
+@detector("dp_1d_forward", lambda g: bool(g & {"lookback", "recursive"}) and len(g & {"array", "loop", "cache", "base"}) >= 2)
+def dp_1d_forward(tree):
+    for fn, tables, reads, writes, nested in _dp(tree, False):
+        back = [s for s in reads if not S.is_2d(s) and S.offset(s.slice) and S.base(s) in tables | S.like({S.base(s) or ""}, "dp")]
+        recursive = [c for c in S.self_calls(fn) if any(S.offset(x) for x in c.args)]
+        if not back and not recursive:
+            continue
+        if any(S.repeated(a.value) for a in every(fn, ast.Assign)):
+            yield "array", 0.25, fn
+        if any(not S.inner_loops(x) for x in every(fn, *LOOP)) and not nested:
+            yield "loop", 0.20, fn
+        for s in back[:1]:
+            yield "lookback", 0.30, s
+        for c in recursive[:1]:
+            yield "recursive", 0.25, c
+        if S.cached(fn):
+            yield "cache", 0.30, fn
+        if any(isinstance(w, ast.Subscript) for w in writes) and back:
+            yield "recurrence", 0.20, fn
+        if S.extreme(fn):
+            yield "aggregation", 0.20, fn
+        if any(isinstance(t, ast.Subscript) and isinstance(S.constant(t.slice), int) for a in every(fn, ast.Assign) for t in a.targets) or (recursive and any(every(fn, ast.If))):
+            yield "base", 0.15, fn
+        if any(isinstance(r.value, ast.Subscript) for r in every(fn, ast.Return)):
+            yield "return_table", 0.15, fn
+
+
+@detector("dp_state_machine", lambda g: {"states", "transition"} <= g and bool(g & {"array", "loop", "cache"}))
+def dp_state_machine(tree):
+    for fn in S.functions(tree):
+        for loop in every(fn, ast.For):
+            kept = {n for a in every(loop.body, ast.Assign) if S.extreme(a.value) for t in S.targets(a) if (n := S.name(t))}
+            crossed = [a for a in every(loop.body, ast.Assign) if S.extreme(a.value) and (kept & S.names(a.value)) - {S.name(t) for t in S.targets(a)}]
+            if len(kept) >= 2:
+                yield "states", 0.30, loop
+                if crossed:
+                    yield "transition", 0.30, crossed[0]
+                if not S.inner_loops(loop):
+                    yield "loop", 0.20, loop
+                if any(S.repeated(a.value) for a in every(fn, ast.Assign)):
+                    yield "array", 0.20, fn
+                if S.cached(fn):
+                    yield "cache", 0.30, fn
+                if any(r.value is not None and (S.extreme(r.value) or S.names(r.value) & kept) for r in every(fn, ast.Return)):
+                    yield "aggregation", 0.20, fn
+
+
+@detector("dp_1d_sequence", lambda g: {"nested", "inner"} <= g and bool(g & {"array", "recurrence", "aggregation"}))
+def dp_1d_sequence(tree):
+    for fn, tables, _, _, nested in _dp(tree, False):
+        for loop in nested:
+            inner = S.inner_loops(loop)
+            dp = [t for x in inner for a in every(x.body, ast.Assign) for t in S.targets(a) if isinstance(t, ast.Subscript) and not S.is_2d(t) and S.base(t) in tables]
+            if not dp:
+                continue
+            yield "nested", 0.25, loop
+            mine = {S.name(t) for x in inner if isinstance(x, ast.For) for t in S.targets(x)}
+            if any(S.base(s) in tables and S.name(s.slice) in mine and isinstance(s.ctx, ast.Load) for x in inner for s in S.subscripts(x.body)):
+                yield "inner", 0.25, loop
+            if any(S.repeated(a.value) for a in every(fn, ast.Assign)):
+                yield "array", 0.25, fn
+            if any(S.base(t) in S.names(a.value) for x in inner for a in every(x.body, ast.Assign) for t in S.targets(a) if isinstance(t, ast.Subscript)):
+                yield "recurrence", 0.20, loop
+            if S.extreme(loop):
+                yield "aggregation", 0.20, loop
+            break
+
+
+def _text_compare(fn, tables) -> list[ast.Compare]:
+    return [c for c in every(fn, ast.Compare) if len(c.ops) == 1 and isinstance(c.ops[0], (ast.Eq, ast.NotEq)) and all(isinstance(x, ast.Subscript) and S.base(x) not in tables for x in (c.left, c.comparators[0]))]
+
+
+@detector("dp_2d_grid", lambda g: {"lookback", "nested"} <= g and bool(g & {"array", "recurrence", "aggregation", "base"}) and "text" not in g)
+def dp_2d_grid(tree):
+    for fn, tables, reads, writes, nested in _dp(tree, True):
+        back = [s for s in reads if S.is_2d(s) and S.offsets(s)]
+        if not back:
+            continue
+        yield "lookback", 0.30, back[0]
+        if nested and _fills(fn, writes, True):
+            yield "nested", 0.20, nested[0]
+        if any(S.grid(a.value) for a in every(fn, ast.Assign)):
+            yield "array", 0.30, fn
+        if any(S.base(s) in {S.base(w) for w in writes} for s in back):
+            yield "recurrence", 0.20, fn
+        if S.extreme(fn):
+            yield "aggregation", 0.15, fn
+        if any(isinstance(t, ast.Subscript) and S.is_2d(t) and isinstance(S.constant(t.slice), int) for a in every(fn, ast.Assign) for t in a.targets):
+            yield "base", 0.15, fn
+        for c in _text_compare(fn, tables)[:1]:
+            yield "text", 0.30, c
+
+
+@detector("dp_2d_string", lambda g: {"text", "lookback"} <= g and bool(g & {"array", "nested", "recurrence", "base", "aggregation"}))
+def dp_2d_string(tree):
+    for fn, tables, reads, writes, nested in _dp(tree, True):
+        compares, back = _text_compare(fn, tables), [s for s in reads if S.is_2d(s) and S.offsets(s)]
+        if not compares:
+            continue
+        yield "text", 0.30, compares[0]
+        if back:
+            yield "lookback", 0.25, back[0]
+        if any(S.grid(a.value) for a in every(fn, ast.Assign)):
+            yield "array", 0.25, fn
+        if nested:
+            yield "nested", 0.20, nested[0]
+        if back and _fills(fn, writes, True):
+            yield "recurrence", 0.20, fn
+        if any(isinstance(t, ast.Subscript) and isinstance(S.constant(t.slice), int) for a in every(fn, ast.Assign) for t in a.targets):
+            yield "base", 0.15, fn
+        if S.extreme(fn):
+            yield "aggregation", 0.15, fn
+
+
+@detector("dp_knapsack", lambda g: {"capacity", "maxmin"} <= g and bool(g & {"array", "nested", "lookback"}))
+def dp_knapsack(tree):
+    for fn, tables, reads, _, nested in _dp(tree, False):
+        tables = tables | {n for a in every(fn, ast.Assign) if S.grid(a.value) for t in a.targets if (n := S.name(t))}
+        if any(isinstance(i.test, ast.Compare) and any(isinstance(x, ast.Subscript) for x in [i.test.left, *i.test.comparators]) for i in every(fn, ast.If)):
+            yield "capacity", 0.30, fn
+        chosen = [c for c in S.extreme(fn) if any(S.base(s) in tables for s in S.subscripts(c))] + [b for b in every(fn, ast.BoolOp) if any(S.base(s) in tables for s in S.subscripts(b))]
+        if chosen:
+            yield "maxmin", 0.25, chosen[0]
+        if tables and any(S.repeated(a.value) or S.grid(a.value) for a in every(fn, ast.Assign)):
+            yield "array", 0.25, fn
+        if nested:
+            yield "nested", 0.20, nested[0]
+        if any(S.base(s) in tables and any(isinstance(b.op, ast.Sub) for b in every(s.slice, ast.BinOp)) for s in reads):
+            yield "lookback", 0.20, fn
+        if S.extreme(fn):
+            yield "aggregation", 0.15, fn
+
+
+@detector("dp_interval", lambda g: "length" in g and len(g & {"array", "pair", "lookback", "recurrence"}) >= 2)
+def dp_interval(tree):
+    for fn, _, reads, writes, nested in _dp(tree, True):
+        for loop in every(fn, ast.For):
+            var = loop.target.id  # a tuple target isn't an interval's length: the engine takes the error as "not detected"
+            if (S.is_range(loop.iter) and len(loop.iter.args) >= 2 and S.inner_loops(loop)) or var in ("length", "len", "gap", "size"):
+                yield "length", 0.35, loop
+                break
+        if any(S.grid(a.value) for a in every(fn, ast.Assign)):
+            yield "array", 0.25, fn
+        if any(isinstance(a.value, ast.BinOp) and S.name(a.targets[0]) in ("j", "end", "right", "r") for loop in nested for a in every(loop.body, ast.Assign)):
+            yield "pair", 0.25, fn
+        if any(S.is_2d(s) and any(isinstance(b.op, (ast.Add, ast.Sub)) for b in every(s, ast.BinOp)) for s in reads):
+            yield "lookback", 0.25, fn
+        if _fills(fn, writes, True):
+            yield "recurrence", 0.25, fn
+        if any(S.inner_loops(x) for loop in nested for x in S.inner_loops(loop)):
+            yield "partition", 0.20, fn
+        if S.extreme(fn):
+            yield "aggregation", 0.15, fn

@@ -1,0 +1,150 @@
+"""Questions about syntax trees that several detectors ask."""
+
+from __future__ import annotations
+
+import ast
+from collections.abc import Iterable, Iterator
+
+LOOP = (ast.For, ast.While)
+COMPREHENSION = (ast.ListComp, ast.SetComp, ast.DictComp, ast.GeneratorExp)
+
+
+def every(tree: ast.AST | Iterable[ast.AST], *kinds: type) -> Iterator:
+    """Nodes of these kinds, breadth first: the order of evidence."""
+    for top in [tree] if isinstance(tree, ast.AST) else tree:
+        for node in ast.walk(top):
+            if isinstance(node, kinds):
+                yield node
+
+
+def name(node: ast.AST | None) -> str | None:
+    return node.id if isinstance(node, ast.Name) else None
+
+
+def names(tree) -> set[str]:
+    return {n.id for n in every(tree, ast.Name)}
+
+
+def called(node: ast.AST) -> str | None:
+    """The bare name that a call calls."""
+    return name(node.func) if isinstance(node, ast.Call) else None
+
+
+def method(node: ast.AST) -> str | None:
+    """The attribute that a call calls."""
+    return node.func.attr if isinstance(node, ast.Call) and isinstance(node.func, ast.Attribute) else None
+
+
+def receiver(node: ast.AST) -> str | None:
+    return name(node.func.value) if method(node) else None
+
+
+def constant(node: ast.AST | None):
+    if isinstance(node, ast.UnaryOp) and isinstance(node.op, ast.USub) and isinstance(node.operand, ast.Constant) and isinstance(node.operand.value, (int, float)):
+        return -node.operand.value
+    return node.value if isinstance(node, ast.Constant) else None
+
+
+def targets(node: ast.AST) -> list[ast.AST]:
+    """What an assignment writes, tuples opened."""
+    raw = node.targets if isinstance(node, ast.Assign) else [node.target] if isinstance(node, (ast.AugAssign, ast.AnnAssign, ast.For)) else []
+    return [x for t in raw for x in (t.elts if isinstance(t, (ast.Tuple, ast.List)) else [t])]
+
+
+def written(tree) -> set[str]:
+    return {n for a in every(tree, ast.Assign, ast.AugAssign) for t in targets(a) if (n := name(t))}
+
+
+def steps(tree) -> dict[str, set]:
+    """Constants that names are raised by (lowered: negative)."""
+    out: dict[str, set] = {}
+    for a in every(tree, ast.AugAssign):
+        by = constant(a.value)
+        if name(a.target) and isinstance(by, (int, float)) and isinstance(a.op, (ast.Add, ast.Sub)):
+            out.setdefault(a.target.id, set()).add(by if isinstance(a.op, ast.Add) else -by)
+    for a in every(tree, ast.Assign):
+        v = a.value
+        if len(a.targets) == 1 and name(a.targets[0]) and isinstance(v, ast.BinOp) and name(v.left) == name(a.targets[0]) and isinstance(v.op, (ast.Add, ast.Sub)) and isinstance(constant(v.right), (int, float)):
+            by = constant(v.right)
+            out.setdefault(a.targets[0].id, set()).add(by if isinstance(v.op, ast.Add) else -by)
+    return out
+
+
+def functions(tree) -> list[ast.FunctionDef]:
+    return list(every(tree, ast.FunctionDef))
+
+
+def self_calls(fn: ast.FunctionDef) -> list[ast.Call]:
+    return [c for c in every(fn, ast.Call) if called(c) == fn.name]
+
+
+def has_attr(tree, *attrs: str) -> bool:
+    return any(a.attr in attrs for a in every(tree, ast.Attribute))
+
+
+def like(names_: Iterable[str], *words: str) -> set[str]:
+    return {n for n in names_ if any(w in n.lower() for w in words)}
+
+
+def is_range(node: ast.AST) -> bool:
+    return called(node) == "range"
+
+
+def inner_loops(loop: ast.AST, *kinds: type) -> list:
+    return [n for n in every(loop.body, *(kinds or LOOP))]
+
+
+def subscripts(tree) -> list[ast.Subscript]:
+    return list(every(tree, ast.Subscript))
+
+
+def base(node: ast.AST) -> str | None:
+    """The name under any number of subscripts."""
+    while isinstance(node, ast.Subscript):
+        node = node.value
+    return name(node)
+
+
+def is_2d(node: ast.AST) -> bool:
+    return isinstance(node, ast.Subscript) and (isinstance(node.value, ast.Subscript) or (isinstance(node.slice, ast.Tuple) and len(node.slice.elts) == 2))
+
+
+def offset(index: ast.AST) -> bool:
+    """An index like i - 1."""
+    return isinstance(index, ast.BinOp) and isinstance(index.op, ast.Sub) and isinstance(constant(index.right), int)
+
+
+def offsets(sub: ast.Subscript) -> bool:
+    """Whether any index of a subscript is an offset."""
+    here = sub.slice.elts if isinstance(sub.slice, ast.Tuple) else [sub.slice]
+    return any(offset(i) for i in here) or (isinstance(sub.value, ast.Subscript) and offsets(sub.value))
+
+
+def made_of(value: ast.AST, *kinds: str) -> bool:
+    """A literal or constructor call of a container kind: list, dict, set, deque."""
+    literal = {"list": ast.List, "dict": ast.Dict, "set": ast.Set}
+    return any(isinstance(value, literal[k]) for k in kinds if k in literal) or called(value) in kinds or method(value) in kinds
+
+
+def containers(tree, *kinds: str) -> set[str]:
+    return {n for a in every(tree, ast.Assign) if made_of(a.value, *kinds) for t in a.targets if (n := name(t))}
+
+
+def repeated(value: ast.AST) -> bool:
+    """[x] * n, or a comprehension over a range."""
+    if isinstance(value, ast.BinOp) and isinstance(value.op, ast.Mult):
+        return isinstance(value.left, ast.List) or isinstance(value.right, ast.List)
+    return isinstance(value, ast.ListComp) and any(is_range(g.iter) for g in value.generators)
+
+
+def grid(value: ast.AST) -> bool:
+    return isinstance(value, ast.ListComp) and (repeated(value.elt) or isinstance(value.elt, (ast.List, ast.ListComp)))
+
+
+def extreme(tree) -> list[ast.Call]:
+    return [c for c in every(tree, ast.Call) if called(c) in ("max", "min")]
+
+
+def cached(fn: ast.FunctionDef) -> bool:
+    text = [ast.unparse(d) for d in fn.decorator_list]
+    return any("cache" in t for t in text) or bool(like(names(fn), "memo"))

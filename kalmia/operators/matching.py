@@ -25,7 +25,7 @@ def clean_groups(groups: Column) -> Column:
 
 def match(rows: DataFrame, detections: str = "detections", groups: str = "accepted_solution_groups", places: int = 4) -> DataFrame:
     """``rows`` with match_result, matched_groups, unmatched_patterns, confidence_score and reasoning_signals."""
-    base = rows.withColumns({"_known": best_confidences(F.coalesce(detections, F.array().cast("array<struct<pattern_id:string,confidence:double>>"))), "_groups": clean_groups(F.col(groups))})
+    base = rows.withColumns({"_known": best_confidences(F.coalesce(F.transform(detections, lambda d: F.struct(d["pattern_id"].alias("pattern_id"), d["confidence"].cast("double").alias("confidence"))), F.array().cast("array<struct<pattern_id:string,confidence:double>>"))), "_groups": clean_groups(F.col(groups))})
     ids = F.map_keys("_known")
     # A group's ids are few; sums run in id order, so they don't depend on the order of detections.
     total = lambda ps: F.aggregate(F.array_sort(ps), F.lit(0.0), lambda a, p: a + F.coalesce(F.element_at(F.col("_known"), p), F.lit(0.0)))
