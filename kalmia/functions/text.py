@@ -63,7 +63,8 @@ def model_reply(content: Column) -> Column:
 
 def clamped(value: Column) -> Column:
     """A number within [0, 1]; 0.5 where there is none."""
-    return F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.0), value.try_cast("double"))), F.lit(0.5))
+    number = value.try_cast("double")
+    return F.when(number.isNull(), 0.5).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), number)))
 
 
 def known_patterns(patterns: Column) -> Column:
