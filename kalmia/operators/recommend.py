@@ -36,15 +36,24 @@ def topic_problems(problems: DataFrame, topics: DataFrame) -> DataFrame:
     return problems.join(F.broadcast(topics.select("topic").distinct()), on)
 
 
-def ranked_unsolved(wanted: DataFrame, bank: DataFrame, submissions: DataFrame) -> DataFrame:
+def ranked_unsolved(wanted: DataFrame, bank: DataFrame, submissions: DataFrame, exclude: DataFrame | None = None) -> DataFrame:
     """Best unsolved problem for each wanted (user_id, topic, difficulty): by acceptance, then id.
 
-    bank: ``topic_problems``. The anti join runs on the few wanted combinations, not on all users x problems.
+    bank: ``topic_problems``. exclude: (user_id, id) that don't count for that user either.
+
+    A topic's problems are ranked once for all users. Where a user's solved ranks run 1, 2, ... k without a gap, the
+    answer is rank k + 1: work grows with what users have solved, not with users x problems.
     """
-    passed = submissions.filter(F.col("verdict") == "pass").select("user_id", F.col("problem_id").alias("id")).distinct()
-    open_ = wanted.join(bank, ["topic", "difficulty"]).join(passed, ["user_id", "id"], "left_anti")
-    w = Window.partitionBy("user_id", "topic", "difficulty").orderBy(F.coalesce("acceptance_rate", F.lit(0.0)).desc(), "id")
-    return open_.withColumn("pick", F.row_number().over(w)).filter("pick = 1").select("user_id", "topic", "difficulty", F.col("id").alias("problem_id"), "primary_pattern")
+    order = Window.partitionBy("topic", "difficulty").orderBy(F.coalesce("acceptance_rate", F.lit(0.0)).desc(), "id")
+    ranked = bank.select("topic", "difficulty", "id", "acceptance_rate", "primary_pattern").distinct().withColumn("place_", F.row_number().over(order))
+    gone = submissions.filter(F.col("verdict") == "pass").select("user_id", F.col("problem_id").alias("id"))
+    gone = (gone if exclude is None else gone.unionByName(exclude.select("user_id", "id"))).distinct()
+    mine = Window.partitionBy("user_id", "topic", "difficulty").orderBy("place_")
+    run = gone.join(ranked.select("topic", "difficulty", "id", "place_"), "id").withColumn("n_", F.row_number().over(mine))
+    run = run.groupBy("user_id", "topic", "difficulty").agg(F.count_if(F.col("place_") == F.col("n_")).alias("run_"))
+    keys = ["user_id", "topic", "difficulty"]
+    next_ = wanted.select(*keys).distinct().join(run, keys, "left").withColumn("place_", (F.coalesce("run_", F.lit(0)) + 1).cast("int"))
+    return next_.join(ranked, ["topic", "difficulty", "place_"]).select(*keys, F.col("id").alias("problem_id"), "primary_pattern")
 
 
 def rotation(weakest: DataFrame, bank: DataFrame, submissions: DataFrame) -> DataFrame:

@@ -626,10 +626,10 @@ def gated_recommendation(t: Tables) -> DataFrame:
     rows = last.join(prof, ["user_id", "topic"], "left").join(locks, ["user_id", "topic"], "left").join(runs, ["user_id", "topic"], "left").join(diversity_check(t), "user_id", "left")
     rows = rows.withColumn("user_difficulty", R.difficulty_for(F.coalesce("elo_rating", F.lit(R.START))))
     open_topics = recommend.topic_problems(bank_, t.pattern_dim.select(F.col("pattern_id").alias("topic")))
-    others = open_topics.join(last.select("user_id", "topic", "current_id").distinct(), "topic").filter(F.col("id") != F.col("current_id")).select("topic", "id", "difficulty", "topics", "acceptance_rate", "primary_pattern").distinct()
+    current = last.select("user_id", F.col("current_id").alias("id"))
     for name, level in (("problem_pass", R.moved(F.col("difficulty"), F.lit(1))), ("problem_fail", R.moved(F.col("difficulty"), F.lit(-1))), ("problem_user", F.col("user_difficulty"))):
         wanted = rows.select("user_id", "topic", level.alias("difficulty"))
-        found = recommend.ranked_unsolved(wanted, others, subs).select("user_id", "topic", F.col("problem_id").alias(name))
+        found = recommend.ranked_unsolved(wanted, open_topics, subs, current).select("user_id", "topic", F.col("problem_id").alias(name))
         rows = rows.join(found, ["user_id", "topic"], "left")
     turn = recommend.rotate_topic(rows.select("user_id", F.col("topic").alias("current_topic")), options(t)).select("user_id", "new_topic")
     rows = rows.join(turn, "user_id", "left")
