@@ -12,14 +12,17 @@ lengths allow the threshold meet, and only over each set's rarest signatures (as
 the threshold must share one of); a bound on the lengths goes first, the exact Jaccard last.
 
 ``neighbours`` gives each row its next row in an order without one task ordering all rows: rows are
-range partitioned at a bounded number of quantiles, and the first row of each range is also dealt,
-as a ghost, to the range before it.
+range partitioned (at quantiles, evenly between them, in proportion to the rows), and the first row
+of each range is also dealt, as a ghost, to the range before it.
 
 Null texts count as empty; null doc_ids come last in the order. Repeated rows follow each other.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,8 +30,8 @@ from kalmia.llm._common import fresh, materialize, ref, without
 
 #: Content words in a signature.
 CHAIN = 3
-#: Ranges of the order that ``neighbours`` works in.
-RANGES = 200
+#: Quantiles that ``neighbours`` cuts the order at, rows it aims at between two cuts, and even cuts between quantiles at most.
+RANGES, RANGE_ROWS, MOST_FINE = 200, 4_000, 1_000
 
 # The commonest function words of four languages.
 ENGLISH = "the of and a to in is that was it for on are as with his they at be this from have or by one had not but what all were when we there can an your which their if do will each how them then she many some so these would other into has more her two him see could no make than been its who now my over down only way may said our out just about after also did any where most me back much before very through between under while because".split()
@@ -97,7 +100,7 @@ def near_duplicates(prints: DataFrame, threshold: float = 0.8) -> DataFrame:
     rarity = spots.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
     rank = F.row_number().over(Window.partitionBy("id").orderBy("df", "h"))
     # Partition k holds the lengths from (1/t)^k on: partners are in the same or in the next one.
-    part = F.floor(F.log(F.col("n").cast("double")) / F.lit(-__import__("math").log(threshold)) + 1e-9).cast("int")
+    part = F.floor(F.log(F.col("n").cast("double")) / F.lit(-math.log(threshold)) + 1e-9).cast("int")
     rare = spots.join(rarity, "h").withColumn("r", rank).filter(F.col("r") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).withColumn("part", part)
     rare = materialize(rare.select("id", "n", "h", "part"))
     left = rare.select("h", F.col("id").alias("x"), F.col("n").alias("nx"), F.explode(F.array("part", F.col("part") + 1)).alias("part"))
@@ -110,33 +113,32 @@ def near_duplicates(prints: DataFrame, threshold: float = 0.8) -> DataFrame:
     return near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "likeness").unionByName(copies)
 
 
-def neighbours(rows: DataFrame, key: str, order: list[Column], carried: dict[str, str], ranges: int = RANGES) -> DataFrame:
+def neighbours(rows: DataFrame, key: str, order: list[Column], carried: dict[str, str], derive: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
     """Each row with columns of the row that follows by descending ``key``; the first follows the last.
 
     carried: names of columns to take from the next row, and what to call them. ``order`` orders
-    equal keys. A single row follows itself.
+    equal keys. ``derive`` adds columns once rows are dealt. A single row follows itself.
     """
     rows = without(rows, *carried.values())
-    part, ghost, at = fresh(rows, "part", "ghost", "at")
+    part, ghost, at, before = fresh(rows, "part", "ghost", "at", "before")
     id_ = ref(key).cast("double")
-    cuts = rows.select(F.percentile_approx(id_, F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), F.lit(10_000)).alias("q")).first()["q"] or []
-    cuts = sorted(set(cuts), reverse=True)
-    bounds = F.array(*[F.lit(c) for c in cuts]).cast("array<double>")
-    # Range 0 holds the largest keys; nulls come last.
-    own = F.when(id_.isNull(), F.lit(len(cuts) + 1)).otherwise(F.size(F.filter(bounds, lambda c: id_ < c)))
-    dealt = rows.withColumn(part, own)
-    tops = dealt.groupBy(part).agg(F.max(id_).alias(at)).orderBy(part).collect()  # a row for each range
-    before = {r[part]: tops[i - 1][part] for i, r in enumerate(tops)}
-    to = F.lit(None).cast("int")
-    for r in tops:
-        is_top = (ref(part) == r[part]) & (ref(key).isNull() if r[at] is None else id_ == F.lit(r[at]))
-        to = F.when(is_top, F.lit(before[r[part]])).otherwise(to)
-    return _linked(dealt, key, order, carried, part, ghost, to)
-
-
-def _linked(dealt: DataFrame, key: str, order: list[Column], carried: dict[str, str], part: str, ghost: str, to: Column) -> DataFrame:
-    names = [c for c in dealt.columns if c != part]
-    both = dealt.withColumn(ghost, F.lit(False)).unionByName(dealt.withColumn(part, to).filter(ref(part).isNotNull()).withColumn(ghost, F.lit(True)))
+    n, low, high, cuts = rows.select(id_.alias(at)).agg(F.count(F.lit(1)), F.min(at), F.max(at), F.percentile_approx(at, F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)]), F.lit(10_000))).first()
+    cuts = sorted(set(cuts or []), reverse=True)
+    ends = F.array(*[F.lit(x) for x in (high, *cuts, low)]).cast("array<double>")
+    fine = min(max(math.ceil(n / (RANGES * RANGE_ROWS)), 1), MOST_FINE)
+    # Range 0 holds the largest keys; each range between quantiles is cut evenly; nulls come last.
+    coarse = F.size(F.filter(F.slice(ends, 2, len(cuts)), lambda c: id_ < c))
+    top, bottom = F.get(ends, coarse), F.get(ends, coarse + 1)
+    within = F.when(top > bottom, F.floor((top - id_) / (top - bottom) * fine)).otherwise(0)
+    own = F.when(id_.isNull(), F.lit((len(cuts) + 1) * fine)).otherwise(coarse * fine + F.greatest(F.lit(0), F.least(F.lit(fine - 1), within)))
+    dealt = rows.withColumn(part, own.cast("bigint"))
+    tops = materialize(dealt.groupBy(part).agg(F.max(id_).alias(at)))  # a row for each range
+    last = tops.agg(F.max(part)).first()[0]
+    tops = tops.select(ref(part).alias("_p"), ref(at).alias("_a"), F.coalesce(F.lag(part).over(Window.orderBy(part)), F.lit(last)).alias(before))
+    ghosts = dealt.join(F.broadcast(tops), (ref(part) == F.col("_p")) & id_.eqNullSafe(F.col("_a")))
+    ghosts = ghosts.select(*map(ref, rows.columns), ref(before).alias(part), F.lit(True).alias(ghost))
+    both = derive(dealt.withColumn(ghost, F.lit(False)).unionByName(ghosts))
+    names = [c for c in both.columns if c not in (part, ghost)]
     w = Window.partitionBy(part).orderBy(ref(ghost), ref(key).desc_nulls_last(), *order)
     found = both.select("*", *[F.lead(ref(c)).over(w).alias(n) for c, n in carried.items()])
     return found.filter(~ref(ghost)).select(*map(ref, [*names, *carried.values()]))
@@ -144,8 +146,9 @@ def _linked(dealt: DataFrame, key: str, order: list[Column], carried: dict[str,
 
 def query(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", text.alias("text")).withColumn("own", signatures(F.col("text"))).withColumn("n_chars", F.char_length("text").cast("long"))
-    rows = neighbours(rows, "doc_id", [F.xxhash64("text"), F.col("text")], {"text": "next_text", "own": "next_own"})
+    rows = docs.select("doc_id", text.alias("text"))
+    derive = lambda dealt: dealt.withColumns({"own": signatures(F.col("text")), "n_chars": F.char_length("text").cast("long")})
+    rows = neighbours(rows, "doc_id", [F.xxhash64("text"), F.col("text")], {"text": "next_text", "own": "next_own"}, derive)
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - half), F.substring(F.col("next_text"), F.lit(1), half))
     rows = rows.select("doc_id", "n_chars", "own", "next_own", edited.alias("edited"))

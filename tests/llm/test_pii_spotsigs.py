@@ -140,3 +140,12 @@ def test_near_duplicates(docs):
         if (x := jaccard(a, b)) >= 0.7:
             want[min(i, j), max(i, j)] = x
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want) and want
+
+
+def test_neighbours_with_many_fine_ranges(monkeypatch, spark):
+    monkeypatch.setattr(spotsigs, "RANGE_ROWS", 0.01)
+    ids = [*range(0, 4000, 7), 10**9, 10**12, -5, 3, 3]
+    table = spark.createDataFrame([(i, str(i)) for i in ids], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["n"]) for r in spotsigs.neighbours(table, "doc_id", [F.col("text")], {"text": "n"}).collect())
+    order = sorted(ids, reverse=True)
+    assert got == sorted((i, str(j)) for i, j in zip(order, [*order[1:], order[0]], strict=True))
