@@ -17,6 +17,7 @@ from kalmia.functions import text as T
 from kalmia.functions.taxonomy import ORDER
 from kalmia.operators import gaps, matching, quality, recommend, windows
 from kalmia.operators.detect import engine as detect
+from kalmia.operators.detect import weighted
 from kalmia.operators import ratings as folds
 from kalmia.sources import adapter, bank
 from kalmia.plans import samples
@@ -768,6 +769,32 @@ def detect_quality(t: Tables) -> DataFrame:
     return quality.confusion(rows)
 
 
+@query()
+def legacy_features(t: Tables) -> DataFrame:
+    return weighted.with_features(corpus(t)).drop("code")
+
+
+def _made_features(t: Tables) -> DataFrame:
+    """Features from keys: every rule's condition is met by some rows and not by others."""
+    flags = [(F.col("p_partkey").bitwiseXOR(F.col("p_partkey") * (i + 3)) % 5 < 2).alias(f) for i, f in enumerate(weighted.FLAGS)]
+    return t.read("part").select(F.col("p_partkey").alias("id"), *flags, (F.col("p_partkey") % 3).cast("int").alias("returns"), (F.col("p_partkey") % 4).cast("int").alias("loop_depth"))
+
+
+FEATURE_SQL = "WITH f AS (SELECT p_partkey AS id, " + ", ".join(f"xor(p_partkey, p_partkey * {i + 3}) % 5 < 2 AS {f}" for i, f in enumerate(weighted.FLAGS)) + ", p_partkey % 3 AS returns, p_partkey % 4 AS loop_depth FROM part) "
+
+
+@query(FEATURE_SQL + " UNION ALL ".join(f"SELECT id, '{p}' AS pattern_id, {weighted.score_sql(p)} AS score FROM f" for p in weighted.RULES), plain=True)
+def legacy_scores(t: Tables) -> DataFrame:
+    return weighted.scores(_made_features(t))
+
+
+@query()
+def legacy_gap(t: Tables) -> DataFrame:
+    wanted = F.element_at(F.split("name", ":"), 2)
+    rows = weighted.scores(weighted.with_features(corpus(t)).filter("error IS NULL").drop("error", "code")).groupBy("name").agg(F.map_from_entries(F.collect_list(F.struct("pattern_id", "score"))).alias("scores"))
+    return rows.select("name", weighted.gap(F.array(wanted), F.col("scores")).alias("g")).select("name", "g.*")
+
+
 # ---- streams, drained over the same tables
 
 

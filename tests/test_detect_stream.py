@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from kalmia.operators import ratings as folds
 from kalmia.operators import windows
 from kalmia.operators.detect import DETECTORS, analyze, analyze_codes, register_udtf
+from kalmia.operators.detect import weighted
 from kalmia.operators.detect.rules import detector
 from kalmia.plans import catalogue, samples
 from kalmia.sources.adapter import Tables
@@ -90,3 +91,21 @@ def test_batch_equals_stream(spark, tmp_path):
 def test_sessions(spark):
     rows = spark.createDataFrame([(1, "2024-01-01 00:00:00"), (1, "2024-01-01 00:20:00"), (1, "2024-01-01 02:00:00"), (2, "2024-01-01 00:00:00")], "user_id long, t string").select("user_id", F.col("t").cast("timestamp").alias("ts"))
     assert sorted((r["user_id"], r["n"]) for r in streams.sessions(rows).collect()) == [(1, 1), (1, 2), (2, 1)]
+
+
+def test_weighted_rules_score_their_own_samples(spark):
+    rows = spark.createDataFrame(list(samples.POSITIVE.items()), "name string, code string")
+    got = weighted.scores(weighted.with_features(rows).drop("code", "error")).collect()
+    score = {(r["name"], r["pattern_id"]): r["score"] for r in got}
+    assert len(got) == len(samples.POSITIVE) * 33 and all(0 <= s <= 1 for s in score.values())
+    for name in ("heap_top_k", "union_find", "hash_map_frequency", "dp_2d_grid", "binary_search_standard", "topological_sort", "prefix_sum", "two_pointers_opposite", "bfs_shortest_path"):
+        assert score[name, name] >= weighted.MATCH, (name, score[name, name])
+    assert score["sorting", "heap_top_k"] == 0.0
+
+
+def test_older_sanitizer_and_gap(spark):
+    assert weighted.sanitize("import os.path\nfrom sys import x\neval(y)")[0] == ["Disallowed import of module 'os.path'.", "Disallowed import from module 'sys'.", "Disallowed access to name 'eval'."]
+    assert weighted.sanitize("public class A {}")[0] == ["language_not_supported"] and weighted.sanitize("x = 1")[0] == [] and weighted.sanitize("f(")[0][0].startswith("SyntaxError")
+    scores = F.create_map(F.lit("a"), F.lit(0.6), F.lit("b"), F.lit(0.6), F.lit("c"), F.lit(0.2))
+    gap = lambda *e: tuple(spark.range(1).select(weighted.gap(F.array(*map(F.lit, e)).cast("array<string>"), scores).alias("g")).select("g.*").first())
+    assert gap("b", "a") == (False, 0.6, "b", None) and gap("c", "z") == (True, 0.2, None, "c") and gap() == (True, 0.0, None, None)
