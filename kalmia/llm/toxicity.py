@@ -194,7 +194,7 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE,
     rows = (
         docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id", "left").withColumn("u", F.coalesce(unlabelled, F.lit(False)))
         .filter(F.col("u") | F.col("toxic").isNotNull())
-        .select("doc_id", "text", "toxic", "u").limit(2 * (max_positive + max_unlabelled + max_calibration)).mapInArrow(extract, schema)
+        .select("doc_id", "text", "toxic", "u").mapInArrow(extract, schema).limit(2 * (max_positive + max_unlabelled + max_calibration))
     )
     p, u, c, y = [], [], [], []
     for row in sorted(rows.collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"], bytes(r["f"]))):
