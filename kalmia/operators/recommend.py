@@ -149,12 +149,12 @@ def gated(rows: DataFrame) -> DataFrame:
     here = F.when(gap, F.col("problem_user")).when(passed, F.col("problem_pass")).otherwise(F.col("problem_fail"))
     branch = (
         F.when(F.col("companion"), "companion")
-        .when(~gap & passed & F.col("locked_pass"), "rotate").when(~gap & ~passed & F.col("locked_fail"), "rotate")
+        .when(~gap & passed & F.col("locked_pass"), "locked").when(~gap & ~passed & F.col("locked_fail"), "locked")
         .when(gap & (conf < HINT), "general_hint").when(gap & (conf < SPECIFIC), "topic_hint")
-        .when(here.isNull() & moves, "rotate").when(here.isNotNull() & F.col("same_twice") & moves, "diversity").otherwise("stay")
+        .when(here.isNull() & moves, F.when(gap, "fallback").otherwise("rotate")).when(here.isNotNull() & F.col("same_twice") & moves, "diversity").otherwise("stay")
     )
     out = rows.withColumns({"branch": branch, "_here": here})
-    turned, plain = F.col("branch").isin("rotate", "diversity"), F.col("branch").isin("companion", "general_hint", "topic_hint")
+    turned, plain = F.col("branch").isin("locked", "rotate", "fallback", "diversity"), F.col("branch").isin("companion", "general_hint", "topic_hint")
     level = F.when(plain | gap, F.col("user_difficulty")).when(passed, R.moved(F.col("difficulty"), F.lit(1))).otherwise(R.moved(F.col("difficulty"), F.lit(-1)))
     out = out.withColumns({
         "chosen_topic": F.when(turned, F.col("new_topic")).otherwise(F.col("topic")),
@@ -172,9 +172,9 @@ def explanation(tier: Column, branch: Column, topic: Column, old_topic: Column,
     capital = F.concat(F.upper(F.substring(t, 1, 1)), F.substring(t, 2, 1000))
     changed = problem.isNotNull() & (old != new)
     return (
-        F.when(branch.isin("rotate", "diversity") & (verdict == "fail"), say("You've been struggling with ", o, " recently. Let's strengthen ", t, " before returning."))
-        .when(branch.isin("rotate", "diversity") & (run > 1), say("You solved ", run.cast("string"), " consecutive ", o, " problems. ", capital, " is one of your lowest-rated topics, so we're broadening your coverage."))
-        .when(branch.isin("rotate", "diversity"), say("Good work on ", o, ". Let's switch to ", t, ", one of your lowest-rated topics, to broaden your coverage."))
+        F.when((branch.isin("locked", "rotate") & (verdict != "pass")) | ((branch == "diversity") & (verdict == "fail")), say("You've been struggling with ", o, " recently. Let's strengthen ", t, " before returning."))
+        .when((branch == "locked") & (run > 1), say("You solved ", run.cast("string"), " consecutive ", o, " problems. ", capital, " is one of your lowest-rated topics, so we're broadening your coverage."))
+        .when(branch.isin("locked", "rotate", "diversity"), say("Good work on ", o, ". Let's switch to ", t, ", one of your lowest-rated topics, to broaden your coverage."))
         .when(~gap & (verdict == "pass") & changed, say("You handled the ", old, " ", t, " problem correctly. Let's try a ", new, " problem."))
         .when(~gap & (verdict == "pass") & problem.isNotNull(), say("Good progress on ", t, ". Let's continue with another problem."))
         .when(~gap & (verdict == "pass"), say("Good progress on ", t, ". We're finding the right next challenge."))

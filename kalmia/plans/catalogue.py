@@ -628,10 +628,14 @@ def gated_recommendation(t: Tables) -> DataFrame:
     rows = rows.withColumn("user_difficulty", R.difficulty_for(F.coalesce("elo_rating", F.lit(R.START))))
     open_topics = recommend.topic_problems(bank_, t.pattern_dim.select(F.col("pattern_id").alias("topic")))
     current = last.select("user_id", F.col("current_id").alias("id"))
-    for name, level in (("problem_pass", R.moved(F.col("difficulty"), F.lit(1))), ("problem_fail", R.moved(F.col("difficulty"), F.lit(-1))), ("problem_user", F.col("user_difficulty"))):
-        wanted = rows.select("user_id", "topic", level.alias("difficulty"))
-        found = recommend.ranked_unsolved(wanted, open_topics, subs, current).select("user_id", "topic", F.col("problem_id").alias(name))
-        rows = rows.join(found, ["user_id", "topic"], "left")
+    levels = ("Easy", "Medium", "Hard")
+    wanted = rows.select("user_id", "topic", F.explode(F.array(*map(F.lit, levels))).alias("difficulty"))
+    best = recommend.ranked_unsolved(wanted, open_topics, subs, current).groupBy("user_id", "topic").agg(*[F.max(F.when(F.col("difficulty") == d, F.col("problem_id"))).alias(f"best_{d}") for d in levels])
+    rows = rows.join(best, ["user_id", "topic"], "left")
+    at = lambda level: F.when(level == "Easy", F.col("best_Easy")).when(level == "Medium", F.col("best_Medium")).otherwise(F.col("best_Hard"))
+    rows = rows.withColumns({
+        "problem_pass": at(R.moved(F.col("difficulty"), F.lit(1))), "problem_fail": at(R.moved(F.col("difficulty"), F.lit(-1))), "problem_user": at(F.col("user_difficulty")),
+    })
     turn = recommend.rotate_topic(rows.select("user_id", F.col("topic").alias("current_topic")), options(t)).select("user_id", "new_topic")
     rows = rows.join(turn, "user_id", "left")
     new_level = prof.select("user_id", F.col("topic").alias("new_topic"), R.difficulty_for(F.col("elo_rating")).alias("new_difficulty"))

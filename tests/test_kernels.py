@@ -152,7 +152,7 @@ def ladder(r):
         lock = r["locked_pass"] if r["verdict"] == "pass" else r["locked_fail"]
         here = r["problem_pass"] if r["verdict"] == "pass" else r["problem_fail"]
         if lock:
-            return "rotate", "specific" if r["new_problem_id"] else "topic_hint", r["new_topic"]
+            return "locked", "specific" if r["new_problem_id"] else "topic_hint", r["new_topic"]
     elif r["confidence"] < 0.55:
         return "general_hint", "general_hint", r["topic"]
     elif r["confidence"] < 0.75:
@@ -160,7 +160,7 @@ def ladder(r):
     else:
         here = r["problem_user"]
     if here is None and moves:
-        return "rotate", "specific" if r["new_problem_id"] else "topic_hint", r["new_topic"]
+        return "fallback" if r["gap_detected"] else "rotate", "specific" if r["new_problem_id"] else "topic_hint", r["new_topic"]
     if here is not None and r["same_twice"] and moves:
         return "diversity", "specific" if r["new_problem_id"] else "topic_hint", r["new_topic"]
     return "stay", "specific" if here is not None else "topic_hint", r["topic"]
@@ -214,6 +214,9 @@ def test_versioned_writes(spark):
 
 def test_explanations(spark):
     words = lambda *a: spark.range(1).select(recommend.explanation(*[F.lit(x) if not isinstance(x, type(None)) else F.lit(None).cast("long") for x in a])).first()[0]
-    assert words("specific", "rotate", "dp_knapsack", "two_sum", "pass", False, 3, "Easy", "Hard", 3).startswith("You solved 3 consecutive two sum problems. Dp knapsack is")
+    assert words("specific", "locked", "dp_knapsack", "two_sum", "pass", False, 3, "Easy", "Hard", 3).startswith("You solved 3 consecutive two sum problems. Dp knapsack is")
     assert words("topic_hint", "stay", "prefix_sum", "prefix_sum", "pass", False, None, "Easy", "Medium", 0) == "Good progress on prefix sum. We're finding the right next challenge."
+    assert words("specific", "fallback", "dp_knapsack", "two_sum", "tle", True, 3, "Easy", "Hard", 0) == "Let's target dp knapsack, which was identified as an area to work on."
+    assert words("specific", "rotate", "dp_knapsack", "two_sum", "tle", False, 3, "Easy", "Hard", 0).startswith("You've been struggling with two sum")
+    assert words("specific", "diversity", "dp_knapsack", "two_sum", "tle", False, 3, "Easy", "Hard", 4).startswith("Good work on two sum")
     assert words("general_hint", "general_hint", "prefix_sum", "prefix_sum", "fail", True, None, "Easy", "Medium", 0) == "Focus on building a strong foundation in prefix sum."
