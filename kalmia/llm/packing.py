@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kalmia.llm._common import materialize, prepare
-from kalmia.llm.tokens import safe_parts, tokenizer
+from kalmia.llm.tokens import SPLIT_CHARS, safe_parts, tokenizer
 
 VOCABULARY = "byte_bpe_50k.json"
 CAPACITY = 2048
@@ -68,11 +68,12 @@ def encode(text: str, vocabulary: str = VOCABULARY) -> np.ndarray:
     """The ids that the vocabulary's own library gives without added special tokens.
 
     Plain texts go through the equivalent, several times quicker library; texts with characters
-    whose class depends on a library's Unicode version go through the vocabulary's own.
+    whose class depends on a library's Unicode version go through the vocabulary's own. So do long
+    stretches without a safe place, over whose white space the quicker one's patterns run out of stack.
     """
     fast, out = _fast(vocabulary), []
     for part in safe_parts(text):
-        if fast is not None and not _PLAIN.search(part):
+        if fast is not None and len(part) <= 4 * SPLIT_CHARS and not _PLAIN.search(part):
             out.append(np.asarray(fast.encode(part, allowed_special="all"), dtype=np.uint32))
         else:
             out.append(np.asarray(tokenizer(vocabulary).encode(part, add_special_tokens=False).ids, dtype=np.uint32))

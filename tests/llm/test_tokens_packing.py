@@ -35,6 +35,11 @@ def test_encode_on_documents(docs, odd):
         assert packing.encode(r["text"] or "").tolist() == ids_of(r["text"])
 
 
+def test_stretches_without_a_safe_place():
+    for text in (" " * 1_000_000, "a" * 200_000, "\n" * 200_000, "x" + "\t " * 300_000 + "y"):
+        assert packing.encode(text).tolist() == ids_of(text)
+
+
 def test_counts(docs, odd, none):
     for table in (docs, odd):
         got = sorted((str(r["doc_id"]), r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in tokens.query(table).collect())
