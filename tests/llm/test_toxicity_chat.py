@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from kalmia.llm import chat, toxicity
 
@@ -37,6 +38,12 @@ def test_odd_tables(spark, odd, none):
         assert len(got) == table.count() and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in got)
 
 
+def test_the_smallest_shares_still_pick_rows(spark):
+    rows = spark.range(40_000_000)
+    assert 5 <= rows.filter(toxicity._thin(F.col("id"), 3, 4e-7)).count() <= 32
+    assert rows.limit(1_000).filter(toxicity._thin(F.col("id"), 3, 1.0)).count() == 1_000
+
+
 def test_the_correction_never_goes_negative():
     rng = np.random.default_rng(0)
     p = [np.array([0, 2], dtype=np.uint32) if rng.random() < 0.9 else np.array([2], dtype=np.uint32) for _ in range(200)]
