@@ -4,9 +4,10 @@ Every shard gets, for each record key, a score -weight / ln(u), u being a hash o
 (0, 1); the record goes to the shard with the highest one. Key and number of shards alone decide,
 and one more shard takes rows only into itself. Shards' shares follow their weights.
 
-A row's slot in its shard is gapless from 0. Rows are ranked within (shard, bucket of key hashes),
-and a bucket starts where the counts of the buckets before it end: no task sorts a whole shard. The
-start table has shards x buckets rows, whatever the input.
+A row's slot in its shard is gapless from 0. Rows are ranked within (shard, bucket), and a bucket
+starts where the counts of the buckets before it end: no task sorts a whole shard. Buckets come from
+a hash of the key and of the columns in ``order``, so the different rows of a hot key fall into all
+of its shard's buckets. The start table has shards x buckets rows, whatever the input.
 
 A null key counts as a key of its own. Equal keys, and so repeated rows, share a shard. An empty
 table gives an empty result. Columns named shard, slot and grown_shard are replaced.
@@ -42,14 +43,14 @@ def rendezvous(key: Column, weights: Sequence[float]) -> Column:
 def shard(docs: DataFrame, key: str = "doc_id", weights: Sequence[float] = (1.0,) * SHARDS, grown: float = 1.0, order: Sequence[str] = ()) -> DataFrame:
     """``docs`` with shard, slot, and grown_shard (with one more shard of weight ``grown``).
 
-    ``order``: columns that order rows of equal keys among themselves.
+    ``order``: columns that order rows of equal keys among themselves and spread them over buckets.
     """
     docs = without(docs, "shard", "slot", "grown_shard")
     bucket, rank, start, n = fresh(docs, "bucket", "rank", "start", "n")
     rows = docs.withColumns({
         "shard": rendezvous(ref(key), weights),
         "grown_shard": rendezvous(ref(key), [*weights, grown]),
-        bucket: F.pmod(F.xxhash64(F.coalesce(ref(key).cast("string"), F.lit("\x00null")), F.lit("slot")), F.lit(BUCKETS)).cast("int"),
+        bucket: F.pmod(F.xxhash64(F.coalesce(ref(key).cast("string"), F.lit("\x00null")), F.lit("slot"), *map(ref, order)), F.lit(BUCKETS)).cast("int"),
     })
     before = Window.partitionBy("shard").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     counts = rows.groupBy("shard", bucket).agg(F.count(F.lit(1)).alias(n))

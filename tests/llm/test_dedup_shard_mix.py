@@ -61,6 +61,18 @@ def test_shard_weights(spark):
         sharding.rendezvous(F.lit(1), (0, 0))
 
 
+def test_a_hot_key_is_spread_over_buckets(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "BUCKETS", 8)
+    rows = spark.range(2_000).select(F.when(F.col("id") % 2 == 0, 7).otherwise(F.col("id")).alias("doc_id"), F.hash("id").alias("h"))
+    got = sharding.shard(rows, order=("h",)).collect()
+    hot = [r for r in got if r["doc_id"] == 7]
+    assert len({r["shard"] for r in hot}) == 1 and len(hot) >= 1_000
+    inside = sorted((r["slot"], r["doc_id"], r["h"]) for r in got if r["shard"] == hot[0]["shard"])
+    assert [x[0] for x in inside] == list(range(len(inside)))
+    order = [h for _, key, h in inside if key == 7]
+    assert sum(b < a for a, b in zip(order, order[1:], strict=False)) == 7  # h rises within each of the 8 buckets
+
+
 def brute_copies(doc_id, source, rate, seed=17):
     parts = max(1, math.ceil(rate / mixing.PART))
     total = 0
