@@ -86,3 +86,30 @@ def unsafe(code: Column) -> Column:
         F.when(text == "", "Code string cannot be empty").when(banned.isNotNull(), F.concat(F.lit("Unsafe construct detected: "), banned))
         .when(imported.isNotNull(), F.concat(F.lit("Dangerous import detected: "), imported))
     )
+
+
+def first_topic(topics: Column) -> Column:
+    """The first of a comma list, trimmed."""
+    return F.trim(F.split_part(topics, F.lit(","), F.lit(1)))
+
+
+def test_case_lines(raw: Column) -> Column:
+    """Example test cases: trimmed lines without blank ones."""
+    lines = F.transform(F.split(F.coalesce(raw, F.lit("")), "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    return F.filter(lines, lambda x: x != "")
+
+
+def display_name(full_name: Column, name: Column, email: Column) -> Column:
+    """The first name that isn't empty, else what stands before the @."""
+    some = lambda c: F.nullif(c, F.lit(""))
+    return F.coalesce(some(full_name), some(name), F.split_part(email, F.lit("@"), F.lit(1)))
+
+
+def stored_code(code: Column) -> Column:
+    """Code as submissions keep it: its first 1000 characters."""
+    return F.substring(code, 1, 1000)
+
+
+def envelope(data: Column) -> Column:
+    """The JSON reply that carries a row."""
+    return F.to_json(F.struct(F.lit(True).alias("success"), data.alias("data")))

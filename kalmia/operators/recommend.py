@@ -24,6 +24,27 @@ def weakest_topics(profiles: DataFrame, recommendable: DataFrame, k: int) -> Dat
     return ranked.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= k)
 
 
+def starting_problem(profiles: DataFrame, problems: DataFrame) -> DataFrame:
+    """(user_id, topic, problem_id): the best Easy problem of the weakest topic that has one, else the first Easy problem.
+
+    One problem a topic is left before users join it, so the join's side is at most the taxonomy's size.
+    """
+    easy = problems.filter("difficulty = 'Easy'")
+    order = F.struct((-F.coalesce("acceptance_rate", F.lit(0.0))).alias("a"), F.col("id").alias("i"))
+    best = easy.groupBy(F.col("primary_pattern").alias("topic")).agg(F.min(order)["i"].alias("problem_id"))
+    fallback = easy.agg(F.min("id").alias("first"))
+    score = F.round(weakness(F.col("elo_rating"), F.col("accuracy"), F.col("recent_failures")), 6)
+    place = F.struct((-score).alias("w"), F.round("elo_rating", 6).alias("e"), F.col("accuracy"), F.col("topic").alias("t"))
+    known = profiles.join(F.broadcast(best), "topic", "left").groupBy("user_id")
+    found = known.agg(F.min(F.when(F.col("problem_id").isNotNull(), F.struct(place.alias("p"), F.col("problem_id").alias("id")))).alias("x"))
+    return found.join(F.broadcast(fallback), F.lit(True)).select("user_id", F.col("x.p.t").alias("topic"), F.coalesce("x.id", "first").alias("problem_id"))
+
+
+def pass_probability(difficulty: Column, topic: Column, rates: dict[str, float], multipliers: dict[str, float]) -> Column:
+    """A simulated learner's chance to pass: the rate of the difficulty (else 0.5) times the topic's factor (else 1)."""
+    return F.coalesce(R.of(rates, difficulty), F.lit(0.5)) * F.coalesce(R.of(multipliers, topic), F.lit(1.0))
+
+
 def unsolved(users: DataFrame, problems: DataFrame, submissions: DataFrame) -> DataFrame:
     """(user_id, problem columns) for problems that the user hasn't passed. ``problems`` is a bounded bank."""
     passed = submissions.filter((F.col("verdict") == "pass") & F.col("problem_id").isNotNull()).select("user_id", F.col("problem_id").alias("id")).distinct()

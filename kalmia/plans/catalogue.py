@@ -389,9 +389,12 @@ def elo_single_step(t: Tables) -> DataFrame:
 
 @query()  # rounds after each step, where engines round halves differently: tests hold it against a plain loop
 def pattern_elo_replay(t: Tables) -> DataFrame:
+    return folds.pattern_replay(rated(t))
+
+
+def rated(t: Tables) -> DataFrame:
     result = F.when(~F.col("gap_identified"), "FULL_MATCH").when(F.col("verdict") == "pass", "PARTIAL_MATCH").otherwise("NO_MATCH")
-    rows = t.submissions.select("user_id", "id", "submitted_at", F.col("detected_pattern").alias("pattern_id"), result.alias("match_result"), F.lit(0.0).alias("gap_strength"), F.col("detected_confidence").alias("confidence"))
-    return folds.pattern_replay(rows)
+    return t.submissions.select("user_id", "id", "submitted_at", F.col("detected_pattern").alias("pattern_id"), result.alias("match_result"), F.lit(0.0).alias("gap_strength"), F.col("detected_confidence").alias("confidence"))
 
 
 # ---- matching and gaps
@@ -799,6 +802,59 @@ def legacy_gap(t: Tables) -> DataFrame:
     return rows.select("name", weighted.gap(F.array(wanted), F.col("scores")).alias("g")).select("name", "g.*")
 
 
+# ---- the read-through cache, the simulated learner, replies
+
+
+@query("""
+, wanted AS (SELECT DISTINCT problem_id AS id FROM submissions), cache AS (SELECT id, title FROM problems WHERE id % 3 <> 0)
+SELECT w.id, c.title, c.id IS NOT NULL AS hit FROM wanted w LEFT JOIN cache c USING (id)""")
+def cache_read_through(t: Tables) -> DataFrame:
+    hits, misses = bank.read_through(t.submissions.select(F.col("problem_id").alias("id")).distinct(), t.problems.filter("id % 3 <> 0").select("id", "title"), ["id"])
+    return hits.withColumn("hit", F.lit(True)).unionByName(misses.withColumns({"title": F.lit(None).cast("string"), "hit": F.lit(False)}))
+
+
+@query(LIVE_SQL + """
+, easy AS (SELECT * FROM problems WHERE difficulty = 'Easy'),
+best AS (SELECT primary_pattern AS topic, id FROM easy QUALIFY row_number() OVER (PARTITION BY primary_pattern ORDER BY coalesce(acceptance_rate, 0) DESC, id) = 1),
+pick AS (SELECT user_id, topic, id FROM profiles JOIN best USING (topic) QUALIFY row_number() OVER (PARTITION BY user_id
+  ORDER BY round((1600 - elo_rating) / 1200 + (1 - accuracy) + least(recent_failures, 5) / 3, 6) DESC, round(elo_rating, 6), accuracy, topic) = 1)
+SELECT u.user_id, p.topic, coalesce(p.id, (SELECT min(id) FROM easy)) AS problem_id FROM (SELECT DISTINCT user_id FROM profiles) u LEFT JOIN pick p USING (user_id)""")
+def starting_problem(t: Tables) -> DataFrame:
+    return recommend.starting_problem(profiles(t), t.problems)
+
+
+#: A learner for the query below.
+RATES, FACTORS = {"Easy": 0.85, "Medium": 0.6}, {"prefix_sum": 1.3, "dp_2d_grid": 0.3}
+
+
+@query("""
+SELECT difficulty, primary_pattern AS topic, round(CASE difficulty WHEN 'Easy' THEN 0.85 WHEN 'Medium' THEN 0.6 ELSE 0.5 END * CASE primary_pattern WHEN 'prefix_sum' THEN 1.3 WHEN 'dp_2d_grid' THEN 0.3 ELSE 1.0 END, 6)::DOUBLE AS probability,
+  count(*) AS problems FROM problems GROUP BY 1, 2, 3""")
+def pass_probability(t: Tables) -> DataFrame:
+    chance = r6(recommend.pass_probability(F.col("difficulty"), F.col("primary_pattern"), RATES, FACTORS))
+    return t.problems.groupBy("difficulty", F.col("primary_pattern").alias("topic"), chance.alias("probability")).agg(F.count("*").alias("problems"))
+
+
+@query(""" SELECT user_id, detected_pattern AS pattern_id, detected_confidence AS confidence FROM submissions QUALIFY row_number() OVER (PARTITION BY user_id, detected_pattern ORDER BY id) = 1""")
+def resolved_overlaps(t: Tables) -> DataFrame:
+    rows = windows.first_n(t.submissions, ["user_id", "detected_pattern"], [F.col("id")], 1)
+    return rows.select("user_id", F.col("detected_pattern").alias("pattern_id"), F.col("detected_confidence").alias("confidence"))
+
+
+@query("""
+SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_name WHEN c_custkey % 3 = 1 THEN c_mktsegment ELSE 'u' || c_custkey END AS display_name,
+  CASE WHEN c_custkey % 2 = 0 THEN 'Arrays' ELSE 'Graphs' END AS first_topic, CASE WHEN c_custkey % 2 = 0 THEN '1;2 3' ELSE '' END AS test_cases, length(left(repeat(c_name, 100), 1000)) AS code_chars,
+  '{"success":true,"data":{"id":' || c_custkey || '}}' AS reply FROM customer""", plain=True)
+def reply_fields(t: Tables) -> DataFrame:
+    key = F.col("c_custkey")
+    name = T.display_name(F.when(key % 3 == 0, F.col("c_name")), F.when(key % 3 == 1, F.col("c_mktsegment")).otherwise(""), F.concat(F.lit("u"), key.cast("string"), F.lit("@mail.example")))
+    cases = T.test_case_lines(F.when(key % 2 == 0, F.lit(" 1 \n\n2 3\n")))
+    return t.read("customer").select(
+        "c_custkey", name.alias("display_name"), T.first_topic(F.when(key % 2 == 0, F.lit(" Arrays, Sorting")).otherwise("Graphs")).alias("first_topic"), F.array_join(cases, ";").alias("test_cases"),
+        F.char_length(T.stored_code(F.repeat("c_name", 100))).cast("bigint").alias("code_chars"), T.envelope(F.struct(key.alias("id"))).alias("reply"),
+    )
+
+
 # ---- streams, drained over the same tables
 
 
@@ -838,3 +894,10 @@ def stream_event_windows(t: Tables) -> DataFrame:
     out = _drained(t, streams.event_windows(_events(t).withColumn("ts", F.col("ts").cast("timestamp"))), "complete")
     newest = out.agg(F.max("batch").alias("batch"))
     return out.join(F.broadcast(newest), "batch").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total")
+
+
+@query()  # rounds after each step, as pattern_elo_replay; a test holds it against that
+def stream_pattern_elo(t: Tables) -> DataFrame:
+    out = _drained(t, streams.pattern_ratings(rated(_Live(t.spark, t.sf_dir))), "update")
+    last = Window.partitionBy("user_id", "pattern_id").orderBy(F.desc("batch"))
+    return out.withColumn("rn", F.row_number().over(last)).filter("rn = 1").select("user_id", "pattern_id", "elo", "updates")

@@ -63,6 +63,11 @@ def insert_or_ignore(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> Dat
     return old.unionByName(new.dropDuplicates(list(keys)).join(old.select(*keys), list(keys), "left_anti").select(*old.columns))
 
 
+def read_through(wanted: DataFrame, cache: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows of ``wanted`` that the cache has, with its columns; the distinct keys that are still to be fetched)."""
+    return wanted.join(cache, list(keys)), wanted.select(*keys).distinct().join(cache, list(keys), "left_anti")
+
+
 def with_ids(rows: DataFrame, after: int, order: Sequence[str]) -> DataFrame:
     """Ids that follow ``after`` in a natural order. The rank is global: for batches of new rows, not whole tables."""
     return rows.withColumn("id", F.row_number().over(Window.orderBy(*order)) + F.lit(after))

@@ -7,6 +7,7 @@ order per key, as the batch folds' input is. On such input batch and stream give
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import ROUND_HALF_UP, Decimal
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -17,6 +18,7 @@ from kalmia.functions import ratings as R
 
 PROFILE = "user_id long, topic string, elo_rating double, attempt_count long, pass_count long, recent_failures long"
 PROFILE_STATE = "elo double, attempts long, passes long, failures long"
+PATTERN = "user_id long, pattern_id string, elo double, updates long"
 STREAK = "user_id long, last_submission_date date, current_streak long"
 
 
@@ -37,6 +39,31 @@ def topic_profiles(stream: DataFrame) -> DataFrame:
     return stream.groupBy("user_id", "topic").applyInPandasWithState(_profile, PROFILE, PROFILE_STATE, "update", GroupStateTimeout.NoTimeout)
 
 
+def _two_places(x: float) -> float:
+    """Halves away from zero on the shortest decimal form, as the JVM rounds."""
+    return float(Decimal(repr(x)).quantize(Decimal("0.01"), ROUND_HALF_UP))
+
+
+def _pattern(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    elo, updates = state.get if state.exists else (R.PATTERN_START, 0)
+    for row in pd.concat(batches).sort_values(["submitted_at", "id"]).itertuples():
+        hope = 1 / (1 + 10 ** ((row.opponent - elo) / 400))
+        elo, updates = _two_places(max(R.FLOOR, elo + row.k * (row.score - hope))), updates + 1
+    state.update((float(elo), int(updates)))
+    yield pd.DataFrame({"user_id": [key[0]], "pattern_id": [key[1]], "elo": [elo], "updates": [updates]})
+
+
+def pattern_ratings(stream: DataFrame) -> DataFrame:
+    """Pattern ratings that a micro-batch changed. Scores, K factors and opponents don't depend on the state
+    and so are expressions; input as ``operators.ratings.pattern_replay``'s."""
+    gap, conf = (F.coalesce(c, F.lit(0.0)) for c in ("gap_strength", "confidence"))
+    ready = stream.select(
+        "user_id", "pattern_id", "submitted_at", "id", R.resolved_score(R.match_score(F.col("match_result")), gap, conf).alias("score"),
+        R.k_factor(gap, F.lit(0)).alias("k"), R.opponent_for(conf).alias("opponent"),
+    )
+    return ready.groupBy("user_id", "pattern_id").applyInPandasWithState(_pattern, PATTERN, "elo double, updates long", "update", GroupStateTimeout.NoTimeout)
+
+
 def _streak(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     last, run = state.get if state.exists else (None, 0)
     for day in sorted({d.toordinal() for b in batches for d in b["day"]}):

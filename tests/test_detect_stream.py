@@ -88,6 +88,14 @@ def test_batch_equals_stream(spark, tmp_path):
     assert last == {r["user_id"]: r["current_streak"] for r in windows.daily_streak(rows).collect()}
 
 
+def test_pattern_ratings_batch_equals_stream(spark, tmp_path):
+    rows = catalogue.rated(Tables(spark, "/root/testdata/sf0.001")).filter("user_id <= 4")
+    live = batches_of(spark, rows, tmp_path / "in", 2)
+    streams.drain(streams.pattern_ratings(live), "update", str(tmp_path / "out"), str(tmp_path / "state"))
+    last = {(r["user_id"], r["pattern_id"]): (r["elo"], r["updates"]) for r in spark.read.parquet(str(tmp_path / "out")).orderBy("batch").collect()}
+    assert last == {(r["user_id"], r["pattern_id"]): (r["elo"], r["updates"]) for r in folds.pattern_replay(rows).collect()}
+
+
 def test_sessions(spark):
     rows = spark.createDataFrame([(1, "2024-01-01 00:00:00"), (1, "2024-01-01 00:20:00"), (1, "2024-01-01 02:00:00"), (2, "2024-01-01 00:00:00")], "user_id long, t string").select("user_id", F.col("t").cast("timestamp").alias("ts"))
     assert sorted((r["user_id"], r["n"]) for r in streams.sessions(rows).collect()) == [(1, 1), (1, 2), (2, 1)]
