@@ -45,12 +45,6 @@ def pass_probability(difficulty: Column, topic: Column, rates: dict[str, float],
     return F.coalesce(R.of(rates, difficulty), F.lit(0.5)) * F.coalesce(R.of(multipliers, topic), F.lit(1.0))
 
 
-def unsolved(users: DataFrame, problems: DataFrame, submissions: DataFrame) -> DataFrame:
-    """(user_id, problem columns) for problems that the user hasn't passed. ``problems`` is a bounded bank."""
-    passed = submissions.filter((F.col("verdict") == "pass") & F.col("problem_id").isNotNull()).select("user_id", F.col("problem_id").alias("id")).distinct()
-    return users.join(problems, F.lit(True)).join(passed, ["user_id", "id"], "left_anti")
-
-
 def topic_problems(problems: DataFrame, topics: DataFrame) -> DataFrame:
     """(topic, problem) where the topic's text is in the problem's topics (with SQL's wildcards) or is its primary pattern."""
     on = (F.col("primary_pattern") == F.col("topic")) | F.expr("topics LIKE concat('%', topic, '%')")
@@ -77,6 +71,14 @@ def ranked_unsolved(wanted: DataFrame, bank: DataFrame, submissions: DataFrame,
     return next_.join(ranked, ["topic", "difficulty", "place_"]).select(*keys, F.col("id").alias("problem_id"), "primary_pattern")
 
 
+def first_unsolved(users: DataFrame, problems: DataFrame, submissions: DataFrame) -> DataFrame:
+    """(user_id, difficulty, problem_id): each user's first unsolved problem of the whole bank by difficulty (lexical), acceptance, id."""
+    bank = problems.select(F.lit("").alias("topic"), "difficulty", "id", "acceptance_rate", F.lit("").alias("primary_pattern"))
+    wanted = users.join(F.broadcast(bank.select("topic", "difficulty").distinct()), F.lit(True))  # a row for each user and difficulty
+    found = ranked_unsolved(wanted, bank, submissions)
+    return found.groupBy("user_id").agg(F.min(F.struct("difficulty", "problem_id")).alias("x")).select("user_id", "x.*")
+
+
 def rotation(weakest: DataFrame, bank: DataFrame, submissions: DataFrame) -> DataFrame:
     """Each user's weak topics with an unsolved problem at the level of the topic's rating, weakest first (place)."""
     wanted = weakest.select("user_id", "topic", "rn", R.difficulty_for(F.col("elo_rating")).alias("difficulty"))

@@ -196,9 +196,7 @@ SELECT user_id, id AS problem_id, difficulty FROM (SELECT u.user_id, p.id, p.dif
   FROM (SELECT DISTINCT user_id FROM submissions) u, (SELECT * FROM problems WHERE id <= 150) p
   WHERE NOT EXISTS (SELECT 1 FROM submissions s WHERE s.user_id = u.user_id AND s.problem_id = p.id AND s.verdict = 'pass')) WHERE rn = 1""")
 def first_unsolved(t: Tables) -> DataFrame:
-    open_ = recommend.unsolved(t.users, F.broadcast(t.problems.filter("id <= 150").select("id", "difficulty", "acceptance_rate")), t.submissions)
-    first = windows.first_n(open_, ["user_id"], [F.col("difficulty"), F.coalesce("acceptance_rate", F.lit(0.0)).desc(), F.col("id")], 1)
-    return first.select("user_id", F.col("id").alias("problem_id"), "difficulty")
+    return recommend.first_unsolved(t.users, bank_of(t), t.submissions)
 
 
 @query("""
