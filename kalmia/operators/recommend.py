@@ -123,10 +123,13 @@ def top_recommendations(scores: DataFrame, bank: DataFrame, submissions: DataFra
     ready = ready.withColumn("score", F.round(weak_score(F.coalesce("gap_strength", F.lit(0.0)), F.coalesce("elo", F.lit(R.PATTERN_START))) * F.when(F.col("solved"), 0.5).otherwise(1.0), 6))
     w = Window.partitionBy("user_id").orderBy(F.desc("score"), "pattern_id")
     top = ready.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    passed = submissions.filter("verdict = 'pass'").select("user_id", F.col("problem_id").alias("id")).distinct().withColumn("done", F.lit(True))
-    options = top.join(F.broadcast(bank), "pattern_id").join(passed, ["user_id", "id"], "left").withColumn("open", F.col("done").isNull())
-    best = Window.partitionBy("user_id", "pattern_id").orderBy(F.desc("open"), F.coalesce("acceptance_rate", F.lit(0.0)).desc(), "id")
-    picked = options.withColumn("pick", F.row_number().over(best)).filter("pick = 1")
+    # A pattern's first problem is the answer for those who have solved all of them: a row for each pattern.
+    first = bank.groupBy("pattern_id").agg(F.min(F.struct((-F.coalesce("acceptance_rate", F.lit(0.0))).alias("a"), "id"))["id"].alias("first"))
+    all_ = bank.select(F.col("pattern_id").alias("topic"), F.lit("").alias("difficulty"), "id", "acceptance_rate", F.col("pattern_id").alias("primary_pattern"))
+    wanted = top.select("user_id", F.col("pattern_id").alias("topic"), F.lit("").alias("difficulty"))
+    next_ = ranked_unsolved(wanted, all_, submissions).select("user_id", F.col("topic").alias("pattern_id"), "problem_id")
+    picked = top.join(F.broadcast(first), "pattern_id").join(next_, ["user_id", "pattern_id"], "left")
+    picked = picked.withColumns({"open": F.col("problem_id").isNotNull(), "id": F.coalesce("problem_id", "first")})
     level = F.array_position(F.array(F.lit("Easy"), F.lit("Medium"), F.lit("Hard")), R.difficulty_for(F.coalesce("elo", F.lit(R.PATTERN_START))))
     return picked.select(
         "user_id", "rank", "pattern_id", F.col("id").alias("problem_id"), "score", ((level - 1) / 2.0).alias("difficulty_score"),

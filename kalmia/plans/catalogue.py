@@ -601,9 +601,9 @@ SELECT user_id, rank, pattern_id, id AS problem_id, score, CASE WHEN elo < 1000
 
 @query(TOP_SQL)
 def top5_recommendation(t: Tables) -> DataFrame:
-    small = t.problems.filter("id <= 150").select("id", "acceptance_rate", F.explode(T.string_list(F.col("pattern"))).alias("pattern_id")).distinct()
+    bank_ = t.problems.select("id", "acceptance_rate", F.explode(T.string_list(F.col("pattern"))).alias("pattern_id")).distinct()
     scores = profiles(t).select("user_id", F.col("topic").alias("pattern_id"), F.col("elo_rating").alias("elo"), F.lit(0.0).alias("gap_strength"))
-    return recommend.top_recommendations(scores, small, t.submissions).withColumn("rank", F.col("rank").cast("bigint"))
+    return recommend.top_recommendations(scores, bank_, t.submissions).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 @query(LIVE_SQL + """

@@ -47,3 +47,22 @@ def test_first_unsolved_of_a_large_bank(spark):
 
 def test_first_unsolved_query(spark, duck):
     held(spark, duck, "first_unsolved", (" WHERE id <= 150", ""))
+
+
+def test_top_of_a_large_bank(spark):
+    bank = [("p" if i < 400 else "q", i, None if i % 7 == 0 else float(i % 5)) for i in range(100, 500)]
+    order = {p: [i for _, i in sorted((-(a or 0.0), i) for x, i, a in bank if x == p)] for p in "pq"}
+    done = {1: [], 2: order["p"][:3], 3: order["p"], 4: [*order["p"][:2], *order["q"][1:]]}
+    subs = [(u, i, "pass", "z") for u, ids in done.items() for i in ids] + [(1, None, "pass", "z"), (1, order["p"][0], "fail", "z")]
+    scores = spark.createDataFrame([(u, p, 600.0, 0.0) for u in done for p in "pq"], "user_id long, pattern_id string, elo double, gap_strength double")
+    got = recommend.top_recommendations(scores, spark.createDataFrame(bank, "pattern_id string, id long, acceptance_rate double"), spark.createDataFrame(subs, f"{PASSED}, detected_pattern string"))
+    want = {}
+    for u, ids in done.items():
+        for p in "pq":
+            left = [i for i in order[p] if i not in ids]
+            want[u, p] = ((left or order[p])[0], 0.375 if left else 0.175)
+    assert {(r["user_id"], r["pattern_id"]): (r["problem_id"], r["expected_learning_gain"]) for r in got.collect()} == want
+
+
+def test_top_query(spark, duck):
+    held(spark, duck, "top5_recommendation", (" WHERE id <= 150", ""))
