@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kalmia.functions import ratings as R
 from kalmia.functions.taxonomy import CATEGORY_OF, TAGS
+from kalmia.operators import windows
 
 SPECIFIC, HINT = 0.75, 0.55
 MOST = 5
@@ -79,6 +80,13 @@ def first_unsolved(users: DataFrame, problems: DataFrame, submissions: DataFrame
     return found.groupBy("user_id").agg(F.min(F.struct("difficulty", "problem_id")).alias("x")).select("user_id", "x.*")
 
 
+def active(submissions: DataFrame, users: DataFrame, problems: DataFrame) -> DataFrame:
+    """Each known user's latest submission if it wasn't passed, with the difficulty of its problem (null: not in the bank)."""
+    last = windows.latest(submissions, ["user_id"], 1).filter("verdict <> 'pass'")
+    known = problems.select(F.col("id").alias("problem_id"), "difficulty")
+    return last.join(users, "user_id", "left_semi").join(known, "problem_id", "left").select("user_id", "id", "topic", "difficulty")
+
+
 def rotation(weakest: DataFrame, bank: DataFrame, submissions: DataFrame) -> DataFrame:
     """Each user's weak topics with an unsolved problem at the level of the topic's rating, weakest first (place)."""
     wanted = weakest.select("user_id", "topic", "rn", R.difficulty_for(F.col("elo_rating")).alias("difficulty"))

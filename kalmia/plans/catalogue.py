@@ -655,9 +655,7 @@ def gated_recommendation(t: Tables) -> DataFrame:
 SELECT s.user_id, s.id, s.topic, p.difficulty FROM (SELECT * FROM submissions QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY submitted_at DESC, id DESC) = 1) s
 JOIN (SELECT DISTINCT user_id FROM events) u ON u.user_id = s.user_id LEFT JOIN problems p ON p.id = s.problem_id AND p.id <= 100 WHERE s.verdict <> 'pass'""")
 def active_recommendations(t: Tables) -> DataFrame:
-    last = windows.latest(t.submissions, ["user_id"], 1).filter("verdict <> 'pass'")
-    known = t.problems.filter("id <= 100").select(F.col("id").alias("problem_id"), "difficulty")
-    return last.join(t.read("events").select("user_id").distinct(), "user_id").join(known, "problem_id", "left").select("user_id", "id", "topic", "difficulty")
+    return recommend.active(t.submissions, t.read("events").select("user_id").distinct(), t.problems)
 
 
 @query(" SELECT pattern_id, label, 'https://leetcode.com/problemset/?topicSlugs=' || tag || '&difficulty=MEDIUM' AS url FROM pattern_dim")

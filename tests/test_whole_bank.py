@@ -66,3 +66,17 @@ def test_top_of_a_large_bank(spark):
 
 def test_top_query(spark, duck):
     held(spark, duck, "top5_recommendation", (" WHERE id <= 150", ""))
+
+
+def test_active(spark):
+    rows = [(1, 1, 5, "pass"), (2, 1, 120, "fail"), (3, 2, 7, "tle"), (4, 3, 999, "fail"), (5, 4, None, "error"), (6, 5, 120, "fail"), (7, 6, 120, "fail"), (8, 6, 5, "pass")]
+    subs = spark.createDataFrame(rows, "id long, user_id long, problem_id long, verdict string").selectExpr("*", "'t' AS topic", "timestamp_seconds(id) AS submitted_at")
+    bank = spark.createDataFrame([(5, "Easy"), (7, "Hard"), (120, "Medium")], "id long, difficulty string")
+    users = spark.createDataFrame([(1,), (2,), (3,), (4,), (6,)], "user_id long")
+    got = {r["user_id"]: (r["id"], r["difficulty"]) for r in recommend.active(subs, users, bank).collect()}
+    assert got == {1: (2, "Medium"), 2: (3, "Hard"), 3: (4, None), 4: (5, None)}
+
+
+def test_active_query(spark, duck):
+    held(spark, duck, "active_recommendations", (" AND p.id <= 100", ""))
+    assert not catalogue.QUERIES["active_recommendations"](spark, SF).filter("difficulty IS NULL").count()
