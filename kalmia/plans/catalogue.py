@@ -167,10 +167,7 @@ def pattern_index(t: Tables) -> DataFrame:
 SELECT k, coalesce(a.title, b.title) AS title FROM (SELECT p_partkey AS k, p_name AS name FROM part WHERE p_partkey % 3 = 0) w
 LEFT JOIN problems a ON a.id = w.k AND a.id % 2 = 0 LEFT JOIN (SELECT title, min(id) AS id FROM problems GROUP BY 1) b ON b.title = w.name""")
 def priority_lookup(t: Tables) -> DataFrame:
-    wanted = t.read("part").filter("p_partkey % 3 = 0").select(F.col("p_partkey").alias("k"), F.col("p_name").alias("name"))
-    by_id = t.problems.filter("id % 2 = 0").select(F.col("id").alias("k"), F.col("title").alias("a"))
-    by_name = t.problems.select(F.col("title").alias("name"), F.col("title").alias("b")).distinct()
-    return wanted.join(by_id, "k", "left").join(by_name, "name", "left").select("k", F.coalesce("a", "b").alias("title"))
+    return bank.lookup(t.read("part").select(F.col("p_partkey").alias("k"), F.col("p_name").alias("name")), t.problems)
 
 
 # ---- solved, unsolved, streaks

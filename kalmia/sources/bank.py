@@ -24,6 +24,13 @@ def read_bank(spark: SparkSession, path: str) -> DataFrame:
     return named.withColumns({c: F.nullif(F.trim(F.col(c)), F.lit("")).try_cast(t) for c, t in numbers.items()}).withColumn("premium_only", F.coalesce(F.col("premium_only") == "TRUE", F.lit(False)))
 
 
+def lookup(wanted: DataFrame, bank: DataFrame) -> DataFrame:
+    """wanted (k, name) to (k, title): by id, else by title, else null."""
+    by_id = bank.select(F.col("id").alias("k"), F.col("title").alias("a"))
+    by_name = bank.select(F.col("title").alias("name"), F.col("title").alias("b")).distinct()
+    return wanted.join(by_id, "k", "left").join(by_name, "name", "left").select("k", F.coalesce("a", "b").alias("title"))
+
+
 def validate(bank: DataFrame, patterns: DataFrame) -> DataFrame:
     """(id, error): a row for each id outside the taxonomy and each pattern list that can't be read."""
     parsed = bank.select("id", F.from_json("pattern", "array<string>").alias("p"))

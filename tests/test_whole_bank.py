@@ -8,6 +8,7 @@ import pytest
 
 from kalmia.operators import recommend
 from kalmia.plans import catalogue
+from kalmia.sources import bank as banks
 
 SF = "/root/testdata/sf0.01"
 BANK = "id long, difficulty string, acceptance_rate double"
@@ -80,3 +81,15 @@ def test_active(spark):
 def test_active_query(spark, duck):
     held(spark, duck, "active_recommendations", (" AND p.id <= 100", ""))
     assert not catalogue.QUERIES["active_recommendations"](spark, SF).filter("difficulty IS NULL").count()
+
+
+def test_lookup(spark):
+    bank = spark.createDataFrame([(1, "a"), (2, "b"), (3, "b"), (4, None)], "id long, title string")
+    wanted = spark.createDataFrame([(1, "b"), (3, "x"), (4, "a"), (7, "b"), (8, "x"), (9, None)], "k long, name string")
+    assert {r["k"]: r["title"] for r in banks.lookup(wanted, bank).collect()} == {1: "a", 3: "b", 4: "a", 7: "b", 8: None, 9: None}
+    assert banks.lookup(wanted, bank).count() == 6
+
+
+def test_lookup_query(spark, duck):
+    held(spark, duck, "priority_lookup", (" WHERE p_partkey % 3 = 0", ""), (" AND a.id % 2 = 0", ""))
+    assert catalogue.QUERIES["priority_lookup"](spark, SF).count() == 2000
