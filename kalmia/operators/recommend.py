@@ -119,18 +119,32 @@ def reason(pattern: Column, score: Column, unsolved_: Column) -> Column:
     )
 
 
+def pattern_scores(users: DataFrame, patterns: DataFrame, profiles: DataFrame, signals: DataFrame) -> DataFrame:
+    """(user_id, pattern_id, elo, gap_strength) for each user and each pattern of the bank; null where nothing is known. At most the taxonomy's size a user."""
+    every = users.select("user_id").join(F.broadcast(patterns.select("pattern_id").distinct()), F.lit(True))
+    elo = profiles.select("user_id", F.col("topic").alias("pattern_id"), F.col("elo_rating").alias("elo"))
+    return every.join(elo, ["user_id", "pattern_id"], "left").join(signals.select("user_id", "pattern_id", "gap_strength"), ["user_id", "pattern_id"], "left")
+
+
+def weak_patterns(scores: DataFrame, patterns: DataFrame, submissions: DataFrame) -> DataFrame:
+    """Each user's patterns by weak score (rank 1: the weakest), the Elo's default filled in.
+
+    scores: user_id, pattern_id, elo, gap_strength. Patterns solved before count half; patterns without a problem don't count.
+    """
+    solved = submissions.filter("verdict = 'pass'").select("user_id", F.col("detected_pattern").alias("pattern_id")).distinct().withColumn("solved", F.lit(True))
+    ready = scores.join(F.broadcast(patterns.select("pattern_id").distinct()), "pattern_id", "left_semi").join(solved, ["user_id", "pattern_id"], "left")
+    ready = ready.withColumn("elo", F.coalesce("elo", F.lit(R.PATTERN_START)))
+    ready = ready.withColumn("score", F.round(weak_score(F.coalesce("gap_strength", F.lit(0.0)), F.col("elo")) * F.when(F.col("solved"), 0.5).otherwise(1.0), 6))
+    return ready.withColumn("rank", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("score"), "pattern_id")))
+
+
 def top_recommendations(scores: DataFrame, bank: DataFrame, submissions: DataFrame, k: int = MOST) -> DataFrame:
     """Each user's top ``k`` patterns by weak score with their best problem.
 
-    scores: user_id, pattern_id, elo, gap_strength. bank: pattern_id, id, acceptance_rate (a row for each of a
-    problem's patterns). Unsolved problems come before solved ones, then by acceptance and id; patterns solved
-    before count half; patterns without a problem don't count.
+    scores: as for ``weak_patterns``. bank: pattern_id, id, acceptance_rate (a row for each of a problem's patterns).
+    Unsolved problems come before solved ones, then by acceptance and id.
     """
-    solved = submissions.filter("verdict = 'pass'").select("user_id", F.col("detected_pattern").alias("pattern_id")).distinct().withColumn("solved", F.lit(True))
-    ready = scores.join(F.broadcast(bank.select("pattern_id").distinct()), "pattern_id", "left_semi").join(solved, ["user_id", "pattern_id"], "left")
-    ready = ready.withColumn("score", F.round(weak_score(F.coalesce("gap_strength", F.lit(0.0)), F.coalesce("elo", F.lit(R.PATTERN_START))) * F.when(F.col("solved"), 0.5).otherwise(1.0), 6))
-    w = Window.partitionBy("user_id").orderBy(F.desc("score"), "pattern_id")
-    top = ready.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    top = weak_patterns(scores, bank, submissions).filter(F.col("rank") <= k)
     # A pattern's first problem is the answer for those who have solved all of them: a row for each pattern.
     first = bank.groupBy("pattern_id").agg(F.min(F.struct((-F.coalesce("acceptance_rate", F.lit(0.0))).alias("a"), "id"))["id"].alias("first"))
     all_ = bank.select(F.col("pattern_id").alias("topic"), F.lit("").alias("difficulty"), "id", "acceptance_rate", F.col("pattern_id").alias("primary_pattern"))
@@ -138,7 +152,7 @@ def top_recommendations(scores: DataFrame, bank: DataFrame, submissions: DataFra
     next_ = ranked_unsolved(wanted, all_, submissions).select("user_id", F.col("topic").alias("pattern_id"), "problem_id")
     picked = top.join(F.broadcast(first), "pattern_id").join(next_, ["user_id", "pattern_id"], "left")
     picked = picked.withColumns({"open": F.col("problem_id").isNotNull(), "id": F.coalesce("problem_id", "first")})
-    level = F.array_position(F.array(F.lit("Easy"), F.lit("Medium"), F.lit("Hard")), R.difficulty_for(F.coalesce("elo", F.lit(R.PATTERN_START))))
+    level = F.array_position(F.array(F.lit("Easy"), F.lit("Medium"), F.lit("Hard")), R.difficulty_for(F.col("elo")))
     return picked.select(
         "user_id", "rank", "pattern_id", F.col("id").alias("problem_id"), "score", ((level - 1) / 2.0).alias("difficulty_score"),
         learning_gain(F.col("score"), F.col("open")).alias("expected_learning_gain"), reason(F.col("pattern_id"), F.col("score"), F.col("open")).alias("reason"),

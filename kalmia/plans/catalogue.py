@@ -596,11 +596,18 @@ SELECT user_id, rank, pattern_id, id AS problem_id, score, CASE WHEN elo < 1000
     WHEN open THEN 'Unfamiliar territory: ' || replace(pattern_id, '_', ' ') || '. Start building foundational skills.' ELSE 'Balanced practice opportunity in ' || replace(pattern_id, '_', ' ') || '.' END AS reason FROM pk WHERE pick = 1"""
 
 
+def patterned(t: Tables) -> DataFrame:
+    return t.problems.select("id", "acceptance_rate", F.explode(T.string_list(F.col("pattern"))).alias("pattern_id")).distinct()
+
+
+def scored(t: Tables, bank_: DataFrame) -> DataFrame:
+    return recommend.pattern_scores(t.users, bank_, profiles(t), gap_rows(t))
+
+
 @query(TOP_SQL)
 def top5_recommendation(t: Tables) -> DataFrame:
-    bank_ = t.problems.select("id", "acceptance_rate", F.explode(T.string_list(F.col("pattern"))).alias("pattern_id")).distinct()
-    scores = profiles(t).select("user_id", F.col("topic").alias("pattern_id"), F.col("elo_rating").alias("elo"), F.lit(0.0).alias("gap_strength"))
-    return recommend.top_recommendations(scores, bank_, t.submissions).withColumn("rank", F.col("rank").cast("bigint"))
+    bank_ = patterned(t)
+    return recommend.top_recommendations(scored(t, bank_), bank_, t.submissions).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 @query(LIVE_SQL + """
@@ -609,8 +616,8 @@ rk AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, to
 SELECT user_id, CASE WHEN count(*) FILTER (score >= 0.7) >= 2 OR count(*) FILTER (score >= 0.4) >= 3 THEN 'reinforce_weakest' WHEN bool_and(rank > 5 OR elo_rating >= 1200) THEN 'broaden_coverage' ELSE 'balanced_maintenance' END AS strategy,
   string_agg(topic, ',' ORDER BY rank) FILTER (rank <= 3) AS primary_weak_patterns FROM rk GROUP BY 1""")
 def recommendation_strategy(t: Tables) -> DataFrame:
-    scores = profiles(t).select("user_id", F.col("topic").alias("pattern_id"), F.col("elo_rating").alias("elo"), r6(recommend.weak_score(F.lit(0.0), F.col("elo_rating"))).alias("score"))
-    ranked = scores.withColumn("rank", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("score"), "pattern_id")))
+    bank_ = patterned(t)
+    ranked = recommend.weak_patterns(scored(t, bank_), bank_, t.submissions)
     return recommend.strategy(ranked, t.submissions.groupBy("user_id").agg(F.count("*").alias("total"))).drop("focus_area")
 
 

@@ -65,8 +65,38 @@ def test_top_of_a_large_bank(spark):
     assert {(r["user_id"], r["pattern_id"]): (r["problem_id"], r["expected_learning_gain"]) for r in got.collect()} == want
 
 
+#: Every pattern of the bank for every user, with gap signals and the default Elo.
+SCORES = """sc AS (SELECT u.user_id, b.pattern_id, coalesce(p.elo_rating, 1200) AS elo,
+  round((coalesce(g.gap_strength, 0) * 0.5 + greatest(0, (1200 - coalesce(p.elo_rating, 1200)) / 1200) * 0.5) * CASE WHEN s.user_id IS NULL THEN 1.0 ELSE 0.5 END, 6) AS score
+  FROM (SELECT DISTINCT user_id FROM submissions) u CROSS JOIN (SELECT DISTINCT pattern_id FROM bank) b LEFT JOIN profiles p ON p.user_id = u.user_id AND p.topic = b.pattern_id
+  LEFT JOIN (SELECT * FROM z WHERE gap_strength >= 0.01) g ON g.user_id = u.user_id AND g.pattern_id = b.pattern_id LEFT JOIN solved s ON s.user_id = u.user_id AND s.pattern_id = b.pattern_id)"""
+GAPS = catalogue.LIVE_SQL, catalogue.LIVE_SQL + catalogue.GAP_SQL
+
+
+def between(sql, start, end):
+    return sql[sql.index(start) : sql.index(end)]
+
+
 def test_top_query(spark, duck):
-    held(spark, duck, "top5_recommendation", (" WHERE id <= 150", ""))
+    sql = catalogue.TOP_SQL
+    held(spark, duck, "top5_recommendation", (between(sql, "sc AS (", ",\ntop AS ("), SCORES), GAPS, (" WHERE id <= 150", ""))
+
+
+def test_strategy_query(spark, duck):
+    sql = catalogue.ORACLE_SQL["recommendation_strategy"]
+    needed = between(catalogue.TOP_SQL, "bank AS (", "sc AS (").replace(" WHERE id <= 150", "")
+    names = (("ORDER BY score DESC, topic", "ORDER BY score DESC, pattern_id"), ("elo_rating >= 1200", "elo >= 1200"), ("string_agg(topic,", "string_agg(pattern_id,"))
+    held(spark, duck, "recommendation_strategy", (between(sql, "sc AS (", ",\nrk AS ("), needed + SCORES), *names, GAPS)
+
+
+def test_weak_patterns(spark):
+    users, patterns = spark.createDataFrame([(1,), (2,)], "user_id long"), spark.createDataFrame([("a",), ("b",), ("c",), ("a",)], "pattern_id string")
+    profiles = spark.createDataFrame([(1, "a", 600.0), (1, "x", 400.0)], "user_id long, topic string, elo_rating double")
+    signals = spark.createDataFrame([(1, "b", 0.8), (2, "c", 0.5)], "user_id long, pattern_id string, gap_strength double")
+    subs = spark.createDataFrame([(2, "c", "pass"), (1, "b", "fail")], "user_id long, detected_pattern string, verdict string")
+    got = recommend.weak_patterns(recommend.pattern_scores(users, patterns, profiles, signals), patterns, subs)
+    rows = sorted((r["user_id"], r["rank"], r["pattern_id"], r["elo"], r["score"]) for r in got.collect())
+    assert rows == [(1, 1, "b", 1200.0, 0.4), (1, 2, "a", 600.0, 0.25), (1, 3, "c", 1200.0, 0.0), (2, 1, "c", 1200.0, 0.125), (2, 2, "a", 1200.0, 0.0), (2, 3, "b", 1200.0, 0.0)]
 
 
 def test_active(spark):
