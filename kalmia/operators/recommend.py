@@ -94,6 +94,19 @@ def rotation(weakest: DataFrame, bank: DataFrame, submissions: DataFrame) -> Dat
     return wanted.join(found, ["user_id", "topic", "difficulty"]).withColumn("place", F.row_number().over(Window.partitionBy("user_id").orderBy("rn")))
 
 
+def standalone(users: DataFrame, weakest: DataFrame, bank: DataFrame, problems: DataFrame, submissions: DataFrame) -> DataFrame:
+    """(user_id, topic, difficulty, problem_id) while any problem is unsolved: the first of a user's ``rotation``, else the
+    weakest topic's best at the easiest level that has one, else the bank's first unsolved problem."""
+    levels = F.array(*map(F.lit, ("Easy", "Medium", "Hard")))
+    row = lambda step: ["user_id", step.alias("step"), F.struct(F.col("primary_pattern").alias("topic"), "difficulty", "problem_id").alias("x")]
+    scan = rotation(weakest, bank, submissions).filter("place = 1").select(*row(F.lit(0).cast("bigint")))
+    weakest_one = weakest.filter("rn = 1").select("user_id", "topic", F.explode(levels).alias("difficulty"))
+    any_level = ranked_unsolved(weakest_one, bank, submissions).select(*row(F.array_position(levels, F.col("difficulty"))))
+    first = first_unsolved(users, problems, submissions).join(problems.select(F.col("id").alias("problem_id"), "primary_pattern"), "problem_id")
+    all_ = scan.unionByName(any_level).unionByName(first.select(*row(F.lit(9).cast("bigint"))))
+    return all_.groupBy("user_id").agg(F.min_by("x", "step").alias("x")).select("user_id", "x.*")
+
+
 def rotate_topic(current: DataFrame, options: DataFrame) -> DataFrame:
     """current (user_id, current_topic) to new_topic: the primary pattern of the first option with another topic, else the same."""
     other = current.join(options.filter("place <= 2"), "user_id", "left").filter(F.col("topic").isNull() | (F.col("topic") != F.col("current_topic")))

@@ -580,7 +580,8 @@ def diversity_check(t: Tables) -> DataFrame:
 @query(WEAK_SQL + """
 SELECT user_id, arg_min(primary_pattern, place) AS topic, arg_min(level, place) AS difficulty, arg_min(problem_id, place) AS problem_id FROM options GROUP BY 1""")
 def standalone_recommendation(t: Tables) -> DataFrame:
-    return options(t).filter("place = 1").select("user_id", F.col("primary_pattern").alias("topic"), "difficulty", "problem_id")
+    rows, bank_ = weak(t), bank_of(t)
+    return recommend.standalone(t.users, rows, recommend.topic_problems(bank_, rows), bank_, t.submissions)
 
 
 TOP_SQL = LIVE_SQL + """

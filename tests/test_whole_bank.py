@@ -123,3 +123,17 @@ def test_lookup(spark):
 def test_lookup_query(spark, duck):
     held(spark, duck, "priority_lookup", (" WHERE p_partkey % 3 = 0", ""), (" AND a.id % 2 = 0", ""))
     assert catalogue.QUERIES["priority_lookup"](spark, SF).count() == 2000
+
+
+def test_standalone_chain(spark):
+    bank = spark.createDataFrame(
+        [(1, "Easy", "a", "a", 5.0), (2, "Medium", "a", "a", 5.0), (3, "Hard", "a", "a", 5.0), (4, "Easy", "b", "b", 5.0), (5, "Hard", "c", "c", 5.0), (6, "Hard", "c", "c", 7.0)],
+        "id long, difficulty string, topics string, primary_pattern string, acceptance_rate double",
+    )
+    # 1: scan finds; 2: only the second weakest topic has one; 3: the weakest topic at other levels; 4: the bank's first; 5: all solved; 6: no profile.
+    done = {1: [], 2: [1], 3: [1, 4], 4: [1, 2, 3, 4], 5: [1, 2, 3, 4, 5, 6], 6: [1]}
+    subs = spark.createDataFrame([(u, i, "pass") for u, ids in done.items() for i in ids], PASSED)
+    weakest = spark.createDataFrame([(u, t, n, 800.0) for u in range(1, 6) for n, t in ((1, "a"), (2, "b"))], "user_id long, topic string, rn int, elo_rating double")
+    users = spark.createDataFrame([(u,) for u in done], "user_id long")
+    got = recommend.standalone(users, weakest, recommend.topic_problems(bank, weakest), bank, subs)
+    assert {r["user_id"]: (r["topic"], r["difficulty"], r["problem_id"]) for r in got.collect()} == {1: ("a", "Easy", 1), 2: ("b", "Easy", 4), 3: ("a", "Medium", 2), 4: ("c", "Hard", 6), 6: ("b", "Easy", 4)}
