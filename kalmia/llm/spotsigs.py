@@ -32,6 +32,8 @@ from kalmia.llm._common import fresh, materialize, ref, without
 CHAIN = 3
 #: Quantiles that ``neighbours`` cuts the order at, rows it aims at between two cuts, and even cuts between quantiles at most.
 RANGES, RANGE_ROWS, MOST_FINE = 200, 4_000, 1_000
+#: Rows of one signature and length partition that ``near_duplicates`` compares in one task.
+BLOCK = 2_000
 
 # The commonest function words of four languages.
 ENGLISH = "the of and a to in is that was it for on are as with his they at be this from have or by one had not but what all were when we there can an your which their if do will each how them then she many some so these would other into has more her two him see could no make than been its who now my over down only way may said our out just about after also did any where most me back much before very through between under while because".split()
@@ -105,8 +107,14 @@ def near_duplicates(prints: DataFrame, threshold: float = 0.8) -> DataFrame:
     rare = materialize(rare.select("id", "n", "h", "part"))
     left = rare.select("h", F.col("id").alias("x"), F.col("n").alias("nx"), F.explode(F.array("part", F.col("part") + 1)).alias("part"))
     right = rare.select("h", F.col("id").alias("y"), F.col("n").alias("ny"), "part")
+    # Groups of more than BLOCK are cut into blocks (the left side holds the right one's rows too); each pair of blocks is dealt on its own; a pair of rows meets once.
+    hot = materialize(left.groupBy("h", "part").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).filter("blocks > 1"))
+    blocked = lambda rows: rows.join(hot, ["h", "part"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    all_ = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    left = blocked(left).withColumns({"i": F.pmod(F.xxhash64("x"), "blocks").cast("int"), "j": all_})
+    right = blocked(right).withColumns({"j": F.pmod(F.xxhash64("y"), "blocks").cast("int"), "i": all_})
     lengths = (F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y")))
-    pairs = left.join(right, ["h", "part"]).filter(lengths & (F.col("nx") >= F.col("ny") * threshold - 1e-9)).select("x", "y").distinct()
+    pairs = left.join(right, ["h", "part", "i", "j"]).filter(lengths & (F.col("nx") >= F.col("ny") * threshold - 1e-9)).select("x", "y").distinct()
     sets = heads.select("id", "hashes")
     full = pairs.join(sets.select(F.col("id").alias("x"), F.col("hashes").alias("hx")), "x").join(sets.select(F.col("id").alias("y"), F.col("hashes").alias("hy")), "y")
     near = full.withColumn("likeness", likeness(F.col("hx"), F.col("hy"))).filter(F.col("likeness") >= threshold)
