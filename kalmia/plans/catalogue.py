@@ -785,10 +785,10 @@ def legacy_features(t: Tables) -> DataFrame:
 def _made_features(t: Tables) -> DataFrame:
     """Features from keys: every rule's condition is met by some rows and not by others."""
     flags = [(F.col("p_partkey").bitwiseXOR(F.col("p_partkey") * (i + 3)) % 5 < 2).alias(f) for i, f in enumerate(weighted.FLAGS)]
-    return t.read("part").select(F.col("p_partkey").alias("id"), *flags, (F.col("p_partkey") % 3).cast("int").alias("returns"), (F.col("p_partkey") % 4).cast("int").alias("loop_depth"))
+    return t.read("part").select(F.col("p_partkey").alias("id"), *flags, (F.col("p_partkey") % 3).cast("int").alias("has_return"), (F.col("p_partkey") % 4).cast("int").alias("max_loop_depth"))
 
 
-FEATURE_SQL = "WITH f AS (SELECT p_partkey AS id, " + ", ".join(f"xor(p_partkey, p_partkey * {i + 3}) % 5 < 2 AS {f}" for i, f in enumerate(weighted.FLAGS)) + ", p_partkey % 3 AS returns, p_partkey % 4 AS loop_depth FROM part) "
+FEATURE_SQL = "WITH f AS (SELECT p_partkey AS id, " + ", ".join(f"xor(p_partkey, p_partkey * {i + 3}) % 5 < 2 AS {f}" for i, f in enumerate(weighted.FLAGS)) + ", p_partkey % 3 AS has_return, p_partkey % 4 AS max_loop_depth FROM part) "
 
 
 @query(FEATURE_SQL + " UNION ALL ".join(f"SELECT id, '{p}' AS pattern_id, {weighted.score_sql(p)} AS score FROM f" for p in weighted.RULES), plain=True)
