@@ -92,3 +92,47 @@ def pattern_replay(rows: DataFrame) -> DataFrame:
         return F.round(F.greatest(F.lit(R.FLOOR), elo + R.k_factor(x["gap"], F.lit(0)) * (score - R.expected(elo, R.opponent_for(x["conf"])))), 2)
 
     return history.select("user_id", "pattern_id", F.aggregate("steps", F.lit(R.PATTERN_START), step).alias("elo"), F.size("steps").alias("updates"))
+
+
+def candidate_patterns(gaps: Column, detected: Column, unmatched: Column) -> Column:
+    """The patterns that a submission rates: those with gaps, detected, unmatched, in this order and once each; ``default`` if there are none."""
+    none = F.array().cast("array<string>")
+    every = F.concat(*[F.coalesce(c, none) for c in (gaps, detected, unmatched)])
+    found = F.array_distinct(F.filter(every, lambda p: F.coalesce(p, F.lit("")) != ""))
+    return F.when(F.size(found) == 0, F.array(F.lit("default"))).otherwise(found)
+
+
+def submission_updates(rows: DataFrame, places: int | None = 2) -> DataFrame:
+    """Rating changes by whole submissions: a row for each candidate pattern (place: its order) with pattern_id, old_elo, new_elo, delta and confidence_weight.
+
+    rows: match_result, gaps array<struct<pattern_id, gap_strength>>, detections array<struct<pattern_id, confidence>>,
+    unmatched array<string>, elos map<string, double>, and keys, which stay; nulls: none. A pattern's history is its newest
+    results, ``histories`` map<string, array<string>>, if there is such a column. Gaps count by strength, then name.
+    """
+    one = "array<struct<pattern_id:string,{}:double>>"
+    gaps, seen = (F.coalesce(F.col(c).cast(one.format(v)), F.array().cast(one.format(v))) for c, v in (("gaps", "gap_strength"), ("detections", "confidence")))
+    ordered = F.transform(F.array_sort(F.transform(gaps, lambda g: F.struct((-g["gap_strength"]).alias("s"), g["pattern_id"].alias("p")))), lambda g: g["p"])
+    last_of = lambda xs, p, v: F.element_at(F.filter(xs, lambda x: x["pattern_id"] == p), -1)[v]
+    used = ("gaps", "detections", "unmatched", "elos", "histories")
+    keys = [c for c in rows.columns if c not in (*used, "match_result")]
+    base = rows.withColumns({"_gaps": gaps, "_seen": seen, "_all": candidate_patterns(ordered, F.transform(seen, lambda d: d["pattern_id"]), F.col("unmatched"))})
+    p = F.col("pattern_id")
+    recent = F.slice(F.reverse(F.coalesce(F.try_element_at("histories", p), F.array().cast("array<string>"))), 1, 5) if "histories" in rows.columns else F.array().cast("array<string>")
+    length = F.size(F.coalesce(F.try_element_at("histories", p), F.array().cast("array<string>"))) if "histories" in rows.columns else F.lit(0)
+    long = base.select("*", F.posexplode("_all").alias("place", "pattern_id")).withColumns({"_recent": recent, "history": length})
+    ready = long.withColumns({
+        "gap_strength": F.when(F.exists("_gaps", lambda g: g["pattern_id"] == p), last_of(F.col("_gaps"), p, "gap_strength")),
+        "confidence": F.when(F.exists("_seen", lambda d: d["pattern_id"] == p), last_of(F.col("_seen"), p, "confidence")),
+        "old_elo": F.try_element_at("elos", p), "full_count": F.size(F.filter("_recent", lambda m: m == "FULL_MATCH")), "none_count": F.size(F.filter("_recent", lambda m: m == "NO_MATCH")),
+    })
+    done = pattern_updates(ready, places)
+    shown = (lambda c, n: F.col(c)) if places is None else (lambda c, n: F.round(c, n).alias(c))
+    return done.select(*keys, "place", "pattern_id", shown("old_elo", 2), "new_elo", shown("delta", 2), shown("confidence_weight", 4))
+
+
+def global_summary(updates: DataFrame, keys: Sequence[str], places: int = 2) -> DataFrame:
+    """``keys``, average_elo_change, up to three strongest gains and three worst losses; equal ones in the candidates' order (losses: against it)."""
+    top = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("delta")).alias("d"), F.col("place").alias("o"), F.col("pattern_id").alias("p")))), 1, 3)
+    low = F.slice(F.array_sort(F.collect_list(F.struct(F.col("delta").alias("d"), (-F.col("place")).alias("o"), F.col("pattern_id").alias("p")))), 1, 3)
+    pick = lambda xs: F.transform(F.filter(xs, lambda x: x["d"] < 0), lambda x: x["p"])
+    return updates.groupBy(*keys).agg(F.round(F.avg("delta"), places).alias("average_elo_change"), pick(top).alias("strongest_improvement_patterns"), pick(low).alias("weakest_patterns"))

@@ -84,7 +84,7 @@ def active(submissions: DataFrame, users: DataFrame, problems: DataFrame) -> Dat
     """Each known user's latest submission if it wasn't passed, with the difficulty of its problem (null: not in the bank)."""
     last = windows.latest(submissions, ["user_id"], 1).filter("verdict <> 'pass'")
     known = problems.select(F.col("id").alias("problem_id"), "difficulty")
-    return last.join(users, "user_id", "left_semi").join(known, "problem_id", "left").select("user_id", "id", "topic", "difficulty")
+    return last.join(users, "user_id", "left_semi").join(known, "problem_id", "left").select("user_id", "id", "problem_id", "topic", "difficulty")
 
 
 def rotation(weakest: DataFrame, bank: DataFrame, submissions: DataFrame) -> DataFrame:
@@ -94,15 +94,19 @@ def rotation(weakest: DataFrame, bank: DataFrame, submissions: DataFrame) -> Dat
     return wanted.join(found, ["user_id", "topic", "difficulty"]).withColumn("place", F.row_number().over(Window.partitionBy("user_id").orderBy("rn")))
 
 
-def standalone(users: DataFrame, weakest: DataFrame, bank: DataFrame, problems: DataFrame, submissions: DataFrame) -> DataFrame:
-    """(user_id, topic, difficulty, problem_id) while any problem is unsolved: the first of a user's ``rotation``, else the
-    weakest topic's best at the easiest level that has one, else the bank's first unsolved problem."""
+def standalone(users: DataFrame, weakest: DataFrame, bank: DataFrame, problems: DataFrame, submissions: DataFrame, active: DataFrame | None = None) -> DataFrame:
+    """(user_id, topic, difficulty, problem_id) while any problem is unsolved: an ``active`` recommendation (the same columns,
+    a row a user), else the first of a user's ``rotation``, else the weakest topic's best at the easiest level that has one,
+    else the bank's first unsolved problem."""
     levels = F.array(*map(F.lit, ("Easy", "Medium", "Hard")))
     row = lambda step: ["user_id", step.alias("step"), F.struct(F.col("primary_pattern").alias("topic"), "difficulty", "problem_id").alias("x")]
     scan = rotation(weakest, bank, submissions).filter("place = 1").select(*row(F.lit(0).cast("bigint")))
     weakest_one = weakest.filter("rn = 1").select("user_id", "topic", F.explode(levels).alias("difficulty"))
     any_level = ranked_unsolved(weakest_one, bank, submissions).select(*row(F.array_position(levels, F.col("difficulty"))))
     first = first_unsolved(users, problems, submissions).join(problems.select(F.col("id").alias("problem_id"), "primary_pattern"), "problem_id")
+    if active is not None:
+        kept = active.join(users.select("user_id"), "user_id", "left_semi").select(F.col("topic").alias("primary_pattern"), "user_id", "difficulty", "problem_id")
+        scan = scan.unionByName(kept.select(*row(F.lit(-1).cast("bigint"))))
     all_ = scan.unionByName(any_level).unionByName(first.select(*row(F.lit(9).cast("bigint"))))
     return all_.groupBy("user_id").agg(F.min_by("x", "step").alias("x")).select("user_id", "x.*")
 
@@ -122,6 +126,7 @@ def weak_score(gap: Column, elo: Column) -> Column:
     return gap * 0.5 + F.greatest(F.lit(0.0), (1200 - elo) / 1200) * 0.5
 
 
+# The sentences below.
 def reason(pattern: Column, score: Column, unsolved_: Column) -> Column:
     label = F.translate(pattern, "_", " ")
     return (
@@ -142,9 +147,11 @@ def pattern_scores(users: DataFrame, patterns: DataFrame, profiles: DataFrame, s
 def weak_patterns(scores: DataFrame, patterns: DataFrame, submissions: DataFrame) -> DataFrame:
     """Each user's patterns by weak score (rank 1: the weakest), the Elo's default filled in.
 
-    scores: user_id, pattern_id, elo, gap_strength. Patterns solved before count half; patterns without a problem don't count.
+    scores: user_id, pattern_id, elo, gap_strength. Patterns solved before (a passed submission's detected pattern, else its
+    topic) count half; patterns without a problem don't count.
     """
-    solved = submissions.filter("verdict = 'pass'").select("user_id", F.col("detected_pattern").alias("pattern_id")).distinct().withColumn("solved", F.lit(True))
+    shown = F.coalesce(F.nullif("detected_pattern", F.lit("")), "topic") if "topic" in submissions.columns else F.col("detected_pattern")
+    solved = submissions.filter("verdict = 'pass'").select("user_id", shown.alias("pattern_id")).distinct().withColumn("solved", F.lit(True))
     ready = scores.join(F.broadcast(patterns.select("pattern_id").distinct()), "pattern_id", "left_semi").join(solved, ["user_id", "pattern_id"], "left")
     ready = ready.withColumn("elo", F.coalesce("elo", F.lit(R.PATTERN_START)))
     ready = ready.withColumn("score", F.round(weak_score(F.coalesce("gap_strength", F.lit(0.0)), F.col("elo")) * F.when(F.col("solved"), 0.5).otherwise(1.0), 6))
@@ -155,7 +162,9 @@ def top_recommendations(scores: DataFrame, bank: DataFrame, submissions: DataFra
     """Each user's top ``k`` patterns by weak score with their best problem.
 
     scores: as for ``weak_patterns``. bank: pattern_id, id, acceptance_rate (a row for each of a problem's patterns).
-    Unsolved problems come before solved ones, then by acceptance and id.
+    Unsolved problems come before solved ones, then by acceptance and id. No step for a second category or for a cold start
+    is needed: with fewer than ``k`` patterns all of the bank's are here, so no further category is left, and the list is
+    empty only if the bank is.
     """
     top = weak_patterns(scores, bank, submissions).filter(F.col("rank") <= k)
     # A pattern's first problem is the answer for those who have solved all of them: a row for each pattern.
@@ -226,6 +235,7 @@ def gated(rows: DataFrame) -> DataFrame:
     return out.withColumn("tier", tier).drop("_here")
 
 
+# The sentences below.
 def explanation(tier: Column, branch: Column, topic: Column, old_topic: Column, verdict: Column, gap: Column, problem: Column, old: Column, new: Column, run: Column) -> Column:
     """Why a recommendation was made, in words."""
     t, o = F.translate(topic, "_", " "), F.translate(old_topic, "_", " ")

@@ -164,8 +164,8 @@ def pattern_index(t: Tables) -> DataFrame:
 
 
 @query("""
-SELECT k, coalesce(a.title, b.title) AS title FROM (SELECT p_partkey AS k, p_name AS name FROM part WHERE p_partkey % 3 = 0) w
-LEFT JOIN problems a ON a.id = w.k AND a.id % 2 = 0 LEFT JOIN (SELECT title, min(id) AS id FROM problems GROUP BY 1) b ON b.title = w.name""")
+SELECT k, coalesce(a.title, b.title) AS title FROM (SELECT p_partkey AS k, p_name AS name FROM part) w
+LEFT JOIN problems a ON a.id = w.k LEFT JOIN (SELECT title, min(id) AS id FROM problems GROUP BY 1) b ON b.title = w.name""")
 def priority_lookup(t: Tables) -> DataFrame:
     return bank.lookup(t.read("part").select(F.col("p_partkey").alias("k"), F.col("p_name").alias("name")), t.problems)
 
@@ -190,7 +190,7 @@ def unsolved_per_user(t: Tables) -> DataFrame:
 
 @query("""
 SELECT user_id, id AS problem_id, difficulty FROM (SELECT u.user_id, p.id, p.difficulty, row_number() OVER (PARTITION BY u.user_id ORDER BY p.difficulty, coalesce(p.acceptance_rate, 0) DESC, p.id) AS rn
-  FROM (SELECT DISTINCT user_id FROM submissions) u, (SELECT * FROM problems WHERE id <= 150) p
+  FROM (SELECT DISTINCT user_id FROM submissions) u, problems p
   WHERE NOT EXISTS (SELECT 1 FROM submissions s WHERE s.user_id = u.user_id AND s.problem_id = p.id AND s.verdict = 'pass')) WHERE rn = 1""")
 def first_unsolved(t: Tables) -> DataFrame:
     return recommend.first_unsolved(t.users, bank_of(t), t.submissions)
@@ -341,10 +341,10 @@ def elo_summary(t: Tables) -> DataFrame:
 
 
 @query(LIVE_SQL + """
-SELECT user_id, count(*) FILTER (elo_rating >= 900) AS strong, count(*) FILTER (elo_rating < 800) AS weak, round(avg(elo_rating), 6) AS mean_elo, round(sum(accuracy), 6) AS total_accuracy FROM profiles GROUP BY 1""")
+SELECT user_id, count(*) FILTER (elo_rating >= 1800) AS strong, count(*) FILTER (elo_rating < 1650) AS weak, round(avg(elo_rating), 6) AS mean_elo, round(sum(accuracy), 6) AS total_accuracy FROM profiles GROUP BY 1""")
 def ui_kpis(t: Tables) -> DataFrame:
     return profiles(t).groupBy("user_id").agg(
-        F.count_if(F.col("elo_rating") >= 900).alias("strong"), F.count_if(F.col("elo_rating") < 800).alias("weak"),
+        F.count_if(F.col("elo_rating") >= 1800).alias("strong"), F.count_if(F.col("elo_rating") < 1650).alias("weak"),
         r6(F.avg("elo_rating")).alias("mean_elo"), r6(F.sum("accuracy")).alias("total_accuracy"),
     )
 
@@ -382,6 +382,65 @@ def elo_single_step(t: Tables) -> DataFrame:
     return folds.pattern_updates(rows, places=None).select("id", "pattern_id", r6("new_elo").alias("new_elo"), r6("confidence_weight").alias("confidence_weight"))
 
 
+STATS_SQL = f"""
+, r AS (SELECT *, row_number() OVER (PARTITION BY user_id, detected_pattern ORDER BY submitted_at DESC, id DESC) AS rn, count(*) OVER (PARTITION BY user_id, detected_pattern) AS n FROM submissions),
+st AS (SELECT user_id, detected_pattern AS pattern_id, count(*) AS frequency,
+  least(1.0, sum(CASE WHEN rn <= 5 THEN greatest(0.0, 1 - (epoch(TIMESTAMP '{AS_OF}') - floor(epoch(submitted_at))) / 3600.0 / 720.0) * (least(n, 5) - rn + 1) / least(n, 5) END) / least(max(n), 5)) AS recency,
+  stddev_pop(detected_confidence) AS spread, count(*) FILTER (rn <= 5 AND detected_confidence >= 0.6) = least(max(n), 5) AS all_confident FROM r GROUP BY 1, 2),
+tot AS (SELECT user_id, count(*) AS total FROM submissions GROUP BY 1)"""
+GAP_SQL = STATS_SQL + """
+, last_ AS (SELECT user_id, detected_pattern AS pattern_id, detected_confidence AS confidence, gap_identified, expected_pattern FROM submissions QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY submitted_at DESC, id DESC) = 1),
+cand AS (SELECT user_id, pattern_id, confidence, false AS unmatched FROM last_ UNION ALL SELECT user_id, expected_pattern, NULL, true FROM last_ WHERE gap_identified),
+full_users AS (SELECT user_id FROM last_ WHERE NOT gap_identified),
+keys AS (SELECT user_id, pattern_id FROM cand UNION SELECT user_id, pattern_id FROM st JOIN tot USING (user_id) WHERE frequency >= 2 AND total >= 2 AND spread > 0.2),
+x AS (SELECT k.user_id, k.pattern_id, c.confidence, coalesce(c.unmatched, false) AS unmatched, s.frequency >= 2 AND t.total >= 2 AND s.spread > 0.2 AS shaky, s.frequency, s.recency, s.all_confident, t.total
+  FROM keys k LEFT JOIN cand c USING (user_id, pattern_id) LEFT JOIN st s USING (user_id, pattern_id) LEFT JOIN tot t USING (user_id) WHERE user_id NOT IN (SELECT user_id FROM full_users)),
+y AS (SELECT *, CASE WHEN confidence < 0.6 THEN (0.6 - confidence) / 0.6 WHEN shaky THEN 0.3 ELSE 0 END AS weak FROM x WHERE (unmatched OR coalesce(confidence < 0.6, false) OR coalesce(shaky, false)) AND NOT coalesce(all_confident, false)),
+z AS (SELECT user_id, pattern_id, coalesce(frequency, 0) AS frequency, round(least(1, greatest(0, least(1, coalesce(frequency / greatest(total, 1), 0)) * 0.5 + coalesce(recency, 0) * 0.3 + CASE WHEN weak > 0 THEN weak WHEN unmatched THEN 0.5 ELSE 0 END * 0.2)), 4) AS gap_strength FROM y)
+"""
+UPDATES_SQL = """
+, cand_ AS (SELECT user_id, pattern_id, 1 AS src, row_number() OVER (PARTITION BY user_id ORDER BY gap_strength DESC, pattern_id) AS o FROM z WHERE gap_strength >= 0.01
+  UNION ALL SELECT user_id, pattern_id, 2, 1 FROM last_ UNION ALL SELECT user_id, expected_pattern, 3, 1 FROM last_ WHERE gap_identified),
+placed AS (SELECT user_id, pattern_id, row_number() OVER (PARTITION BY user_id ORDER BY min((src, o))) - 1 AS place FROM cand_ GROUP BY 1, 2),
+y1 AS (SELECT p.user_id, p.pattern_id, p.place, coalesce(e.elo_rating, 1200) AS old_elo, coalesce(g.gap_strength, 0) AS gap, CASE WHEN l.pattern_id = p.pattern_id THEN l.confidence ELSE 0 END AS conf,
+    CASE WHEN NOT l.gap_identified THEN 'FULL_MATCH' ELSE 'PARTIAL_MATCH' END AS m
+  FROM placed p JOIN last_ l USING (user_id) LEFT JOIN profiles e ON e.user_id = p.user_id AND e.topic = p.pattern_id
+  LEFT JOIN (SELECT * FROM z WHERE gap_strength >= 0.01) g ON g.user_id = p.user_id AND g.pattern_id = p.pattern_id),
+y2 AS (SELECT *, CASE m WHEN 'FULL_MATCH' THEN 1.0 ELSE 0.5 END::DOUBLE AS base FROM y1),
+y3 AS (SELECT *, CASE WHEN gap > 0.6 THEN greatest(0, base - 0.3) WHEN gap > 0.3 THEN greatest(0, base - 0.15) ELSE base END::DOUBLE AS low FROM y2),
+y4 AS (SELECT *, CASE WHEN conf > 0 AND base < 0.5 THEN greatest(low, 0.2) ELSE low END AS score, CASE WHEN gap > 0.5 THEN 48 ELSE 32 END AS k, CASE WHEN conf >= 0.8 THEN 1400.0 ELSE 1200.0 END::DOUBLE AS opp FROM y3),
+upd AS (SELECT user_id, pattern_id, place, old_elo, greatest(400, old_elo + k * (score - 1 / (1 + pow(10.0, (opp - old_elo) / 400)))) AS new_elo,
+  greatest(0.1, least(1.0, CASE m WHEN 'PARTIAL_MATCH' THEN 0.7 ELSE 1.0 END - gap * 0.3 + conf * 0.2)) AS weight FROM y4)"""
+
+
+def elo_changes(t: Tables) -> DataFrame:
+    """Rating changes by each user's latest submission; what its topic profiles say are the ratings before."""
+    last = windows.latest(t.submissions, ["user_id"], 1)
+    found = gap_rows(t).groupBy("user_id").agg(F.collect_list(F.struct("pattern_id", "gap_strength")).alias("gaps"))
+    before = profiles(t).groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("topic", "elo_rating"))).alias("elos"))
+    rows = last.join(found, "user_id", "left").join(before, "user_id", "left").select(
+        "user_id", F.when(F.col("gap_identified"), "PARTIAL_MATCH").otherwise("FULL_MATCH").alias("match_result"), "gaps", "elos",
+        F.array(F.struct(F.col("detected_pattern").alias("pattern_id"), F.col("detected_confidence").alias("confidence"))).alias("detections"),
+        F.when(F.col("gap_identified"), F.array("expected_pattern")).alias("unmatched"),
+    )
+    return folds.submission_updates(rows, places=None)
+
+
+@query(LIVE_SQL + GAP_SQL + UPDATES_SQL + " SELECT user_id, pattern_id, place, round(old_elo, 6) AS old_elo, round(new_elo, 6) AS new_elo, round(weight, 6) AS confidence_weight FROM upd")
+def elo_updates(t: Tables) -> DataFrame:
+    return elo_changes(t).select("user_id", "pattern_id", F.col("place").cast("bigint").alias("place"), r6("old_elo").alias("old_elo"), r6("new_elo").alias("new_elo"), r6("confidence_weight").alias("confidence_weight"))
+
+
+@query(LIVE_SQL + GAP_SQL + UPDATES_SQL + """
+, dl AS (SELECT user_id, pattern_id, place, round(new_elo - old_elo, 6) AS delta FROM upd),
+rk AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY delta DESC, place) AS hi, row_number() OVER (PARTITION BY user_id ORDER BY delta, place DESC) AS lo FROM dl)
+SELECT user_id, round(avg(delta), 5) AS average_elo_change, coalesce(string_agg(pattern_id, ',' ORDER BY hi) FILTER (hi <= 3 AND delta > 0), '') AS strongest,
+  coalesce(string_agg(pattern_id, ',' ORDER BY lo) FILTER (lo <= 3 AND delta < 0), '') AS weakest FROM rk GROUP BY 1""")
+def elo_global_summary(t: Tables) -> DataFrame:
+    rows = folds.global_summary(elo_changes(t).withColumn("delta", r6("delta")), ["user_id"], places=5)
+    return rows.select("user_id", "average_elo_change", F.array_join("strongest_improvement_patterns", ",").alias("strongest"), F.array_join("weakest_patterns", ",").alias("weakest"))
+
+
 @query()  # rounds after each step, where engines round halves differently: tests hold it against a plain loop
 def pattern_elo_replay(t: Tables) -> DataFrame:
     return folds.pattern_replay(rated(t))
@@ -427,14 +486,6 @@ def match_signals(t: Tables) -> DataFrame:
     return matched(t).select("user_id", "problem_id", F.array_join("reasoning_signals", ";").alias("signals"))
 
 
-STATS_SQL = f"""
-, r AS (SELECT *, row_number() OVER (PARTITION BY user_id, detected_pattern ORDER BY submitted_at DESC, id DESC) AS rn, count(*) OVER (PARTITION BY user_id, detected_pattern) AS n FROM submissions),
-st AS (SELECT user_id, detected_pattern AS pattern_id, count(*) AS frequency,
-  least(1.0, sum(CASE WHEN rn <= 5 THEN greatest(0.0, 1 - (epoch(TIMESTAMP '{AS_OF}') - floor(epoch(submitted_at))) / 3600.0 / 720.0) * (least(n, 5) - rn + 1) / least(n, 5) END) / least(max(n), 5)) AS recency,
-  stddev_pop(detected_confidence) AS spread, count(*) FILTER (rn <= 5 AND detected_confidence >= 0.6) = least(max(n), 5) AS all_confident FROM r GROUP BY 1, 2),
-tot AS (SELECT user_id, count(*) AS total FROM submissions GROUP BY 1)"""
-
-
 @query(STATS_SQL + " SELECT user_id, pattern_id, frequency, round(recency, 6) AS recency, round(spread, 6) AS spread, all_confident FROM st")
 def gap_history(t: Tables) -> DataFrame:
     return gaps.history_stats(t.submissions, F.lit(AS_OF).cast("timestamp")).select("user_id", "pattern_id", "frequency", r6("recency").alias("recency"), r6("spread").alias("spread"), "all_confident")
@@ -446,18 +497,6 @@ def gap_inconsistent(t: Tables) -> DataFrame:
     return gaps.inconsistent(stats, t.submissions.groupBy("user_id").agg(F.count("*").alias("total"))).select("user_id", "pattern_id", r6("spread").alias("spread"))
 
 
-GAP_SQL = STATS_SQL + """
-, last_ AS (SELECT user_id, detected_pattern AS pattern_id, detected_confidence AS confidence, gap_identified, expected_pattern FROM submissions QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY submitted_at DESC, id DESC) = 1),
-cand AS (SELECT user_id, pattern_id, confidence, false AS unmatched FROM last_ UNION ALL SELECT user_id, expected_pattern, NULL, true FROM last_ WHERE gap_identified),
-full_users AS (SELECT user_id FROM last_ WHERE NOT gap_identified),
-keys AS (SELECT user_id, pattern_id FROM cand UNION SELECT user_id, pattern_id FROM st JOIN tot USING (user_id) WHERE frequency >= 2 AND total >= 2 AND spread > 0.2),
-x AS (SELECT k.user_id, k.pattern_id, c.confidence, coalesce(c.unmatched, false) AS unmatched, s.frequency >= 2 AND t.total >= 2 AND s.spread > 0.2 AS shaky, s.frequency, s.recency, s.all_confident, t.total
-  FROM keys k LEFT JOIN cand c USING (user_id, pattern_id) LEFT JOIN st s USING (user_id, pattern_id) LEFT JOIN tot t USING (user_id) WHERE user_id NOT IN (SELECT user_id FROM full_users)),
-y AS (SELECT *, CASE WHEN confidence < 0.6 THEN (0.6 - confidence) / 0.6 WHEN shaky THEN 0.3 ELSE 0 END AS weak FROM x WHERE (unmatched OR coalesce(confidence < 0.6, false) OR coalesce(shaky, false)) AND NOT coalesce(all_confident, false)),
-z AS (SELECT user_id, pattern_id, coalesce(frequency, 0) AS frequency, round(least(1, greatest(0, least(1, coalesce(frequency / greatest(total, 1), 0)) * 0.5 + coalesce(recency, 0) * 0.3 + CASE WHEN weak > 0 THEN weak WHEN unmatched THEN 0.5 ELSE 0 END * 0.2)), 4) AS gap_strength FROM y)
-"""
-
-
 def gap_rows(t: Tables) -> DataFrame:
     last = windows.latest(t.submissions, ["user_id"], 1)
     a = last.select("user_id", F.col("detected_pattern").alias("pattern_id"), F.col("detected_confidence").alias("confidence"), F.lit(False).alias("unmatched"))
@@ -577,18 +616,43 @@ def diversity_check(t: Tables) -> DataFrame:
     return windows.latest(t.submissions, ["user_id"], 2).groupBy("user_id").agg(((F.count("*") == 2) & (F.count_distinct("topic") == 1)).alias("same_twice"))
 
 
-@query(WEAK_SQL + """
-SELECT user_id, arg_min(primary_pattern, place) AS topic, arg_min(level, place) AS difficulty, arg_min(problem_id, place) AS problem_id FROM options GROUP BY 1""")
+CHAIN_SQL = WEAK_SQL + """
+, u AS (SELECT DISTINCT user_id FROM submissions), passed AS (SELECT DISTINCT user_id, problem_id FROM submissions WHERE verdict = 'pass'),
+scan AS (SELECT user_id, arg_min(primary_pattern, place) AS topic, arg_min(level, place) AS difficulty, arg_min(problem_id, place) AS problem_id FROM options GROUP BY 1),
+any_ AS (SELECT r.user_id, p.primary_pattern AS topic, p.difficulty, p.id AS problem_id FROM ranked r JOIN problems p ON p.primary_pattern = r.topic OR p.topics LIKE '%' || r.topic || '%'
+  WHERE r.rn = 1 AND NOT EXISTS (SELECT 1 FROM passed s WHERE s.user_id = r.user_id AND s.problem_id = p.id)
+  QUALIFY row_number() OVER (PARTITION BY r.user_id ORDER BY CASE p.difficulty WHEN 'Easy' THEN 0 WHEN 'Medium' THEN 1 ELSE 2 END, coalesce(p.acceptance_rate, 0) DESC, p.id) = 1),
+first_ AS (SELECT u.user_id, p.primary_pattern AS topic, p.difficulty, p.id AS problem_id FROM u, problems p WHERE NOT EXISTS (SELECT 1 FROM passed s WHERE s.user_id = u.user_id AND s.problem_id = p.id)
+  QUALIFY row_number() OVER (PARTITION BY u.user_id ORDER BY p.difficulty, coalesce(p.acceptance_rate, 0) DESC, p.id) = 1),
+chain AS (SELECT user_id, 1 AS step, topic, difficulty, problem_id FROM scan UNION ALL SELECT user_id, 2, topic, difficulty, problem_id FROM any_ UNION ALL SELECT user_id, 3, topic, difficulty, problem_id FROM first_)"""
+NEXT_SQL = "SELECT user_id, arg_min(topic, step) AS topic, arg_min(difficulty, step) AS difficulty, arg_min(problem_id, step) AS problem_id FROM chain GROUP BY 1"
+
+
+@query(f"{CHAIN_SQL} {NEXT_SQL}")
 def standalone_recommendation(t: Tables) -> DataFrame:
+    """Asked for a fresh one: an active recommendation doesn't count."""
     rows, bank_ = weak(t), bank_of(t)
     return recommend.standalone(t.users, rows, recommend.topic_problems(bank_, rows), bank_, t.submissions)
 
 
-TOP_SQL = LIVE_SQL + """
-, bank AS (SELECT DISTINCT id, acceptance_rate, unnest(CAST(json_extract_string(pattern, '$[*]') AS VARCHAR[])) AS pattern_id FROM problems WHERE id <= 150),
-solved AS (SELECT DISTINCT user_id, detected_pattern AS pattern_id FROM submissions WHERE verdict = 'pass'),
-sc AS (SELECT p.user_id, p.topic AS pattern_id, p.elo_rating AS elo, round((0 * 0.5 + greatest(0, (1200 - p.elo_rating) / 1200) * 0.5) * CASE WHEN s.user_id IS NULL THEN 1.0 ELSE 0.5 END, 6) AS score
-  FROM profiles p LEFT JOIN solved s ON s.user_id = p.user_id AND s.pattern_id = p.topic WHERE p.topic IN (SELECT pattern_id FROM bank)),
+@query(CHAIN_SQL.removesuffix(")") + """ UNION ALL SELECT s.user_id, 0, s.topic, coalesce(p.difficulty, 'Easy'), s.problem_id
+  FROM (SELECT * FROM submissions QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY submitted_at DESC, id DESC) = 1) s LEFT JOIN problems p ON p.id = s.problem_id WHERE s.verdict <> 'pass') """ + NEXT_SQL)
+def next_recommendation(t: Tables) -> DataFrame:
+    """An active recommendation, where there is one (its stand-in: the latest submission that wasn't passed), else the chain."""
+    rows, bank_ = weak(t), bank_of(t)
+    active = recommend.active(t.submissions, t.users, t.problems).withColumn("difficulty", F.coalesce("difficulty", F.lit("Easy")))
+    return recommend.standalone(t.users, rows, recommend.topic_problems(bank_, rows), bank_, t.submissions, active)
+
+
+#: Every pattern of the bank for every user, with gap signals and the default Elo.
+SCORES_SQL = LIVE_SQL + GAP_SQL + """
+, bank AS (SELECT DISTINCT id, acceptance_rate, unnest(CAST(json_extract_string(pattern, '$[*]') AS VARCHAR[])) AS pattern_id FROM problems),
+solved AS (SELECT DISTINCT user_id, coalesce(nullif(detected_pattern, ''), topic) AS pattern_id FROM submissions WHERE verdict = 'pass'),
+sc AS (SELECT u.user_id, b.pattern_id, coalesce(p.elo_rating, 1200) AS elo,
+  round((coalesce(g.gap_strength, 0) * 0.5 + greatest(0, (1200 - coalesce(p.elo_rating, 1200)) / 1200) * 0.5) * CASE WHEN s.user_id IS NULL THEN 1.0 ELSE 0.5 END, 6) AS score
+  FROM (SELECT DISTINCT user_id FROM submissions) u CROSS JOIN (SELECT DISTINCT pattern_id FROM bank) b LEFT JOIN profiles p ON p.user_id = u.user_id AND p.topic = b.pattern_id
+  LEFT JOIN (SELECT * FROM z WHERE gap_strength >= 0.01) g ON g.user_id = u.user_id AND g.pattern_id = b.pattern_id LEFT JOIN solved s ON s.user_id = u.user_id AND s.pattern_id = b.pattern_id)"""
+TOP_SQL = SCORES_SQL + """,
 top AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, pattern_id) AS rank FROM sc QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY score DESC, pattern_id) <= 5),
 opt AS (SELECT t.*, b.id, NOT EXISTS (SELECT 1 FROM submissions s WHERE s.user_id = t.user_id AND s.problem_id = b.id AND s.verdict = 'pass') AS open, b.acceptance_rate FROM top t JOIN bank b USING (pattern_id)),
 pk AS (SELECT *, row_number() OVER (PARTITION BY user_id, pattern_id ORDER BY open DESC, coalesce(acceptance_rate, 0) DESC, id) AS pick FROM opt)
@@ -611,15 +675,18 @@ def top5_recommendation(t: Tables) -> DataFrame:
     return recommend.top_recommendations(scored(t, bank_), bank_, t.submissions).withColumn("rank", F.col("rank").cast("bigint"))
 
 
-@query(LIVE_SQL + """
-, sc AS (SELECT user_id, topic, elo_rating, round(greatest(0, (1200 - elo_rating) / 1200) * 0.5, 6) AS score FROM profiles),
-rk AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, topic) AS rank FROM sc)
-SELECT user_id, CASE WHEN count(*) FILTER (score >= 0.7) >= 2 OR count(*) FILTER (score >= 0.4) >= 3 THEN 'reinforce_weakest' WHEN bool_and(rank > 5 OR elo_rating >= 1200) THEN 'broaden_coverage' ELSE 'balanced_maintenance' END AS strategy,
-  string_agg(topic, ',' ORDER BY rank) FILTER (rank <= 3) AS primary_weak_patterns FROM rk GROUP BY 1""")
+@query(SCORES_SQL + """,
+rk AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, pattern_id) AS rank FROM sc)
+SELECT user_id, CASE WHEN count(*) FILTER (score >= 0.7) >= 2 OR count(*) FILTER (score >= 0.4) >= 3 THEN 'reinforce_weakest' WHEN bool_and(rank > 5 OR elo >= 1200) THEN 'broaden_coverage' ELSE 'balanced_maintenance' END AS strategy,
+  'Focus on ' || max(area) FILTER (rank = 1) || CASE WHEN max(area) FILTER (rank = 2) <> max(area) FILTER (rank = 1) THEN ', ' || max(area) FILTER (rank = 2)
+    WHEN max(area) FILTER (rank = 3) <> max(area) FILTER (rank = 1) THEN ', ' || max(area) FILTER (rank = 3) ELSE '' END AS focus_area,
+  string_agg(pattern_id, ',' ORDER BY rank) FILTER (rank <= 3) AS primary_weak_patterns
+FROM rk JOIN (SELECT pattern_id, CASE category WHEN 'arrays' THEN 'Arrays' WHEN 'trees_graphs' THEN 'Trees Graphs' WHEN 'dp' THEN 'Dp' WHEN 'linked_lists' THEN 'Linked Lists'
+  WHEN 'binary_search' THEN 'Binary Search' ELSE 'Greedy Backtracking' END AS area FROM pattern_dim) USING (pattern_id) GROUP BY 1""")
 def recommendation_strategy(t: Tables) -> DataFrame:
     bank_ = patterned(t)
     ranked = recommend.weak_patterns(scored(t, bank_), bank_, t.submissions)
-    return recommend.strategy(ranked, t.submissions.groupBy("user_id").agg(F.count("*").alias("total"))).drop("focus_area")
+    return recommend.strategy(ranked, t.submissions.groupBy("user_id").agg(F.count("*").alias("total")))
 
 
 @query()  # ten exits with texts: tests hold it against a plain decision ladder
@@ -658,9 +725,9 @@ def gated_recommendation(t: Tables) -> DataFrame:
 
 @query("""
 SELECT s.user_id, s.id, s.topic, p.difficulty FROM (SELECT * FROM submissions QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY submitted_at DESC, id DESC) = 1) s
-JOIN (SELECT DISTINCT user_id FROM events) u ON u.user_id = s.user_id LEFT JOIN problems p ON p.id = s.problem_id AND p.id <= 100 WHERE s.verdict <> 'pass'""")
+JOIN (SELECT DISTINCT user_id FROM events) u ON u.user_id = s.user_id LEFT JOIN problems p ON p.id = s.problem_id WHERE s.verdict <> 'pass'""")
 def active_recommendations(t: Tables) -> DataFrame:
-    return recommend.active(t.submissions, t.read("events").select("user_id").distinct(), t.problems)
+    return recommend.active(t.submissions, t.read("events").select("user_id").distinct(), t.problems).drop("problem_id")
 
 
 @query(" SELECT pattern_id, label, 'https://leetcode.com/problemset/?topicSlugs=' || tag || '&difficulty=MEDIUM' AS url FROM pattern_dim")
