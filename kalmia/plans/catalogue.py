@@ -21,7 +21,7 @@ from kalmia.operators.detect import weighted
 from kalmia.operators import ratings as folds
 from kalmia.sources import adapter, bank
 from kalmia.plans import samples
-from kalmia.runtime import shared_dir, ship_package
+from kalmia.runtime import forget_at_exit, shared_dir, ship_package
 from kalmia.sources.adapter import Tables
 from kalmia.streaming import folds as streams
 
@@ -939,6 +939,7 @@ class _Live(Tables):
 def _drained(t: Tables, out: DataFrame, mode: str) -> DataFrame:
     ship_package(t.spark)
     where = f"{shared_dir(t.spark)}/kalmia/stream-{uuid.uuid4().hex}"
+    forget_at_exit(t.spark, where)
     streams.drain(out, mode, f"{where}/out", f"{where}/checkpoint")
     return t.spark.read.parquet(f"{where}/out")
 

@@ -1,8 +1,8 @@
-"""What operators with Python workers need from a session."""
+"""What operators with Python workers or intermediate tables need from a session."""
 
 from __future__ import annotations
 
-import os
+import atexit
 import shutil
 import tempfile
 from pathlib import Path
@@ -12,22 +12,42 @@ from pyspark.sql import SparkSession
 _shipped: set[str] = set()
 
 
+def is_local(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process, and so share folders and modules."""
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Makes this package importable in Python workers that don't find it on their own path."""
-    root = str(Path(__file__).resolve().parent.parent)
-    paths = [os.path.realpath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    """Makes this package importable in a cluster's Python workers, wherever the driver stands."""
     app = spark.sparkContext.applicationId
-    if app in _shipped or root in paths or os.path.realpath(os.getcwd()) == root:
+    if app in _shipped or is_local(spark):
         return
     into = tempfile.mkdtemp(prefix="kalmia-package-")
-    spark.sparkContext.addPyFile(shutil.make_archive(f"{into}/kalmia", "zip", root, "kalmia"))
+    spark.sparkContext.addPyFile(shutil.make_archive(f"{into}/kalmia", "zip", str(Path(__file__).resolve().parent.parent), "kalmia"))
     _shipped.add(app)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; only where none is set (tests) a local one."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. A local one is made only where both are one process."""
     found = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not found:
+        if not is_local(spark):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="kalmia-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
+
+
+def forget(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of intermediate results."""
+    try:
+        jvm = spark.sparkContext._jvm
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # noqa: BLE001 - the session may have ended before the interpreter does
+        pass
+
+
+def forget_at_exit(spark: SparkSession, path: str) -> None:
+    atexit.register(forget, spark, path)
