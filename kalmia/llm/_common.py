@@ -2,32 +2,41 @@
 
 from __future__ import annotations
 
-import atexit
 import uuid
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kalmia.runtime import shared_dir, ship_package
+from kalmia.runtime import forget_at_exit, shared_dir, ship_package
 
-#: Rows in one Arrow batch: documents are large, so batches are short.
-ARROW_ROWS = 512
+#: Bytes of text (about) that a worker takes on at once.
+PORTION_BYTES = 1 << 22
 
 
 def prepare(spark: SparkSession) -> None:
-    """Arrow batches that hold few rows, so that a worker's memory is bounded; workers that find the package."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    """Workers that find the package."""
     ship_package(spark)
 
 
-def _forget(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # noqa: BLE001 - the session may have ended before the interpreter does
-        pass
+def portions(batches: Iterable[pa.RecordBatch], column: str, size: int = PORTION_BYTES) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut into runs of rows that hold about ``size`` bytes of a column, or one longer row.
+
+    Spark bounds a batch's bytes (spark.sql.execution.arrow.maxBytesPerBatch); this bounds what a worker
+    makes of it, so that no setting of the session has to change.
+    """
+    for batch in batches:
+        held = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < batch.num_rows:
+            before = int(held[start - 1]) if start else 0
+            end = max(int(np.searchsorted(held, before + size, side="right")), start + 1)
+            yield batch.slice(start, end - start)
+            start = end
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -38,7 +47,7 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/kalmia/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_forget, spark, path)
+    forget_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

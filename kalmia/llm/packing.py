@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kalmia.llm._common import materialize, prepare
+from kalmia.llm._common import materialize, portions, prepare
 from kalmia.llm.tokens import SPLIT_CHARS, safe_parts, tokenizer
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -38,6 +38,9 @@ CAPACITY = 2048
 SEPARATOR = 0
 #: Items (about) in one group.
 GROUP = 4_000
+#: A sequence's number: its group, numbered through all levels, then its place in the group. A group has far fewer
+#: sequences than the low bits count, and 2**39 groups of ``GROUP`` items are left room for.
+_BIN_BITS = 24
 
 #: Over these characters the two libraries' pre-token rules agree in any Unicode version.
 _PLAIN = re.compile(r"[^\t\n\r\x20-\x7e¡-ɏΑ-ΡΣ-ωА-я–-…€]")
@@ -95,7 +98,7 @@ def cut(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY)
     schema = T.StructType([T.StructField("doc_id", kind), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, "text"):
             rows: tuple[list, ...] = ([], [], [], [], [])
             for i, text in enumerate(batch.column("text").to_pylist()):
                 ids = np.append(encode(text or "", vocabulary), np.uint32(SEPARATOR)).astype("<u4")
@@ -146,7 +149,7 @@ def _pack_group(capacity: int):
     def pack(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["length", "item"], ascending=[False, True], kind="stable")
         bins, offsets = sum_of_squares(group["length"].to_numpy(), capacity)
-        base = np.int64(group["grp"].iloc[0]) << 32
+        base = np.int64(group["grp"].iloc[0]) << _BIN_BITS
         used = np.bincount(bins, weights=group["length"].to_numpy()).astype(np.int64)
         return pd.DataFrame({"item": group["item"].to_numpy(), "bin": base + bins, "at": offsets, "length": group["length"].to_numpy(), "used": used[bins]})
 
@@ -156,10 +159,10 @@ def _pack_group(capacity: int):
 def pack_items(items: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
     """items (item long, length long, at most ``capacity`` each) to (item, bin, at); levels as above."""
     schema = "item long, bin long, at long, length long, used long"
-    level, n, tag, placed = items, items.count(), 0, None
+    level, n, tag, first, placed = items, items.count(), 0, 0, None
     while True:
         groups = max(1, n // group)
-        dealt = level.withColumn("grp", F.pmod(F.xxhash64("item", F.lit(tag)), F.lit(groups)) + F.lit(tag << 24))
+        dealt = level.withColumn("grp", F.pmod(F.xxhash64("item", F.lit(tag)), F.lit(groups)) + F.lit(first))
         now = materialize(dealt.groupBy("grp").applyInPandas(_pack_group(capacity), schema))
         left = now.filter(F.col("used") < capacity).select("item", "length")
         before, n = n, left.count()
@@ -168,7 +171,7 @@ def pack_items(items: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -
         placed = done if placed is None else placed.unionByName(done)
         if last:
             return placed
-        level, tag = left, tag + 1
+        level, tag, first = left, tag + 1, first + groups
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY, group: int = GROUP) -> DataFrame:

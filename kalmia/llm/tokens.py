@@ -1,10 +1,12 @@
 """Operator 2, token counts: whole texts encoded in Arrow batches, lengths only.
 
-Batches are balanced by bytes, not rows, and long texts are split at places where no merge and no
-pre-token can cross, so that the parts' ids, put together, are the ids of the whole text.
+Batches are balanced by UTF-8 bytes, not rows: a worker takes portions of bounded bytes of an Arrow
+batch and encodes their parts in groups of about equal bytes. Long texts are split at places where
+no merge and no pre-token can cross, so that the parts' ids, put together, are the ids of the whole
+text. A stretch without any such place is encoded whole, however long.
 
-Nulls count as the empty text (0 bytes, 0 tokens); repeated rows give repeated results; columns
-that the result names are replaced, other columns stay.
+Nulls count as the empty text (0 bytes, 0 tokens); repeated rows give repeated results; an empty table
+gives an empty result. Columns that the result names are replaced, other columns stay.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from kalmia.llm._common import map_arrow, prepare, without
+from kalmia.llm._common import map_arrow, portions, prepare, without
 
 #: The vocabulary of the production queries.
 VOCABULARY = "byte_bpe_50k.json"
@@ -62,15 +64,20 @@ def safe_parts(text: str, size: int = SPLIT_CHARS) -> list[str]:
     return parts
 
 
+def n_bytes(text: str) -> int:
+    return len(text) if text.isascii() else len(text.encode("utf-8", "surrogatepass"))
+
+
 def byte_batches(parts: list[str], size: int = CHUNK_BYTES) -> Iterator[list[int]]:
-    """Indexes of parts in batches of about equal numbers of characters; like lengths meet."""
+    """Indexes of parts in batches of about ``size`` UTF-8 bytes; like lengths meet."""
     batch, held = [], 0
-    for i in sorted(range(len(parts)), key=lambda i: len(parts[i])):
-        if batch and held + len(parts[i]) > size:
+    sizes = [n_bytes(p) for p in parts]
+    for i in sorted(range(len(parts)), key=sizes.__getitem__):
+        if batch and held + sizes[i] > size:
             yield batch
             batch, held = [], 0
         batch.append(i)
-        held += len(parts[i])
+        held += sizes[i]
     if batch:
         yield batch
 
@@ -99,10 +106,10 @@ def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, limit: int = 512
     schema = T.StructType([*rest, T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, text):
             texts = [x or "" for x in batch.column(text).to_pylist()]
             n = count_texts(texts, vocabulary)
-            size = [len(x.encode("utf-8", "surrogatepass")) for x in texts]
+            size = [n_bytes(x) for x in texts]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in names), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array(n > limit)],
                 names=[*names, "n_bytes", "n_tokens", "over_limit"],
@@ -113,5 +120,3 @@ def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, limit: int = 512
 
 def query(docs: DataFrame) -> DataFrame:
     return count_tokens(docs.select("doc_id", "text")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
-
-

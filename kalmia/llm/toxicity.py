@@ -18,7 +18,8 @@ a hash of doc_id: the driver holds their features, 32 bits each. Scores cover ev
 Null texts count as empty; they and texts without words get the score of a text without features.
 Repeated labels of a doc_id: toxic if one says so; null labels are ignored. Without any confirmed
 row, or with none but those, every score is the share of toxic rows (0 without labels). Repeated
-rows get equal scores. Result columns replace input columns of the same names.
+rows get equal scores; ids may be of any type. Very long texts count whole: their features are a set.
+An empty table gives an empty result. Result columns replace input columns of the same names.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kalmia.llm._common import map_arrow, prepare, without
+from kalmia.llm._common import map_arrow, portions, prepare, without
 
 #: Bounds of the samples that training reads.
 MAX_POSITIVE, MAX_UNLABELLED, MAX_CALIBRATION = 3_000, 9_000, 3_000
@@ -183,18 +184,19 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE,
     share = lambda most, of: min(1.0, 0.95 * most / max(of, 1))
     picked = known.filter(((F.col("toxic") == 1) & _thin(F.col("doc_id"), 1, share(max_positive, toxic))) | _thin(F.col("doc_id"), 2, share(max_calibration, n)))
     picked = picked.limit(max_positive + max_calibration)  # the pick's size varies around its bound; this holds it
-    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("toxic", T.IntegerType()), T.StructField("u", T.BooleanType()), T.StructField("f", T.BinaryType())])
+    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("toxic", T.IntegerType()), T.StructField("u", T.BooleanType()), T.StructField("c", T.BooleanType()), T.StructField("f", T.BinaryType())])
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, "text"):
             found = [features(x or "").tobytes() for x in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "toxic", "u")), pa.array(found, pa.binary())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "toxic", "u", "c")), pa.array(found, pa.binary())], names=schema.names)
 
     unlabelled = ~held_out(F.col("doc_id")) & _thin(F.col("doc_id"), 3, share(max_unlabelled, total))
     rows = (
         docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id", "left").withColumn("u", F.coalesce(unlabelled, F.lit(False)))
         .filter(F.col("u") | F.col("toxic").isNotNull())
-        .select("doc_id", "text", "toxic", "u").mapInArrow(extract, schema).limit(2 * (max_positive + max_unlabelled + max_calibration))
+        .withColumn("c", F.crc32(F.concat(F.lit("c"), F.col("doc_id").cast("string")).cast("binary")) % 2 == 1)
+        .select("doc_id", "text", "toxic", "u", "c").mapInArrow(extract, schema).limit(2 * (max_positive + max_unlabelled + max_calibration))
     )
     p, u, c, y = [], [], [], []
     for row in sorted(rows.collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"], bytes(r["f"]))):
@@ -203,7 +205,7 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE,
             u.append(f)
         if row["toxic"] == 1:
             p.append(f)
-        if row["toxic"] is not None and zlib.crc32(b"c%d" % row["doc_id"] if isinstance(row["doc_id"], int) else b"c") % 2:
+        if row["toxic"] is not None and row["c"]:
             c.append(f)
             y.append(row["toxic"])
     # The picked rows hold more toxic ones than the labels do: weigh by repetition of the clean ones' share.
@@ -229,7 +231,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, w, bias, prior = shared.value
         own, cache = Model(dict(zip(ids.tolist(), w.tolist(), strict=True)), bias, prior), {}
-        for batch in batches:
+        for batch in portions(batches, "text"):
             s = own.scores([x or "" for x in batch.column("text").to_pylist()], cache)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=[*names, "score", "predicted"])
 

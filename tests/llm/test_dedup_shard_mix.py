@@ -4,6 +4,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -162,6 +163,53 @@ def test_blocks_find_what_pairs_find(monkeypatch, near):
     assert got == brute_join(near.collect())
 
 
+@pytest.fixture(scope="module")
+def family(spark):
+    """Copies of one text with one or two words changed, as in a large group, some of a second one, and texts between both."""
+    import random
+
+    rng = random.Random(7)
+    base, second = [f"w{i}" for i in range(120)], [f"v{i}" for i in range(120)]
+
+    def copy(of, changes):
+        words = list(of)
+        for _ in range(changes):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
+        return " ".join(words)
+
+    texts = [copy(base, 1 + (i % 5 == 0)) for i in range(120)] + [copy(base, 4) for _ in range(12)] + [copy(second, 1) for _ in range(40)] + [copy(base[:100] + second[:12], 1) for _ in range(10)]
+    return spark.createDataFrame([(i, t) for i, t in enumerate([*texts, texts[0]])], "doc_id long, text string")
+
+
+@pytest.mark.parametrize("threshold", [0.8, 0.8333])
+def test_families_are_counted_as_pairs_are(spark, monkeypatch, family, threshold):
+    want = brute_join(family.collect(), threshold)
+    results = []
+    for small, block in ((3, 16), (10_000, 256)):
+        monkeypatch.setattr(ngram_join, "SMALL", small)
+        monkeypatch.setattr(ngram_join, "BLOCK_ROWS", block)
+        monkeypatch.setattr(ngram_join, "CENTRE_ROWS", 32)
+        rows = ngram_join.join(family, threshold).select("doc_id", "class_id", "n_links").collect()
+        results.append(Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in rows))
+    assert results == [want] * 2
+
+
+def test_a_family_makes_no_blocks(spark, monkeypatch, family):
+    monkeypatch.setattr(ngram_join, "SMALL", 3)
+    monkeypatch.setattr(ngram_join, "BLOCK_ROWS", 16)
+    found = []
+    real = ngram_join._families
+    monkeypatch.setattr(ngram_join, "_families", lambda *a: found.append(real(*a)) or found[0])
+    ngram_join.links(family.filter("doc_id < 120"))
+    assert found[0].count() > 60  # most texts are near their centre
+
+
+def test_the_test_of_a_pair_is_the_same_at_the_threshold():
+    assert ngram_join.enough(4164, 4581, 4580, 0.8333) == ngram_join.enough(np.float64(4164), np.array([4581.0]), np.array([4580.0]), 0.8333)[0]
+    a, b = [np.arange(10, dtype=np.uint64), np.zeros(0, np.uint64)], [np.arange(5, 15, dtype=np.uint64), np.arange(100, 103, dtype=np.uint64)]
+    assert ngram_join.shared_counts(a, b).tolist() == [[5, 0], [0, 0]] and ngram_join.shared_counts(a[1:], b).tolist() == [[0, 0]]
+
+
 def test_keep_one(docs, odd, near, none):
     for table in (near, odd, docs, none):
         rows = table.collect()
@@ -177,6 +225,11 @@ def test_bands_reach_the_recall():
     for t, recall in ((0.8, 0.9999), (0.5, 0.9), (0.95, 0.99)):
         bands, rows = ngram_join.choose_bands(t, recall)
         assert 1 - (1 - t**rows) ** bands >= recall and bands * rows <= 128
+    bands, rows = ngram_join.choose_bands(0.02, 0.9999)  # takes more hashes rather than less recall
+    assert rows == 1 and 1 - (1 - 0.02) ** bands >= 0.9999
+    for wrong in ((0.0, 0.9), (0.8, 1.0), (1.5, 0.5)):
+        with pytest.raises(ValueError):
+            ngram_join.choose_bands(*wrong)
 
 
 def test_components(spark):
