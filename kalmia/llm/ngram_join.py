@@ -254,10 +254,12 @@ def _near_centre(threshold: float):
     return work
 
 
-def _families(large: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """(rid, near): texts whose pairs within ``near`` (the smallest rid of a family) are all links."""
+def _families(large: DataFrame, sets: DataFrame, threshold: float) -> DataFrame | None:
+    """(rid, near): texts whose pairs within ``near`` (the smallest rid of a family) are all links. None without families."""
     chosen = large.groupBy("rid").agg(F.max(F.struct("m", "band", "key")).alias("f")).select("rid", F.col("f.band").alias("band"), F.col("f.key").alias("key"))
     sizes = materialize(chosen.groupBy("band", "key").agg(F.count(F.lit(1)).alias("members"), F.min("rid").alias("family")).filter(F.col("members") > BLOCK_ROWS))
+    if sizes.isEmpty():
+        return None
     own = materialize(chosen.join(sizes, ["band", "key"]).select("rid", "family", "members"))
     some = Window.partitionBy("family").orderBy(F.xxhash64("rid"), "rid")
     few = own.withColumn("r", F.row_number().over(some)).filter(F.col("r") <= CENTRE_TEXTS)
@@ -283,12 +285,14 @@ def links(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
     sets = named.join(wanted, "rid", "left_semi").mapInArrow(_sets, "rid binary, grams binary").dropDuplicates(["rid"])
     sets = materialize(sets.join(signed.select("rid", "bands"), "rid"))
     large = members.filter(F.col("m") > SMALL)
-    near = _families(large, sets, threshold)
-
-    # Pairs of two texts near the same centre are links: count them, and tie them to the family's first.
-    families = materialize(near.groupBy("near").agg(F.count(F.lit(1)).alias("n"), F.min("rid").alias("peer")).filter("n > 1"))
-    sure = near.join(families, "near").select(F.col("rid").alias("id"), "peer", (F.col("n") - 1).alias("n"))
-    sets = sets.join(near, "rid", "left")
+    near, sure = _families(large, sets, threshold), None
+    if near is None:
+        sets, placed = (x.withColumn("near", F.lit(None).cast("binary")) for x in (sets, large))
+    else:
+        # Pairs of two texts near the same centre are links: count them, and tie them to the family's first.
+        families = materialize(near.groupBy("near").agg(F.count(F.lit(1)).alias("n"), F.min("rid").alias("peer")).filter("n > 1"))
+        sure = near.join(families, "near").select(F.col("rid").alias("id"), "peer", (F.col("n") - 1).alias("n"))
+        sets, placed = materialize(sets.join(near, "rid", "left")), materialize(large.join(near, "rid", "left"))
 
     one, two = (members.filter(F.col("m") <= SMALL).select("band", "key", F.col("rid").alias(x)) for x in "ab")
     pairs = one.join(two, ["band", "key"]).filter("a < b").groupBy("a", "b").agg(F.min("band").alias("band"))
@@ -299,21 +303,20 @@ def links(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
     small = small.unionByName(found.select(F.col("b").alias("id"), F.col("a").alias("peer"), F.lit(1).cast("long").alias("n")))
 
     # In a larger bucket the texts near its commonest centre needn't meet each other, only the rest, in blocks.
-    placed = materialize(large.join(near, "rid", "left"))
     counts = placed.groupBy("band", "key", "near").agg(F.count(F.lit(1)).alias("texts"), F.sum("grams").alias("size"))
     both = F.struct(F.col("near").isNotNull().alias("known"), F.when(F.col("near").isNotNull(), F.col("texts")).alias("t"), "near")
     blocks_of = lambda texts, size: F.greatest(F.ceil(texts / BLOCK_ROWS), F.ceil(size / BLOCK_GRAMS)).cast("int")
     main = counts.groupBy("band", "key").agg(F.max(both)["near"].alias("main"), F.sum("texts").alias("all_texts"), F.sum("size").alias("all_size"))
     main = main.join(counts.select("band", "key", F.col("near").alias("main"), "texts", "size"), ["band", "key", "main"], "left").na.fill(0, ["texts", "size"])
     main = main.select("band", "key", "main", blocks_of(F.col("all_texts") - F.col("texts"), F.col("all_size") - F.col("size")).alias("rest"), blocks_of(F.col("texts"), F.col("size")).alias("close"))
-    main = materialize(main.filter("rest > 0"))
-    dealt = placed.join(main, ["band", "key"]).withColumn("apart", ~F.col("near").eqNullSafe(F.col("main")) | F.col("main").isNull())
+    dealt = placed.join(main.filter("rest > 0"), ["band", "key"]).withColumn("apart", ~F.col("near").eqNullSafe(F.col("main")) | F.col("main").isNull())
     own = F.when(F.col("apart"), F.pmod(F.xxhash64("rid"), F.col("rest"))).otherwise(F.col("rest") + F.pmod(F.xxhash64("rid"), F.greatest("close", F.lit(1))))
     others = F.sequence(F.lit(0), F.when(F.col("apart"), F.col("rest") + F.col("close") - 1).otherwise(F.col("rest") - 1))
     dealt = dealt.withColumn("blk", own.cast("int")).select("rid", "band", "key", "blk", F.explode(others).alias("other"))
     dealt = dealt.join(sets, "rid").select("rid", "band", "key", "bands", "grams", "near", "blk", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"))
     blocks = dealt.groupBy("band", "key", "i", "j").applyInPandas(_verify_blocks(threshold), "id binary, peer binary, n bigint")
-    return small.unionByName(materialize(blocks)).unionByName(sure)
+    found = small.unionByName(materialize(blocks))
+    return found if sure is None else found.unionByName(sure)
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, text: str = "text") -> DataFrame:

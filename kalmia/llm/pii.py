@@ -13,8 +13,10 @@ CASE expressions: over the corpus everything runs in the JVM, in one pass withou
 
 Spans count code points, end exclusive. Patterns are written so that no text, however long or
 regular, makes them backtrack or recurse: runs are possessive and start only where a run starts (or
-where the match before ended). Null texts count as empty and have no spans. Repeated rows get
-repeated results; result columns replace input columns of the same names.
+where the match before ended). Work grows in proportion to a text's length and its spans: offsets and
+overlaps come from folds over short slices (``_arrays``). Null texts count as empty and have no spans.
+Repeated rows get repeated results; an empty table gives an empty result; result columns replace
+input columns of the same names.
 """
 
 from __future__ import annotations
@@ -23,9 +25,10 @@ import math
 import random
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kalmia.llm._arrays import BLOCK, between, blocks, fold, groups, keep, let, scan, some, transform
 from kalmia.llm._common import fresh, ref, text_or_empty, without
 
 KINDS = ("email", "ip", "card", "phone")
@@ -58,88 +61,85 @@ FOR = {
 }
 AGAINST = r"(?i)isbn|order|invoice|version|build|part|item|serial|ref|sku|commit|page|chapter|look|meet|was|is|build"
 CONTEXT = 32
+#: No proposal is longer than so many code points, as the generators bound each part.
+LONGEST = 1_024
 
 
-def located(text: Column, pattern: str, hint: str | None = None) -> Column:
+_SPAN = "struct<s:int,k:int,e:int>"
+
+
+def located(text: str, pattern: str, hint: str | None = None) -> str:
     """array<struct<s int, e int, m string>> of a pattern's non-overlapping matches, in code points."""
-    def place(box: Column) -> Column:
-        pieces = F.split(box["t"], pattern, -1)
-        both = F.arrays_zip(F.slice(pieces, 1, F.size(box["m"])).alias("p"), box["m"].alias("m"))
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int,m:string>>").alias("spans"))
+    none = "cast(array() AS array<struct<s:int,e:int,m:string>>)"
 
-        def step(acc: Column, x: Column) -> Column:
-            s = acc["at"] + F.char_length(x["p"])
-            e = s + F.char_length(x["m"])
-            return F.struct(e.alias("at"), F.concat(acc["spans"], F.array(F.struct(s.alias("s"), e.alias("e"), x["m"].alias("m")))).alias("spans"))
+    def place(m: str) -> str:
+        sizes = f"zip_with(slice(split({text}, r'{pattern}', -1), 1, size({m})), {m}, (p, q) -> named_struct('p', char_length(p), 'n', char_length(q), 'm', q))"
 
-        return F.when(F.size(box["m"]) > 0, F.aggregate(both, start, step, lambda acc: acc["spans"])).otherwise(F.array().cast("array<struct<s:int,e:int,m:string>>"))
+        def spans(z: str) -> str:
+            ended = scan(transform(z, lambda x, _: f"{x}.p + {x}.n"), 0, lambda a, x: f"{a} + {x}")  # where the match before ended
+            return let(ended, lambda at: transform(z, lambda x, i: f"named_struct('s', get({at}, {i}) + {x}.p, 'e', get({at}, {i}) + {x}.p + {x}.n, 'm', {x}.m)"))
 
-    found = F.struct(text.alias("t"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"))
-    spans = F.transform(F.array(found), place)[0]
-    return spans if hint is None else F.when(F.contains(text, F.lit(hint)), spans).otherwise(F.array().cast("array<struct<s:int,e:int,m:string>>"))
+        return f"CASE WHEN size({m}) > 0 THEN {let(sizes, spans)} ELSE {none} END"
 
+    found = let(f"regexp_extract_all({text}, r'{pattern}', 0)", place)
+    return found if hint is None else f"CASE WHEN contains({text}, '{hint}') THEN {found} ELSE {none} END"
 
-def digits(m: Column) -> Column:
-    return F.regexp_replace(m, "[^0-9]+", "")
 
+def digits(m: str) -> str:
+    return f"regexp_replace({m}, '[^0-9]+', '')"
 
-def luhn(d: Column) -> Column:
-    """Whether a string of digits passes the Luhn check."""
-    def value(x: Column, i: Column) -> Column:
-        n = x.cast("int")
-        return F.when(i % 2 == 0, n).when(n > 4, 2 * n - 9).otherwise(2 * n)
 
-    values = F.transform(F.filter(F.split(F.reverse(d), ""), lambda x: x != ""), value)
-    return F.aggregate(values, F.lit(0), lambda a, v: a + v) % 10 == 0
+def luhn(d: str) -> str:
+    """Whether a string of digits passes the Luhn check."""
+    values = transform(keep(f"split(reverse({d}), '')", lambda x, _: f"{x} <> ''"), lambda x, i: f"CASE WHEN {i} % 2 = 0 THEN cast({x} AS int) WHEN {x} > '4' THEN 2 * cast({x} AS int) - 9 ELSE 2 * cast({x} AS int) END")
+    return f"{fold(values, '0', lambda a, x: f'{a} + {x}')} % 10 = 0"
 
 
-def octets(m: Column) -> Column:
+def octets(m: str) -> str:
     """Whether every number in a string is at most 255."""
-    return ~F.rlike(m, F.lit(r"(?<![0-9])0*+(?:[1-9][0-9]{3}|[3-9][0-9]{2}|2[6-9][0-9]|25[6-9])"))
+    return rf"NOT rlike({m}, r'(?<![0-9])0*+(?:[1-9][0-9]{{3}}|[3-9][0-9]{{2}}|2[6-9][0-9]|25[6-9])')"
 
 
-def passes(kind: str, m: Column) -> Column:
+def passes(kind: str, m: str) -> str:
     if kind == "ip":
         return octets(m)
     if kind == "card":
-        return F.length(digits(m)).between(14, 19) & luhn(digits(m))
+        return f"(length({digits(m)}) BETWEEN 14 AND 19 AND {luhn(digits(m))})"
     if kind == "phone":
-        return F.length(digits(m)).between(10, 15)
-    return F.lit(True)
+        return f"length({digits(m)}) BETWEEN 10 AND 15"
+    return "true"
 
 
-def base_spans(text: Column) -> Column:
+def base_spans(text: str) -> str:
     """array<struct<s, k, e>>: spans with their kind's number, by start, then kind."""
-    def of(k: int, kind: str) -> Column:
-        ok = F.filter(located(text, BASE[kind], HINT[kind]), lambda x: passes(kind, x["m"]))
-        return F.transform(ok, lambda x: F.struct(x["s"].alias("s"), F.lit(k).alias("k"), x["e"].alias("e")))
+    def of(k: int, kind: str) -> str:
+        ok = keep(located(text, BASE[kind], HINT[kind]), lambda x, _: passes(kind, f"{x}.m"))
+        return transform(ok, lambda x, _: f"named_struct('s', {x}.s, 'k', {k}, 'e', {x}.e)")
 
-    return F.array_sort(F.concat(*[of(k, kind) for k, kind in enumerate(KINDS)]))
+    return f"array_sort(concat({', '.join(of(k, kind) for k, kind in enumerate(KINDS))}))"
 
 
 FEATURES = ("generator", "length", "n_digits", "distinct", "luhn", "octets", "for", "against", "brackets", "separators", "plain_end", "zero_start")
 
 
-def candidates(text: Column) -> Column:
+def candidates(text: str) -> str:
     """array<struct<s, k, e, FEATURES...>>: proposals of all generators."""
-    def featured(g: int, kind: str, pattern: str) -> Column:
-        def of(x: Column) -> Column:
-            before = F.substring(text, F.greatest(F.lit(1), x["s"] + 1 - CONTEXT), F.least(x["s"], F.lit(CONTEXT)))
-            d = digits(x["m"])
-            yes = lambda c: c.cast("double")
+    def featured(g: int, kind: str, pattern: str, pieces: str) -> str:
+        def of(x: str, before: str, d: str) -> str:
+            m = f"{x}.m"
             values = (
-                F.lit(float(g)), F.char_length(x["m"]).cast("double"), F.length(d).cast("double"), F.size(F.array_distinct(F.split(d, ""))).cast("double"),
-                yes(F.length(d).between(14, 19) & luhn(d)), yes(octets(x["m"])), yes(F.rlike(before, F.lit(FOR[kind]))), yes(F.rlike(before, F.lit(AGAINST))),
-                yes(F.rlike(x["m"], F.lit(r"[\[({]"))), F.size(F.array_distinct(F.split(F.regexp_replace(x["m"], "[A-Za-z0-9]+", ""), ""))).cast("double"),
-                yes(F.rlike(x["m"], F.lit(r"(?i)(?:com|org|net|edu|gov|io|info|de|fr|es|uk)$"))), yes(F.rlike(x["m"], F.lit(r"^\(?[01]"))),
+                f"{g}e0", f"char_length({m})", f"length({d})", f"size(array_distinct(split({d}, '')))", f"length({d}) BETWEEN 14 AND 19 AND {luhn(d)}", octets(m),
+                f"rlike({before}, r'{FOR[kind]}')", f"rlike({before}, r'{AGAINST}')", rf"rlike({m}, r'[\[({{]')", f"size(array_distinct(split(regexp_replace({m}, '[A-Za-z0-9]+', ''), '')))",
+                f"rlike({m}, r'(?i)(?:com|org|net|edu|gov|io|info|de|fr|es|uk)$')", rf"rlike({m}, r'^\(?[01]')",
             )
-            return F.struct(x["s"].alias("s"), F.lit(KINDS.index(kind)).alias("k"), x["e"].alias("e"), *[v.alias(n) for v, n in zip(values, FEATURES, strict=True)])
+            return f"named_struct('s', {x}.s, 'k', {KINDS.index(kind)}, 'e', {x}.e, {', '.join(f"'{n}', cast(({v}) AS double)" for v, n in zip(values, FEATURES, strict=True))})"
 
-        return F.transform(located(text, pattern), of)
+        before = lambda x: between(pieces, f"greatest(0, {x}.s - {CONTEXT})", f"least({x}.s, {CONTEXT})")
+        return transform(located(text, pattern), lambda x, _: let(before(x), lambda b: let(digits(f"{x}.m"), lambda d: of(x, b, d))))
 
-    every = F.concat(*[featured(g, kind, pattern) for g, (kind, pattern) in enumerate(GENERATORS)])
+    every = let(blocks(text), lambda pieces: f"concat({', '.join(featured(g, kind, pattern, pieces) for g, (kind, pattern) in enumerate(GENERATORS))})")
     kind_of = f"array<struct<s:int,k:int,e:int,{','.join(f'`{n}`:double' for n in FEATURES)}>>"
-    return F.when(F.rlike(text, F.lit(ANY_HINT)), every).otherwise(F.array().cast(kind_of))
+    return f"CASE WHEN rlike({text}, r'{ANY_HINT}') THEN {every} ELSE cast(array() AS {kind_of}) END"
 
 
 # ---- the trees
@@ -242,7 +242,7 @@ _trained: dict = {}
 def trained(spark) -> tuple[list[tuple], list[float]]:
     """Trees and thresholds, trained once a driver; two thirds of the examples train, one calibrates."""
     if "model" not in _trained:
-        rows = spark.createDataFrame(examples(), "id int, y int, text string").select("id", "y", F.explode(candidates(F.col("text"))).alias("c")).select("id", "y", "c.*")
+        rows = spark.createDataFrame(examples(), "id int, y int, text string").select("id", "y", F.explode(F.expr(candidates("text"))).alias("c")).select("id", "y", "c.*")
         found = sorted(rows.collect(), key=lambda r: (r["id"], r["s"], r["generator"]))
         x = np.array([[r[n] for n in FEATURES] for r in found])
         y, kinds, fold = (np.array(v) for v in zip(*((r["y"], r["k"], r["id"] % 3) for r in found), strict=True))
@@ -252,44 +252,60 @@ def trained(spark) -> tuple[list[tuple], list[float]]:
     return _trained["model"]
 
 
-def _case(tree: tuple, c: Column) -> Column:
+def _case(tree: tuple, c: str) -> str:
     if len(tree) == 1:
-        return F.lit(tree[0])
-    return F.when(c[FEATURES[tree[0]]] < tree[1], _case(tree[2], c)).otherwise(_case(tree[3], c))
+        return f"cast('{tree[0]!r}' AS double)"
+    return f"CASE WHEN {c}.`{FEATURES[tree[0]]}` < cast('{tree[1]!r}' AS double) THEN {_case(tree[2], c)} ELSE {_case(tree[3], c)} END"
 
 
-def judged(proposals: Column, model: tuple[list[tuple], list[float]]) -> Column:
+def judged(proposals: str, model: tuple[list[tuple], list[float]]) -> str:
     """array<struct<s, k, e, z>>: proposals that reach their kind's threshold."""
     trees, thresholds = model
+    total = lambda c: " + ".join(["0e0", *(_case(tree, c) for tree in trees)])
+    scored = transform(proposals, lambda c, _: f"named_struct('s', {c}.s, 'k', {c}.k, 'e', {c}.e, 'z', ({total(c)}) * {RATE}e0)")
+    least = ", ".join(f"cast('{min(t, 1e9)!r}' AS double)" for t in thresholds)
+    return keep(scored, lambda c, _: f"{c}.z >= get(array({least}), {c}.k)")
+
 
-    def scored(c: Column) -> Column:
-        total = F.lit(0.0)
-        for tree in trees:
-            total = total + _case(tree, c)
-        return F.struct(c["s"].alias("s"), c["k"].alias("k"), c["e"].alias("e"), (total * RATE).alias("z"))
+def resolved(base: str, extra: str) -> str:
+    """Base spans and the judged ones that overlap neither them nor a better one."""
+    none = f"cast(null AS {_SPAN.removesuffix('>')},z:double>)"
 
-    least = F.array(*[F.lit(min(t, 1e9)) for t in thresholds])
-    return F.filter(F.transform(proposals, scored), lambda c: c["z"] >= F.get(least, c["k"]))
+    def free(events: str) -> str:
+        """The judged ones behind whose start no base span reaches that begins before their end."""
+        reach = scan(transform(events, lambda x, _: f"{x}.e"), -1, lambda a, x: f"greatest({a}, {x})")
+        seen = let(reach, lambda r: transform(events, lambda x, i: f"CASE WHEN {x}.c IS NOT NULL AND get({r}, {i}) <= {x}.c.s THEN {x}.c END"))
+        return f"array_sort({keep(seen, lambda c, _: f'{c} IS NOT NULL')})"
 
+    def best(ordered: str) -> str:
+        once = keep(ordered, lambda c, i: f"{i} = 0 OR {c} <> get({ordered}, {i} - 1)")
+        part = lambda c: f"{c}.s DIV {LONGEST}"
+        wins = lambda o, c: f"({o}.z > {c}.z OR ({o}.z = {c}.z AND ({o}.s < {c}.s OR ({o}.s = {c}.s AND {o}.k < {c}.k))))"
+        beaten = lambda c, near: some(near, lambda o: f"{c}.s < {o}.e AND {o}.s < {c}.e AND {wins(o, c)}")
 
-def resolved(base: Column, extra: Column) -> Column:
-    """Base spans and the judged ones that overlap neither them nor a better one."""
-    overlap = lambda a, b: (a["s"] < b["e"]) & (b["s"] < a["e"])
-    better = lambda a, b: (b["z"] > a["z"]) | ((b["z"] == a["z"]) & ((b["s"] < a["s"]) | ((b["s"] == a["s"]) & (b["k"] < a["k"]))))
+        def of(parts: str) -> str:
+            def around(j: str, g: str) -> str:
+                beside = lambda d: f"coalesce(CASE WHEN {part(f'get({parts}, {j} + {d})[0]')} = {part(f'{g}[0]')} + {d} THEN get({parts}, {j} + {d}) END, slice({g}, 1, 0))"
+                return f"concat({beside(-1)}, {g}, {beside(1)})"
+
+            return f"flatten({transform(parts, lambda g, j: let(around(j, g), lambda near: keep(g, lambda c, _: f'NOT {beaten(c, near)}')))})"
 
-    def alone(box: Column) -> Column:
-        free = F.filter(box["extra"], lambda c: ~F.exists(box["base"], lambda b: overlap(c, b)))
-        free = F.array_distinct(F.transform(free, lambda c: c))
-        best = F.filter(free, lambda c: ~F.exists(free, lambda o: overlap(c, o) & better(c, o)))
-        return F.array_sort(F.concat(box["base"], F.transform(best, lambda c: F.struct(c["s"].alias("s"), c["k"].alias("k"), c["e"].alias("e")))))
+        return let(once, lambda x: f"CASE WHEN size({x}) <= 1 THEN {x} ELSE {let(groups(x, part), of)} END")
 
-    return F.when(F.size(extra) == 0, base).otherwise(F.transform(F.array(F.struct(base.alias("base"), extra.alias("extra"))), alone)[0])
+    def both(box: str) -> str:
+        # Ends of judged spans come before base spans that start there.
+        ends = transform(f"{box}.extra", lambda c, _: f"named_struct('at', {c}.e, 'q', 0, 'e', -1, 'c', {c})")
+        starts = transform(f"{box}.base", lambda b, _: f"named_struct('at', {b}.s, 'q', 1, 'e', {b}.e, 'c', {none})")
+        chosen = let(let(f"array_sort(concat({ends}, {starts}))", free), best)
+        return f"array_sort(concat({box}.base, {transform(chosen, lambda c, _: f"named_struct('s', {c}.s, 'k', {c}.k, 'e', {c}.e)")}))"
 
+    return f"CASE WHEN size({extra}) = 0 THEN {base} ELSE {let(f"named_struct('base', {base}, 'extra', {extra})", both)} END"
 
-def written(spans: Column) -> Column:
+
+def written(spans: str) -> str:
     """``kind:start:end``, joined by commas."""
-    names = F.array(*[F.lit(k) for k in KINDS])
-    return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(names, x["k"]), x["s"].cast("string"), x["e"].cast("string"))), ",")
+    names = ", ".join(f"'{k}'" for k in KINDS)
+    return f"array_join({transform(spans, lambda x, _: f"concat_ws(':', get(array({names}), {x}.k), {x}.s, {x}.e)")}, ',')"
 
 
 def find(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -297,27 +313,52 @@ def find(docs: DataFrame, text: str = "text") -> DataFrame:
     docs = without(docs, "base_spans", "spans")
     extra, whole = fresh(docs, "extra", "whole")
     model = trained(docs.sparkSession)
-    rows = docs.withColumn(whole, text_or_empty(text)).withColumns({"base_spans": base_spans(ref(whole)), extra: judged(candidates(ref(whole)), model)})
-    return rows.withColumn("spans", resolved(F.col("base_spans"), ref(extra))).drop(extra, whole)
+    rows = docs.withColumn(whole, text_or_empty(text)).withColumns({"base_spans": F.expr(base_spans(whole)), extra: F.expr(judged(candidates(whole), model))})
+    return rows.withColumn("spans", F.expr(resolved("base_spans", extra))).drop(extra, whole)
 
 
-def redact(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with each span of ``find`` in the text replaced by its kind in angle brackets."""
-    found, names = find(docs, text), F.array(*[F.lit(f"<{k}>") for k in KINDS])
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+def redacted(text: str, spans: str) -> str:
+    """The text with its spans (by start) replaced by their kinds in angle brackets, block by block."""
+    names = ", ".join(f"'<{k}>'" for k in KINDS)
+
+    def of(box: str) -> str:
+        # A block's own mark (k -1) comes before the spans that start in it.
+        heads = transform(f"{box}.pieces", lambda _, j: f"named_struct('s', {j} * {BLOCK}, 'k', -1, 'e', -1)")
+
+        def joined(events: str) -> str:
+            ended = scan(transform(events, lambda x, _: f"{x}.e"), -1, lambda a, x: f"greatest({a}, {x})")
+            numbered = lambda reach: transform(events, lambda x, i: f"named_struct('s', {x}.s, 'k', {x}.k, 'e', {x}.e, 'reach', get({reach}, {i}))")
+
+            def block(part: str, j: str) -> str:
+                piece = lambda start, size: f"substring(get({box}.pieces, {j}), {start} - {j} * {BLOCK} + 1, {size})"
+                start = f"named_struct('at', greatest({j} * {BLOCK}, {part}[0].reach), 'out', '')"
+                step = lambda a, x: (
+                    f"named_struct('at', greatest({a}.at, {x}.e), 'out', concat({a}.out, CASE WHEN {x}.s > {a}.at THEN {piece(f'{a}.at', f'{x}.s - {a}.at')} ELSE '' END, get(array({names}), {x}.k)))"
+                )
+                rest = lambda a: f"concat({a}.out, CASE WHEN {a}.at < ({j} + 1) * {BLOCK} THEN {piece(f'{a}.at', str(BLOCK))} ELSE '' END)"
+                return fold(keep(part, lambda x, _: f"{x}.k >= 0"), start, step, rest)
+
+            # Slices begin with a block's mark: there are as many as blocks.
+            cut = lambda o: groups(o, lambda x: f"{x}.s DIV {BLOCK}")
+            return f"array_join({transform(let(let(ended, numbered), cut), block)}, '')"
 
-    def step(acc: Column, x: Column) -> Column:
-        cut = F.concat(acc["out"], F.substring(text_or_empty(text), acc["at"] + 1, F.greatest(F.lit(0), x["s"] - acc["at"])), F.get(names, x["k"]))
-        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), cut.alias("out"))
+        ordered = f"array_sort(concat({heads}, {transform(f'{box}.spans', lambda x, _: f"named_struct('s', {x}.s, 'k', {x}.k, 'e', {x}.e)")}))"
+        return f"CASE WHEN size({box}.spans) = 0 THEN {box}.text ELSE {let(ordered, joined)} END"
 
-    rest = lambda acc: F.concat(acc["out"], F.substring(text_or_empty(text), acc["at"] + 1, F.char_length(text_or_empty(text))))
-    return found.withColumn(text, F.aggregate("spans", start, step, rest)).drop("base_spans", "spans")
+    return let(f"named_struct('text', {text}, 'spans', {spans}, 'pieces', {blocks(text)})", of)
+
+
+def redact(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with each span of ``find`` in the text replaced by its kind in angle brackets."""
+    found = find(docs, text)
+    (whole,) = fresh(found, "whole")
+    return found.withColumn(whole, text_or_empty(text)).withColumn(text, F.expr(redacted(whole, "spans"))).drop("base_spans", "spans", whole)
 
 
 def query(docs: DataFrame) -> DataFrame:
     rows = find(docs.select("doc_id", "text")).select("doc_id", "base_spans", "spans")
-    count = lambda k: F.size(F.filter("base_spans", lambda x: x["k"] == k)).cast("long")
+    count = lambda k: F.expr(f"size({keep('base_spans', lambda x, _: f'{x}.k = {k}')})").cast("long")
     return rows.select(
         "doc_id", *[count(k).alias(f"n_{kind}") for k, kind in enumerate(KINDS)],
-        F.sha2(written(F.col("base_spans")).cast("binary"), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"),
+        F.sha2(F.expr(written("base_spans")).cast("binary"), 256).alias("base_sha256"), F.expr(written("spans")).alias("spans"),
     )
