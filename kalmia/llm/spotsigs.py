@@ -2,7 +2,7 @@
 
 Wherever a common word (an anchor) stands in a text, the next ``CHAIN`` content words behind it,
 other common words skipped, form with it one signature. A text's fingerprint is the sorted set of
-its signatures' 32-bit hashes, written as hexadecimal digits. Two texts' likeness is the Jaccard
+its signatures' 64-bit hashes, written as hexadecimal digits. Two texts' likeness is the Jaccard
 similarity of these sets. Texts without an anchor use every word as one; a text with too few content
 words for a chain has one signature, its words. Texts without words have the empty fingerprint;
 two empty ones are alike (1), an empty and another one are not (0).
@@ -12,14 +12,20 @@ lengths allow the threshold meet, and only over each set's rarest signatures (as
 the threshold must share one of); a bound on the lengths goes first, the exact Jaccard last.
 
 ``neighbours`` gives each row its next row in an order without one task ordering all rows: rows are
-range partitioned (at quantiles, evenly between them, in proportion to the rows), and the first row
-of each range is also dealt, as a ghost, to the range before it.
-
-Null texts count as empty; null doc_ids come last in the order. Repeated rows follow each other.
+range partitioned at keys of a sample (only cuts come from it) with a bounded number of rows aimed at
+between two cuts, equal ids cut by a hash of their text, and the first row of each range is also
+dealt, as a ghost, to the range before it.
+
+Null texts count as empty; null doc_ids come last in the order; ids may be of any type that orders.
+Rows of one doc_id follow each other by a hash of their text, so repeated rows are neighbours. Very
+long texts count whole. An empty table gives an empty result. Columns that ``neighbours`` adds are
+replaced.
 """
 
 from __future__ import annotations
 
+import base64
+import json
 import math
 from collections.abc import Callable
 
@@ -30,8 +36,8 @@ from kalmia.llm._common import fresh, materialize, ref, without
 
 #: Content words in a signature.
 CHAIN = 3
-#: Quantiles that ``neighbours`` cuts the order at, rows it aims at between two cuts, and even cuts between quantiles at most.
-RANGES, RANGE_ROWS, MOST_FINE = 200, 4_000, 1_000
+#: Rows that ``neighbours`` aims at between two cuts, the most cuts, and keys of the sample for each.
+RANGE_ROWS, MOST_CUTS, SAMPLED = 4_000, 20_000, 20
 #: Rows of one signature and length partition that ``near_duplicates`` compares in one task.
 BLOCK = 2_000
 
@@ -71,7 +77,7 @@ def signatures(text: Column, chain: int = CHAIN, anchors: tuple[str, ...] = ANCH
                 .when(F.size(full) == 0, every)
                 .otherwise(full)
             )
-            return F.array_sort(F.array_distinct(F.transform(chosen, lambda c: F.hash(c))))
+            return F.array_sort(F.array_distinct(F.transform(chosen, lambda c: F.xxhash64(c))))
 
         inner = F.struct(box["w"].alias("w"), spots.alias("spots"), F.filter(box["w"], lambda w: ~common(w)).alias("content"))
         return F.transform(F.array(inner), from_anchors)[0]
@@ -80,7 +86,7 @@ def signatures(text: Column, chain: int = CHAIN, anchors: tuple[str, ...] = ANCH
 
 
 def fingerprint(hashes: Column) -> Column:
-    return F.array_join(F.transform(hashes, lambda h: F.lower(F.lpad(F.hex(h.cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0"))), "")
+    return F.array_join(F.transform(hashes, lambda h: F.lower(F.lpad(F.hex(h), 16, "0"))), "")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -121,33 +127,52 @@ def near_duplicates(prints: DataFrame, threshold: float = 0.8) -> DataFrame:
     return near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "likeness").unionByName(copies)
 
 
-def neighbours(rows: DataFrame, key: str, order: list[Column], carried: dict[str, str], derive: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
+def _cuts(keys: DataFrame) -> list:
+    """Rows (k, t) of a sample that cut the order (k descending, then t) into ranges of about ``RANGE_ROWS`` rows."""
+    n = keys.count()
+    wanted = min(math.ceil(n / RANGE_ROWS), MOST_CUTS)
+    if wanted < 2:
+        return []
+    picked = keys.sample(min(1.0, SAMPLED * wanted / n), 11).orderBy(F.col("k").desc_nulls_last(), "t").collect()  # bounded by MOST_CUTS
+    return [picked[i * len(picked) // wanted] for i in range(1, wanted)] if picked else []
+
+
+def _range_of(key: Column, tie: Column, cuts: list, kind: str) -> Column:
+    """How many cuts come at or before a row: found among every so-many-th cut, then among those behind it."""
+    if not cuts:
+        return F.lit(0)
+    step = math.isqrt(len(cuts)) + 1
+    parts = [cuts[i : i + step] for i in range(0, len(cuts), step)]
+    # One literal, however many cuts: parsing it has no part that depends on a row, so it is done once.
+    plain = lambda k: k if isinstance(k, int | float | str | None) else base64.b64encode(k).decode() if isinstance(k, bytes | bytearray) else str(k)
+    text = json.dumps([[{"k": plain(c["k"]), "t": c["t"]} for c in part] for part in parts])
+    nested = F.from_json(F.lit(text), f"array<array<struct<k:{kind},t:bigint>>>")
+    passed = lambda c: F.coalesce((c["k"] > key) | (c["k"].eqNullSafe(key) & (c["t"] <= tie)) | (c["k"].isNotNull() & key.isNull()), F.lit(False))
+    heads = F.size(F.filter(nested, lambda part: passed(part[0])))
+    behind = F.size(F.filter(F.get(nested, F.greatest(heads - 1, F.lit(0))), passed))
+    return F.when(heads == 0, F.lit(0)).otherwise((heads - 1) * step + behind)
+
+
+def neighbours(rows: DataFrame, key: str, tie: Column, carried: dict[str, str], derive: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
     """Each row with columns of the row that follows by descending ``key``; the first follows the last.
 
-    carried: names of columns to take from the next row, and what to call them. ``order`` orders
+    carried: names of columns to take from the next row, and what to call them. ``tie``, a bigint, orders
     equal keys. ``derive`` adds columns once rows are dealt. A single row follows itself.
     """
     rows = without(rows, *carried.values())
-    part, ghost, at, before = fresh(rows, "part", "ghost", "at", "before")
-    id_ = ref(key).cast("double")
-    n, low, high, cuts = rows.select(id_.alias(at)).agg(F.count(F.lit(1)), F.min(at), F.max(at), F.percentile_approx(at, F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)]), F.lit(10_000))).first()
-    cuts = sorted(set(cuts or []), reverse=True)
-    ends = F.array(*[F.lit(x) for x in (high, *cuts, low)]).cast("array<double>")
-    fine = min(max(math.ceil(n / (RANGES * RANGE_ROWS)), 1), MOST_FINE)
-    # Range 0 holds the largest keys; each range between quantiles is cut evenly; nulls come last.
-    coarse = F.size(F.filter(F.slice(ends, 2, len(cuts)), lambda c: id_ < c))
-    top, bottom = F.get(ends, coarse), F.get(ends, coarse + 1)
-    within = F.when(top > bottom, F.floor((top - id_) / (top - bottom) * fine)).otherwise(0)
-    own = F.when(id_.isNull(), F.lit((len(cuts) + 1) * fine)).otherwise(coarse * fine + F.greatest(F.lit(0), F.least(F.lit(fine - 1), within)))
-    dealt = rows.withColumn(part, own.cast("bigint"))
-    tops = materialize(dealt.groupBy(part).agg(F.max(id_).alias(at)))  # a row for each range
+    part, ghost, at, before, first = fresh(rows, "part", "ghost", "at", "before", "first")
+    cuts = _cuts(rows.select(ref(key).alias("k"), tie.alias("t")))
+    dealt = rows.withColumn(at, tie)
+    dealt = dealt.withColumn(part, _range_of(ref(key), ref(at), cuts, rows.schema[key].dataType.simpleString()).cast("bigint"))
+    # A row for each range: its first, as the largest key with the smallest tie.
+    tops = materialize(dealt.groupBy(part).agg(F.max(F.struct(ref(key).alias("k"), F.bitwise_not(ref(at)).alias("t"))).alias(first)))
     last = tops.agg(F.max(part)).first()[0]
-    tops = tops.select(ref(part).alias("_p"), ref(at).alias("_a"), F.coalesce(F.lag(part).over(Window.orderBy(part)), F.lit(last)).alias(before))
-    ghosts = dealt.join(F.broadcast(tops), (ref(part) == F.col("_p")) & id_.eqNullSafe(F.col("_a")))
-    ghosts = ghosts.select(*map(ref, rows.columns), ref(before).alias(part), F.lit(True).alias(ghost))
+    tops = tops.select(ref(part).alias("_p"), F.col(f"{first}.k").alias("_k"), F.bitwise_not(F.col(f"{first}.t")).alias("_t"), F.coalesce(F.lag(part).over(Window.orderBy(part)), F.lit(last)).alias(before))
+    ghosts = dealt.join(F.broadcast(tops), (ref(part) == F.col("_p")) & ref(key).eqNullSafe(F.col("_k")) & (ref(at) == F.col("_t")))
+    ghosts = ghosts.select(*map(ref, rows.columns), ref(at), ref(before).alias(part), F.lit(True).alias(ghost))
     both = derive(dealt.withColumn(ghost, F.lit(False)).unionByName(ghosts))
-    names = [c for c in both.columns if c not in (part, ghost)]
-    w = Window.partitionBy(part).orderBy(ref(ghost), ref(key).desc_nulls_last(), *order)
+    names = [c for c in both.columns if c not in (part, ghost, at)]
+    w = Window.partitionBy(part).orderBy(ref(ghost), ref(key).desc_nulls_last(), ref(at))
     found = both.select("*", *[F.lead(ref(c)).over(w).alias(n) for c, n in carried.items()])
     return found.filter(~ref(ghost)).select(*map(ref, [*names, *carried.values()]))
 
@@ -156,7 +181,7 @@ def query(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", text.alias("text"))
     derive = lambda dealt: dealt.withColumns({"own": signatures(F.col("text")), "n_chars": F.char_length("text").cast("long")})
-    rows = neighbours(rows, "doc_id", [F.xxhash64("text"), F.col("text")], {"text": "next_text", "own": "next_own"}, derive)
+    rows = neighbours(rows, "doc_id", F.xxhash64("text"), {"text": "next_text", "own": "next_own"}, derive)
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - half), F.substring(F.col("next_text"), F.lit(1), half))
     rows = rows.select("doc_id", "n_chars", "own", "next_own", edited.alias("edited"))

@@ -3,6 +3,8 @@ import re
 import time
 from itertools import combinations
 
+import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -174,7 +176,7 @@ def held(table):
         a, b, c = map(brute_signatures, (text, edited, after))
         r = got[i]
         assert r["n_chars"] == len(text) and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
-        assert len(r["fingerprint"]) == 8 * len(a) and len(r["edited_fingerprint"]) == 8 * len(b)
+        assert len(r["fingerprint"]) == 16 * len(a) and len(r["edited_fingerprint"]) == 16 * len(b)
         assert abs(r["near_edited"] - jaccard(a, b)) < 1e-9 and abs(r["near_next"] - jaccard(a, c)) < 1e-9
 
 
@@ -206,10 +208,31 @@ def test_near_duplicates(docs):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want) and want
 
 
-def test_neighbours_with_many_fine_ranges(monkeypatch, spark):
-    monkeypatch.setattr(spotsigs, "RANGE_ROWS", 0.01)
-    ids = [*range(0, 4000, 7), 10**9, 10**12, -5, 3, 3]
-    table = spark.createDataFrame([(i, str(i)) for i in ids], "doc_id long, text string")
-    got = sorted((r["doc_id"], r["n"]) for r in spotsigs.neighbours(table, "doc_id", [F.col("text")], {"text": "n"}).collect())
-    order = sorted(ids, reverse=True)
-    assert got == sorted((i, str(j)) for i, j in zip(order, [*order[1:], order[0]], strict=True))
+@pytest.mark.parametrize("kind", ["long", "string", "double"])
+def test_neighbours_in_many_ranges(monkeypatch, spark, kind):
+    monkeypatch.setattr(spotsigs, "RANGE_ROWS", 5)
+    ids = [*range(0, 2000, 7), 10**9, 10**12, -5, *[3] * 40, *[None] * 30]
+    turn = {"long": lambda i: i, "string": lambda i: None if i is None else f"d'{i:x}", "double": lambda i: None if i is None else i / 3}[kind]
+    rows = [(turn(i), n % 25 if i in (3, None) else n) for n, i in enumerate(ids)]
+    table = spark.createDataFrame(rows, f"doc_id {kind}, t long")
+    got = spotsigs.neighbours(table, "doc_id", F.col("t"), {"t": "n", "doc_id": "next"}).collect()
+    known = sorted((r for r in rows if r[0] is not None), key=lambda r: r[1])
+    order = sorted(known, key=lambda r: r[0], reverse=True) + sorted(r for r in rows if r[0] is None)
+    want = [(*x, *y) for x, y in zip(order, [*order[1:], order[0]], strict=True)]
+    assert sorted(((r["doc_id"], r["t"], r["next"], r["n"]) for r in got), key=str) == sorted(want, key=str)
+
+
+def test_query_of_any_ids(spark, odd):
+    """Nulls, repeats and ids that aren't numbers: every row with the text that follows it."""
+    rows = [(f"k{i % 9}" if i % 4 else None, r["text"]) for i, r in enumerate(odd.collect())]
+    got = spotsigs.query(spark.createDataFrame([*rows, *rows[:3]], "doc_id string, text string")).collect()
+    signed = lambda t: int.from_bytes(xxhash.xxh64_digest(t.encode(), seed=42), "big", signed=True)
+    texts = sorted(((i, t or "") for i, t in [*rows, *rows[:3]]), key=lambda r: signed(r[1]))
+    order = sorted((r for r in texts if r[0] is not None), key=lambda r: r[0], reverse=True) + [r for r in texts if r[0] is None]
+    want = []
+    for (i, own), (_, after) in zip(order, [*order[1:], order[0]], strict=True):
+        half = len(own) // 2
+        edited = own[: len(own) - half] + after[:half]
+        sets = [brute_signatures(x) for x in (own, edited, after)]
+        want.append((i, len(own), hashlib.sha256(edited.encode()).hexdigest(), round(jaccard(sets[0], sets[1]), 9), round(jaccard(sets[0], sets[2]), 9)))
+    assert sorted(((r["doc_id"], r["n_chars"], r["edited_sha256"], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in got), key=str) == sorted(want, key=str)

@@ -11,7 +11,7 @@ def test_hot_signature_in_blocks(monkeypatch, spark):
     made = spotsigs.materialize
     monkeypatch.setattr(spotsigs, "materialize", lambda rows: dealt.append(made(rows)) or dealt[-1])
     sets = {i: [1, 2, 3, 4, 100 + i] if i % 2 else [1, 2, 3, 4, 100 + i, 200 + i // 4] for i in range(60)}
-    prints = spark.createDataFrame(list(sets.items()), "id long, hashes array<int>")
+    prints = spark.createDataFrame(list(sets.items()), "id long, hashes array<bigint>")
     want = {}
     for a, b in combinations(sets, 2):
         x, y = set(sets[a]), set(sets[b])
