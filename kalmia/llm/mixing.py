@@ -7,14 +7,17 @@ into that many rows. All rows are ordered by another hash: a global shuffle that
 every run.
 
 Large means are split into equal parts of at most ``PART`` that are drawn with hashes of their own
-(a sum of independent Poisson numbers is one), so that exp(-mean) never underflows.
+(a sum of independent Poisson numbers is one), so that exp(-mean) never underflows. A source's
+cumulated probabilities are computed once and stand in the broadcast table; a draw is a binary search
+in them, cheap enough for the global sort to make it again when it samples its input.
 
 Only the per-source sums are aggregated (partial sums first), and they are joined by broadcast while
 there are at most ``MAX_BROADCAST_SOURCES`` of them, else by a join that splits hot sources.
 
 A null source is a source of its own; null texts weigh nothing; a source without a byte has no rate
-and gives no rows, nor does one with target weight 0. Rows that are alike draw alike. Columns named
-replica, rate and shuffle_key are replaced.
+and gives no rows, nor does one with target weight 0. Rows that are alike draw alike. Very long texts
+are only measured and moved. An empty table gives an empty result. Columns named replica, rate and
+shuffle_key are replaced.
 """
 
 from __future__ import annotations
@@ -38,15 +41,26 @@ def _uniform(*parts: Column) -> Column:
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("bigint").cast("double") + F.lit(0.5)) / F.lit(float(2**52))
 
 
-def poisson_quantile(mean: Column, u: Column) -> Column:
-    """The smallest k whose cumulated probability is at least u; ``mean`` up to ``PART``."""
-    start = F.struct(F.exp(-mean).alias("p"), F.exp(-mean).alias("c"), F.lit(0).alias("k"))
+#: The largest number that a part's draw gives.
+MOST = int(PART + 12 * PART**0.5 + 20)
 
-    def step(s, i):
-        p = s["p"] * mean / i.cast("double")
-        return F.when(s["c"] >= u, s).otherwise(F.struct(p.alias("p"), (s["c"] + p).alias("c"), i.cast("int").alias("k")))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(int(PART + 12 * PART**0.5 + 20))), start, step, lambda s: s["k"])
+def cumulated(mean: Column) -> Column:
+    """The probabilities of at most 0, 1, ... ``MOST`` - 1; ``mean`` up to ``PART``."""
+    one = F.struct(F.exp(-mean).alias("p"), F.exp(-mean).alias("c"))
+    start = F.struct(one.alias("s"), F.array(one["c"]).alias("all"))
+
+    def step(a: Column, i: Column) -> Column:
+        p = a["s"]["p"] * mean / i.cast("double")
+        return F.struct(F.struct(p.alias("p"), (a["s"]["c"] + p).alias("c")).alias("s"), F.concat(a["all"], F.array(a["s"]["c"] + p)).alias("all"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(MOST - 1)), start, step, lambda a: a["all"])
+
+
+def poisson_quantile(probabilities: Column, u: Column) -> Column:
+    """How many of the rising ``probabilities`` are below u: the smallest k whose cumulated probability is at least u."""
+    halves = [1 << k for k in reversed(range(MOST.bit_length()))]
+    return F.aggregate(F.array(*map(F.lit, halves)), F.lit(0), lambda n, h: F.when(F.coalesce(F.get(probabilities, n + h - 1) < u, F.lit(False)), n + h).otherwise(n))
 
 
 def rates(docs: DataFrame, weights: Mapping[str | None, float] | None, epochs: float) -> DataFrame:
@@ -66,18 +80,15 @@ def rates(docs: DataFrame, weights: Mapping[str | None, float] | None, epochs: f
 def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, epochs: float = 1.0, seed: int = 17) -> DataFrame:
     """The replicated rows of ``docs`` in their global order, with rate, replica (from 0) and shuffle_key."""
     docs = without(docs, "rate", "replica", "shuffle_key")
-    table = materialize(rates(docs, weights, epochs))
-    key, copies = fresh(docs, "source_key", "copies")
-    table = table.withColumnRenamed("source", key)
+    key, copies, parts, chances = fresh(docs, "source_key", "copies", "parts", "chances")
+    table = rates(docs, weights, epochs).withColumn(parts, F.greatest(F.lit(1), F.ceil(F.col("rate") / PART)).cast("int"))
+    table = materialize(table.withColumn(chances, cumulated(F.col("rate") / ref(parts)))).withColumnRenamed("source", key)
     on = F.col("source").eqNullSafe(F.col(key))
     side = F.broadcast(table) if table.count() <= MAX_BROADCAST_SOURCES else table
     id_, source = F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.col("source"), F.lit(""))
-    parts = F.greatest(F.lit(1), F.ceil(F.col("rate") / PART)).cast("int")
-    draw = F.aggregate(
-        F.sequence(F.lit(1), parts), F.lit(0),
-        lambda n, i: n + poisson_quantile(F.col("rate") / parts, _uniform(F.lit(str(seed)), id_, source, i.cast("string"))),
-    )
-    rows = docs.join(side, on, "inner").drop(key).withColumn(copies, draw).filter(ref(copies) > 0)
+    uniforms = F.transform(F.sequence(F.lit(1), ref(parts)), lambda i: _uniform(F.lit(str(seed)), id_, source, i.cast("string")))
+    draw = F.aggregate(uniforms, F.lit(0), lambda n, u: n + poisson_quantile(ref(chances), u))
+    rows = docs.join(side, on, "inner").drop(key).withColumn(copies, draw).drop(parts, chances).filter(ref(copies) > 0)
     rows = rows.withColumn("replica", F.explode(F.sequence(F.lit(0), ref(copies) - 1))).drop(copies)
     rows = rows.withColumn("shuffle_key", F.md5(F.concat_ws("|", F.lit(f"order{seed}"), id_, source, F.col("replica").cast("string")).cast("binary")))
     return rows.orderBy("shuffle_key", F.col("doc_id").asc_nulls_last(), "replica")

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from kalmia.llm import exact_dedup, mixing, ngram_join, sharding
@@ -35,8 +36,8 @@ def test_exact_dedup(monkeypatch, docs, odd, none, least):
 
 def test_heavy_digests_are_found(spark):
     rows = spark.range(5_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("text"))
-    found = exact_dedup.heavy(rows).collect()
-    assert [(r["keep_id"], r["group_size"]) for r in found] == [(0, 1667)]
+    found = exact_dedup.heavy(rows.select("doc_id", exact_dedup.digest().alias("text_sha256"), F.col("doc_id").alias("n")), "n").collect()
+    assert [(r["first"]["id"], r["group_size"]) for r in found] == [(0, 1667)]
 
 
 def test_sharding(docs, odd, none):
@@ -54,6 +55,23 @@ def test_sharding(docs, odd, none):
     assert sharding.shard(odd).count() == odd.count()
 
 
+def test_shards_by_a_plain_rendezvous(spark):
+    """Spark's xxhash64 of (text, int) is XXH64 of the int's four bytes, seeded with XXH64 of the text (seed 42)."""
+    keys, weights = [*range(400), None], [1.0, 0.0, 2.5, 1.0, 4.0]
+
+    def best(key, weights):
+        def score(i):
+            seed = xxhash.xxh64_intdigest(("\x00null" if key is None else str(key)).encode(), seed=42)
+            bits = xxhash.xxh64_intdigest(i.to_bytes(4, "little"), seed=seed) >> 11
+            return -weights[i] / math.log((bits + 0.5) / 2**53)
+
+        return max((i for i, w in enumerate(weights) if w), key=lambda i: (score(i), i))
+
+    rows = spark.createDataFrame([(k,) for k in keys], "doc_id long")
+    got = {r["doc_id"]: (r["shard"], r["grown_shard"]) for r in sharding.shard(rows, weights=weights, grown=2.0).collect()}
+    assert got == {k: (best(k, weights), best(k, [*weights, 2.0])) for k in keys}
+
+
 def test_shard_weights(spark):
     rows = spark.range(20_000).withColumnRenamed("id", "doc_id")
     got = {r["shard"]: r["count"] for r in sharding.shard(rows, weights=(1, 0, 3)).groupBy("shard").count().collect()}
