@@ -10,11 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kalmia.functions import text as T
+from kalmia.operators.detect.evidence import EVIDENCE
 from kalmia.operators.detect.rules import DETECTORS
 from kalmia.runtime import ship_package
 
-#: Longer code isn't parsed: a guard for the parser, reported as an error.
-MOST_CHARS = 200_000
 RESULT = "error string, detections array<struct<pattern_id:string,confidence:double,evidence:array<struct<type:string,description:string,location:string,weight:double>>>>"
 
 
@@ -32,14 +31,18 @@ def refused(code: str) -> str | None:
     return None
 
 
+def _evidence(pattern_id: str, key: str, node: ast.AST | None, *words) -> dict:
+    weight, words_of = EVIDENCE[pattern_id][key]
+    place = f"{node.lineno}:{node.col_offset}" if hasattr(node, "lineno") else None
+    return {"type": key.split("/")[0], "description": words_of.format(*words), "location": place, "weight": weight}
+
+
 def analyze(code: str | None) -> tuple[str | None, list[dict]]:
     """(error, detections): the most confident first, ties in the detectors' order. An error in one detector
     means that it doesn't detect."""
     text = (code or "").strip()
     if error := refused(text):
         return error, []
-    if len(text) > MOST_CHARS:
-        return "Code string is too long", []
     try:
         tree = ast.parse(text)
     except SyntaxError as e:
@@ -52,11 +55,10 @@ def analyze(code: str | None) -> tuple[str | None, list[dict]]:
             items = list(d.find(tree))
         except Exception:  # noqa: BLE001
             continue
-        passed = d.gate({t for t, _, _ in items})
-        if not items or not passed:
+        if not items or not d.gate({key.split("/")[0] for key, *_ in items}):
             continue
-        evidence = [{"type": t, "description": t.replace("_", " "), "location": f"{n.lineno}:{n.col_offset}" if hasattr(n, "lineno") else "", "weight": w} for t, w, n in items]
-        found.append({"pattern_id": d.pattern_id, "confidence": min(sum(w for _, w, _ in items), 1.0), "evidence": evidence})
+        evidence = [_evidence(d.pattern_id, *item) for item in items]
+        found.append({"pattern_id": d.pattern_id, "confidence": min(sum(e["weight"] for e in evidence), 1.0), "evidence": evidence})
     return None, sorted(found, key=lambda x: -x["confidence"])
 
 

@@ -5,6 +5,7 @@ from kalmia.operators import ratings as folds
 from kalmia.operators import windows
 from kalmia.operators.detect import DETECTORS, analyze, analyze_codes, register_udtf
 from kalmia.operators.detect import weighted
+from kalmia.operators.detect.evidence import EVIDENCE
 from kalmia.operators.detect.rules import detector
 from kalmia.plans import catalogue, samples
 from kalmia.sources.adapter import Tables
@@ -34,14 +35,20 @@ def test_near_misses():
     assert "dp_interval" not in found("def f(a):\n    for i, j in zip(a, a):\n        pass\n    for k in range(2, 5):\n        for i in range(3):\n            a[i][k] = a[i][k - 1]")  # a tuple target
 
 
+def test_long_code_counts_whole():
+    code = "x = 1\n" * 160_000 + samples.POSITIVE["sorting"]
+    error, found = analyze(code)
+    assert len(code) > 900_000 and error is None and "sorting" in {d["pattern_id"] for d in found}
+
+
 def test_order_and_errors():
     found = analyze(samples.POSITIVE["dp_knapsack"])[1]
     assert [d["confidence"] for d in found] == sorted((d["confidence"] for d in found), reverse=True)
     places = [d.pattern_id for d in DETECTORS]
     for a, b in zip(found, found[1:], strict=False):
         assert a["confidence"] > b["confidence"] or places.index(a["pattern_id"]) < places.index(b["pattern_id"])
-    assert analyze(None)[0] == "Code string cannot be empty" and analyze("x = '\0'")[0] and analyze("(" * 5_000)[0] and analyze("a" * 300_000)[0] == "Code string is too long"
-    assert len(DETECTORS) == 36
+    assert analyze(None)[0] == "Code string cannot be empty" and analyze("x = '\0'")[0] and analyze("(" * 5_000)[0]
+    assert len(DETECTORS) == 36 and set(EVIDENCE) == {d.pattern_id for d in DETECTORS}
     with pytest.raises(ValueError):
         detector("sorting")(lambda tree: iter(()))
 
