@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kalmia.operators import windows
+
 # Fixed values.
 MISS, RECENCY, PENALTY = 0.5, 0.3, 0.2
 STRONG, MODERATE, LOW, LEAST = 0.7, 0.4, 0.6, 0.01
@@ -64,6 +66,21 @@ def signals(candidates: DataFrame, rows: DataFrame, as_of: Column) -> DataFrame:
     return out.filter(F.col("gap_strength") >= LEAST)
 
 
+def current(submissions: DataFrame, as_of: Column) -> DataFrame:
+    """Gap signals of each user by the latest submission: its pattern, and the expected one if that was missed. A full match silences all of a user's signals."""
+    last = windows.latest(submissions, ["user_id"], 1)
+    seen = last.select("user_id", F.col("detected_pattern").alias("pattern_id"), F.col("detected_confidence").alias("confidence"), F.lit(False).alias("unmatched"))
+    missed = last.filter("gap_identified").select("user_id", F.col("expected_pattern").alias("pattern_id"), F.lit(None).cast("double").alias("confidence"), F.lit(True).alias("unmatched"))
+    found = signals(seen.unionByName(missed).withColumn("match_result", F.lit(None).cast("string")), submissions, as_of)
+    return found.join(last.filter("NOT gap_identified").select("user_id"), "user_id", "left_anti")
+
+
+def by_strength(found: DataFrame) -> DataFrame:
+    """Per user the signals from the strongest on, equal ones by pattern: user_id, patterns, strengths."""
+    ordered = F.array_sort(F.collect_list(F.struct((-F.col("gap_strength")).alias("s"), F.col("pattern_id").alias("p"))))
+    return found.groupBy("user_id").agg(ordered.alias("o")).select("user_id", F.transform("o", lambda x: x["p"]).alias("patterns"), F.transform("o", lambda x: -x["s"]).alias("strengths"))
+
+
 def summary(found: DataFrame) -> DataFrame:
     """Per user the patterns of each level, in order of the pattern."""
     names = [F.array_join(F.array_sort(F.collect_list(F.when(level(F.col("gap_strength")) == k, F.col("pattern_id")))), ",").alias(k) for k in ("strong_gaps", "moderate_gaps", "weak_gaps")]

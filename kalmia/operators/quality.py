@@ -26,20 +26,50 @@ def page(problems: DataFrame, number: int, size: int, **filters) -> DataFrame:
 
 
 def confusion(rows: DataFrame) -> DataFrame:
-    """rows (detector, label, predicted) to counts, precision and recall per detector and overall."""
-    tp, fn, fp, tn = (F.count_if(F.col("label") & F.col("predicted")), F.count_if(F.col("label") & ~F.col("predicted")), F.count_if(~F.col("label") & F.col("predicted")), F.count_if(~F.col("label") & ~F.col("predicted")))
-    counted = rows.rollup("detector").agg(F.grouping("detector").alias("all"), tp.alias("tp"), fn.alias("fn"), fp.alias("fp"), tn.alias("tn"))
-    ratio = lambda a, b: F.coalesce(F.round(F.try_divide(F.col(a), F.col(a) + F.col(b)), 6), F.lit(0.0))
+    """rows (detector, label, predicted, confidence if known) to counts, precision, recall and F1 per detector and overall;
+    with confidences also the mean and least one of the true positives (0 without any)."""
+    hit = F.col("label") & F.col("predicted")
+    tp, fn, fp, tn = (F.count_if(hit), F.count_if(F.col("label") & ~F.col("predicted")), F.count_if(~F.col("label") & F.col("predicted")), F.count_if(~F.col("label") & ~F.col("predicted")))
+    sure = F.when(hit, F.col("confidence")) if "confidence" in rows.columns else None
+    extra = [] if sure is None else [F.coalesce(F.round(F.avg(sure), 6), F.lit(0.0)).alias("mean_confidence"), F.coalesce(F.round(F.min(sure), 6), F.lit(0.0)).alias("least_confidence")]
+    counted = rows.rollup("detector").agg(F.grouping("detector").alias("all"), tp.alias("tp"), fn.alias("fn"), fp.alias("fp"), tn.alias("tn"), *extra)
+    ratio = lambda a, b: F.coalesce(F.round(F.try_divide(a, b), 6), F.lit(0.0))
     named = F.when(F.col("all") == 1, "overall").otherwise(F.col("detector"))
-    return counted.select(named.alias("detector"), "tp", "fn", "fp", "tn", ratio("tp", "fp").alias("precision"), ratio("tp", "fn").alias("recall"))
+    right, found, wanted = F.col("tp"), F.col("tp") + F.col("fp"), F.col("tp") + F.col("fn")
+    rest = [c for c in ("mean_confidence", "least_confidence") if extra]
+    return counted.select(named.alias("detector"), "tp", "fn", "fp", "tn", ratio(right, found).alias("precision"), ratio(right, wanted).alias("recall"), ratio(2 * right, found + wanted).alias("f1"), *rest)
 
 
 def overlap(rows: DataFrame) -> DataFrame:
-    """rows (case, detector) to how often two detectors share a case, and as a share of the first's cases."""
+    """rows (case, detector) to how often two detectors share a case, and as a share of the first's cases; a row for each pair, shared or not."""
     one = rows.distinct()
     n = one.groupBy("detector").agg(F.count("*").alias("n")).withColumnRenamed("detector", "d1")
-    pairs = one.select("case", F.col("detector").alias("d1")).join(one.select("case", F.col("detector").alias("d2")), "case").filter("d1 <> d2")
-    return pairs.groupBy("d1", "d2").agg(F.count("*").alias("both")).join(F.broadcast(n), "d1").select("d1", "d2", "both", F.round(F.col("both") / F.col("n"), 6).alias("share"))
+    everyone = n.agg(F.collect_set("d1").alias("all"))  # detectors: as many as there are patterns
+    grid = n.join(F.broadcast(everyone), F.lit(True)).select("d1", "n", F.explode("all").alias("d2")).filter("d1 <> d2")
+    shared = one.select("case", F.col("detector").alias("d1")).join(one.select("case", F.col("detector").alias("d2")), "case").filter("d1 <> d2").groupBy("d1", "d2").agg(F.count("*").alias("both"))
+    both = F.coalesce("both", F.lit(0).cast("bigint"))
+    return grid.join(shared, ["d1", "d2"], "left").select("d1", "d2", both.alias("both"), F.round(both / F.col("n"), 6).alias("share"))
+
+
+def serving_violations(profiles: DataFrame, found: DataFrame, attempts: DataFrame, users: DataFrame) -> DataFrame:
+    """check_, violations for profiles, gap signals, attempt numbers and rows of users that are gone."""
+    checks = {
+        "elo_floor": profiles.filter("elo_rating < 400"), "accuracy_range": profiles.filter(~F.col("accuracy").between(0, 1)), "duplicate_profile": profiles.groupBy("user_id", "topic").count().filter("count > 1"),
+        "gap_range": found.filter(~F.col("gap_strength").between(0, 1)), "gap_frequency": found.filter("frequency < 0"), "duplicate_gap": found.groupBy("user_id", "pattern_id").count().filter("count > 1"),
+        "attempt_number": attempts.filter("attempt_number < 1"), "cascade": profiles.join(users, "user_id", "left_anti"),
+    }
+    return reduce(DataFrame.unionByName, [rows.agg(F.lit(name).alias("check_"), F.count("*").alias("violations")) for name, rows in checks.items()])
+
+
+def cascade(rows: DataFrame, deleted: DataFrame, key: str) -> DataFrame:
+    """``rows`` without those whose ``key`` is deleted."""
+    return rows.join(deleted.select(key).distinct(), key, "left_anti")
+
+
+def set_null(rows: DataFrame, deleted: DataFrame, key: str) -> DataFrame:
+    """``rows`` with ``key`` null where it is deleted."""
+    gone = deleted.select(F.col(key), F.lit(True).alias("_gone")).distinct()
+    return rows.join(gone, key, "left").withColumn(key, F.when(F.col("_gone").isNull(), F.col(key))).select(*rows.columns)
 
 
 def violations(submissions: DataFrame, problems: DataFrame) -> DataFrame:

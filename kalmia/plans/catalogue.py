@@ -15,12 +15,12 @@ from pyspark.sql import functions as F
 from kalmia.functions import ratings as R
 from kalmia.functions import text as T
 from kalmia.functions.taxonomy import ORDER
-from kalmia.operators import gaps, matching, quality, recommend, windows
+from kalmia.operators import gaps, matching, quality, recommend, submissions, windows
 from kalmia.operators.detect import engine as detect
 from kalmia.operators.detect import weighted
 from kalmia.operators import ratings as folds
-from kalmia.sources import adapter, bank
-from kalmia.plans import samples
+from kalmia.sources import adapter, bank, serving
+from kalmia.plans import labelled, samples
 from kalmia.runtime import forget_at_exit, shared_dir, ship_package
 from kalmia.sources.adapter import Tables
 from kalmia.streaming import folds as streams
@@ -279,7 +279,7 @@ def verdict_status_counts(t: Tables) -> DataFrame:
 
 FOLD_SQL = """
 , ordered AS (SELECT {topic} AS topic, s.user_id, s.verdict, {difficulty} AS difficulty, s.detected_pattern, s.expected_pattern,
-    row_number() OVER (PARTITION BY s.user_id, {topic} ORDER BY s.submitted_at, s.id) AS rn FROM submissions s JOIN problems p ON p.id = s.problem_id),
+    row_number() OVER (PARTITION BY s.user_id, {topic} ORDER BY s.submitted_at, s.id) AS rn FROM submissions s {how} JOIN problems p ON p.id = s.problem_id),
 steps AS (SELECT *, CASE WHEN verdict = 'pass' THEN CASE WHEN detected_pattern IS NOT DISTINCT FROM expected_pattern THEN 1.0 ELSE 0.5 END ELSE 0.0 END::DOUBLE AS won,
     CASE difficulty WHEN 'Easy' THEN 900.0 WHEN 'Medium' THEN 1200.0 ELSE 1500.0 END::DOUBLE AS opp, CASE difficulty WHEN 'Easy' THEN 32.0 WHEN 'Medium' THEN 24.0 ELSE 16.0 END::DOUBLE AS k FROM ordered),
 fold(user_id, topic, rn, elo, attempts, passes, matched, failures) AS (
@@ -291,18 +291,20 @@ fold(user_id, topic, rn, elo, attempts, passes, matched, failures) AS (
 profiles AS (SELECT user_id, topic, arg_max(elo, rn) AS elo_rating, max(attempts) AS attempt_count, arg_max(passes, rn) AS pass_count, arg_max(matched, rn) AS pattern_match_count,
   arg_max(passes, rn) / max(attempts) AS accuracy, arg_max(failures, rn) AS recent_failures FROM fold GROUP BY 1, 2)"""
 LIVE_SQL = FOLD_SQL.format(
+    how="INNER",
     topic="s.topic", difficulty="p.difficulty", matched="verdict = 'pass' AND detected_pattern IS NOT DISTINCT FROM expected_pattern",
     failures="CASE WHEN verdict = 'fail' THEN failures + 1 ELSE greatest(0, failures - 1) END",
 )
 BACKFILL_SQL = FOLD_SQL.format(
+    how="LEFT",
     topic="coalesce(nullif(s.detected_pattern, ''), nullif(s.expected_pattern, ''), s.topic)", difficulty="coalesce(p.difficulty, 'Easy')", matched="false",
     failures="failures + CASE WHEN won < 1 THEN 1 ELSE greatest(0, failures - 1) END",
 )
 PROFILE_SQL = " SELECT user_id, topic, round(elo_rating, 6) AS elo_rating, attempt_count, pass_count, pattern_match_count, round(accuracy, 6) AS accuracy, recent_failures FROM profiles"
 
 
-def leveled(t: Tables) -> DataFrame:
-    return t.submissions.join(t.problems.select(F.col("id").alias("problem_id"), "difficulty"), "problem_id")
+def leveled(t: Tables, how: str = "inner") -> DataFrame:
+    return t.submissions.join(t.problems.select(F.col("id").alias("problem_id"), "difficulty"), "problem_id", how)
 
 
 def profiles(t: Tables) -> DataFrame:
@@ -321,7 +323,7 @@ def topic_profile_fold(t: Tables) -> DataFrame:
 
 @query(BACKFILL_SQL + PROFILE_SQL)
 def profile_backfill_fold(t: Tables) -> DataFrame:
-    return shown(folds.backfilled_profiles(leveled(t), places=None))
+    return shown(folds.backfilled_profiles(leveled(t, "left"), places=None))
 
 
 @query(LIVE_SQL + " SELECT user_id, coalesce(round(avg(elo_rating), 2), 800) AS overall_elo FROM profiles GROUP BY 1")
@@ -498,12 +500,7 @@ def gap_inconsistent(t: Tables) -> DataFrame:
 
 
 def gap_rows(t: Tables) -> DataFrame:
-    last = windows.latest(t.submissions, ["user_id"], 1)
-    a = last.select("user_id", F.col("detected_pattern").alias("pattern_id"), F.col("detected_confidence").alias("confidence"), F.lit(False).alias("unmatched"))
-    b = last.filter("gap_identified").select("user_id", F.col("expected_pattern").alias("pattern_id"), F.lit(None).cast("double").alias("confidence"), F.lit(True).alias("unmatched"))
-    results = last.select("user_id", F.when(F.col("gap_identified"), "PARTIAL_MATCH").otherwise("FULL_MATCH").alias("result"))
-    found = gaps.signals(a.unionByName(b).withColumn("match_result", F.lit(None).cast("string")), t.submissions, F.lit(AS_OF).cast("timestamp"))
-    return found.join(results.filter("result = 'FULL_MATCH'"), "user_id", "left_anti")  # a full match silences all of a user's signals
+    return gaps.current(t.submissions, F.lit(AS_OF).cast("timestamp"))
 
 
 @query(GAP_SQL + "SELECT user_id, pattern_id, frequency, gap_strength FROM z WHERE gap_strength >= 0.01")
@@ -518,6 +515,11 @@ def gap_summary(t: Tables) -> DataFrame:
     return gaps.summary(gap_rows(t))
 
 
+@query(GAP_SQL + "SELECT user_id, string_agg(pattern_id, ',' ORDER BY gap_strength DESC, pattern_id) AS patterns FROM z WHERE gap_strength >= 0.01 GROUP BY 1")
+def gaps_by_strength(t: Tables) -> DataFrame:
+    return gaps.by_strength(gap_rows(t)).select("user_id", F.array_join("patterns", ",").alias("patterns"))
+
+
 @query(""" SELECT user_id, arg_max(detected_pattern, (detected_confidence, -id)) AS primary_pattern, max(detected_confidence) AS confidence FROM submissions WHERE detected_confidence > 0 GROUP BY 1""")
 def primary_detection(t: Tables) -> DataFrame:
     return t.submissions.filter("detected_confidence > 0").groupBy("user_id").agg(F.max_by("detected_pattern", F.struct("detected_confidence", -F.col("id"))).alias("primary_pattern"), F.max("detected_confidence").alias("confidence"))
@@ -534,7 +536,8 @@ def confidence_bands(t: Tables) -> DataFrame:
 
 @query("""
 SELECT CASE WHEN grouping(source) = 1 THEN 'overall' ELSE source END AS detector, count(*) FILTER (q = 1 AND x = 1) AS tp, count(*) FILTER (q = 1 AND x = 0) AS fn, count(*) FILTER (q = 0 AND x = 1) AS fp, count(*) FILTER (q = 0 AND x = 0) AS tn,
-  coalesce(round(count(*) FILTER (q = 1 AND x = 1) / nullif(count(*) FILTER (x = 1), 0), 6), 0) AS precision, coalesce(round(count(*) FILTER (q = 1 AND x = 1) / nullif(count(*) FILTER (q = 1), 0), 6), 0) AS recall
+  coalesce(round(count(*) FILTER (q = 1 AND x = 1) / nullif(count(*) FILTER (x = 1), 0), 6), 0) AS precision, coalesce(round(count(*) FILTER (q = 1 AND x = 1) / nullif(count(*) FILTER (q = 1), 0), 6), 0) AS recall,
+  coalesce(round(2 * count(*) FILTER (q = 1 AND x = 1) / nullif(count(*) FILTER (x = 1) + count(*) FILTER (q = 1), 0), 6), 0) AS f1
 FROM (SELECT d.source, l.quality AS q, l.toxic AS x FROM labels l JOIN documents d USING (doc_id)) GROUP BY ROLLUP (source)""", plain=True)
 def confusion_metrics(t: Tables) -> DataFrame:
     rows = t.read("labels").join(t.read("documents").select("doc_id", "source"), "doc_id")
@@ -548,7 +551,8 @@ def confidence_histogram(t: Tables) -> DataFrame:
 
 @query("""
 , d AS (SELECT DISTINCT problem_id, detected_pattern AS p FROM submissions), c AS (SELECT p, count(*) AS n FROM d GROUP BY 1)
-SELECT a.p AS d1, b.p AS d2, count(*) AS both, round(count(*) / max(c.n), 6) AS share FROM d a JOIN d b ON a.problem_id = b.problem_id AND a.p <> b.p JOIN c ON c.p = a.p GROUP BY 1, 2""")
+SELECT a.p AS d1, b.p AS d2, coalesce(s.n, 0) AS both, round(coalesce(s.n, 0) / a.n, 6) AS share FROM c a JOIN c b ON a.p <> b.p
+LEFT JOIN (SELECT x.p AS p, y.p AS q, count(*) AS n FROM d x JOIN d y USING (problem_id) GROUP BY 1, 2) s ON s.p = a.p AND s.q = b.p""")
 def overlap_matrix(t: Tables) -> DataFrame:
     return quality.overlap(t.submissions.select(F.col("problem_id").alias("case"), F.col("detected_pattern").alias("detector")))
 
@@ -563,6 +567,29 @@ def constraint_checks(t: Tables) -> DataFrame:
     return quality.violations(t.submissions, t.problems)
 
 
+@query(LIVE_SQL + GAP_SQL + """
+SELECT 'elo_floor' AS check_, count(*) AS violations FROM profiles WHERE elo_rating < 400
+UNION ALL SELECT 'accuracy_range', count(*) FROM profiles WHERE NOT accuracy BETWEEN 0 AND 1
+UNION ALL SELECT 'duplicate_profile', count(*) FROM (SELECT 1 FROM profiles GROUP BY user_id, topic HAVING count(*) > 1)
+UNION ALL SELECT 'gap_range', count(*) FROM z WHERE gap_strength >= 0.01 AND NOT gap_strength BETWEEN 0 AND 1
+UNION ALL SELECT 'gap_frequency', count(*) FROM z WHERE gap_strength >= 0.01 AND frequency < 0
+UNION ALL SELECT 'duplicate_gap', count(*) FROM (SELECT 1 FROM z WHERE gap_strength >= 0.01 GROUP BY user_id, pattern_id HAVING count(*) > 1)
+UNION ALL SELECT 'attempt_number', 0 UNION ALL SELECT 'cascade', count(*) FROM profiles WHERE user_id NOT IN (SELECT user_id FROM submissions)""")
+def serving_checks(t: Tables) -> DataFrame:
+    return quality.serving_violations(profiles(t), gap_rows(t), windows.attempts(t.submissions), t.submissions.select("user_id").distinct())
+
+
+@query(LIVE_SQL + PROFILE_SQL)
+def persisted_profiles(t: Tables) -> DataFrame:
+    """Two batches of submissions through all serving tables; the profiles as readers see them."""
+    root = f"{shared_dir(t.spark)}/kalmia/serving-{uuid.uuid4().hex}"
+    forget_at_exit(t.spark, root)
+    late = F.col("submitted_at") >= F.lit("2024-01-16").cast("timestamp")
+    for batch, part in enumerate((t.submissions.filter(~late), t.submissions.filter(late))):
+        submissions.persist(part, t.problems, root, batch, F.lit(AS_OF).cast("timestamp"), places=None)
+    return shown(serving.published(t.spark, root, "topic_profiles", submissions.KEYS["topic_profiles"]))
+
+
 # ---- recommendations
 
 WEAK_SQL = LIVE_SQL + """
@@ -825,6 +852,38 @@ def detect_corpus(t: Tables) -> DataFrame:
     return detect.detections(corpus(t)).drop("place")
 
 
+LABEL_SQL = "SELECT p.p_partkey AS id, l.detector, l.confidence FROM part p JOIN (VALUES " + ", ".join(f"({i}, '{p}', {c}::DOUBLE)" for i, (p, c, _) in enumerate(labelled.ROWS)) + f") l(ix, detector, confidence) ON p.p_partkey % {len(labelled.ROWS)} = l.ix"
+
+
+def labelled_rows(t: Tables) -> DataFrame:
+    """id, detector, expected, code: each part's labelled code; no two texts are equal."""
+    cases = t.spark.createDataFrame([(i, *row) for i, row in enumerate(labelled.ROWS)], "ix bigint, detector string, expected double, code string")
+    rows = t.read("part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % len(labelled.ROWS)).cast("bigint").alias("ix"))
+    return rows.join(F.broadcast(cases), "ix").select("id", "detector", "expected", F.concat("code", F.lit("\n# "), F.col("id").cast("string")).alias("code"))
+
+
+def labelled_results(t: Tables) -> DataFrame:
+    done = detect.analyze_codes(labelled_rows(t))
+    mine = F.get(F.filter("detections", lambda d: d["pattern_id"] == F.col("detector")), 0)["confidence"]
+    return done.select("id", "detector", "expected", F.coalesce(F.round(mine, 4), F.lit(0.0)).alias("confidence"))
+
+
+@query(LABEL_SQL, plain=True)
+def detect_labels(t: Tables) -> DataFrame:
+    """What each detector finds in labelled code, one text for each part."""
+    return labelled_results(t).select("id", "detector", "confidence")
+
+
+@query(f"""
+WITH x AS ({LABEL_SQL}) SELECT CASE WHEN grouping(detector) = 1 THEN 'overall' ELSE detector END AS detector, count(*) FILTER (confidence > 0) AS tp, 0::BIGINT AS fn, 0::BIGINT AS fp, count(*) FILTER (confidence = 0) AS tn,
+  CASE WHEN count(*) FILTER (confidence > 0) > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS precision, CASE WHEN count(*) FILTER (confidence > 0) > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS recall,
+  CASE WHEN count(*) FILTER (confidence > 0) > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS f1, coalesce(round(avg(confidence) FILTER (confidence > 0), 6), 0.0) AS mean_confidence,
+  coalesce(round(min(confidence) FILTER (confidence > 0), 6), 0.0) AS least_confidence FROM x GROUP BY ROLLUP (detector)""", plain=True)
+def detect_label_quality(t: Tables) -> DataFrame:
+    rows = labelled_results(t)
+    return quality.confusion(rows.select("detector", (F.col("expected") > 0).alias("label"), (F.col("confidence") > 0).alias("predicted"), "confidence"))
+
+
 @query()
 def detect_errors(t: Tables) -> DataFrame:
     return detect.analyze_codes(corpus(t)).select("name", "error", F.size("detections").alias("n"))
@@ -958,11 +1017,12 @@ def stream_daily_streak(t: Tables) -> DataFrame:
     return out.withColumn("rn", F.row_number().over(last)).filter("rn = 1").select("user_id", "last_submission_date", "current_streak")
 
 
-@query("SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2", plain=True)
+@query("""SELECT * FROM (SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2)
+WHERE start + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 2 HOUR FROM events)""", plain=True)
 def stream_event_windows(t: Tables) -> DataFrame:
-    out = _drained(t, streams.event_windows(_events(t).withColumn("ts", F.col("ts").cast("timestamp"))), "complete")
-    newest = out.agg(F.max("batch").alias("batch"))
-    return out.join(F.broadcast(newest), "batch").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total")
+    """Each window once, when the watermark has passed it: the newest are still open."""
+    out = _drained(t, streams.event_windows(_events(t).withColumn("ts", F.col("ts").cast("timestamp")), once="event_id"), "append")
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total")
 
 
 @query()  # rounds after each step, as pattern_elo_replay; a test holds it against that

@@ -1,13 +1,14 @@
 import pytest
 from pyspark.sql import functions as F
 
+from kalmia.operators import quality, submissions, windows
 from kalmia.operators import ratings as folds
-from kalmia.operators import windows
 from kalmia.operators.detect import DETECTORS, analyze, analyze_codes, register_udtf
 from kalmia.operators.detect import weighted
 from kalmia.operators.detect.evidence import EVIDENCE
 from kalmia.operators.detect.rules import detector
-from kalmia.plans import catalogue, samples
+from kalmia.plans import catalogue, labelled, samples
+from kalmia.sources import serving
 from kalmia.sources.adapter import Tables
 from kalmia.streaming import folds as streams
 
@@ -124,3 +125,87 @@ def test_older_sanitizer_and_gap(spark):
     scores = F.create_map(F.lit("a"), F.lit(0.6), F.lit("b"), F.lit(0.6), F.lit("c"), F.lit(0.2))
     gap = lambda *e: tuple(spark.range(1).select(weighted.gap(F.array(*map(F.lit, e)).cast("array<string>"), scores).alias("g")).select("g.*").first())
     assert gap("b", "a") == (False, 0.6, "b", None) and gap("c", "z") == (True, 0.2, None, "c") and gap() == (True, 0.0, None, None)
+
+
+def test_labelled_code():
+    for pattern, expected, code in labelled.ROWS:
+        error, found = analyze(code)
+        got = {d["pattern_id"]: round(d["confidence"], 4) for d in found}
+        assert error is None and got.get(pattern, 0.0) == expected, (pattern, expected, got, code)
+
+
+def test_evidence_is_what_the_table_says():
+    found = {d["pattern_id"]: d for d in analyze(samples.POSITIVE["two_pointers_opposite"])[1]}
+    assert [(e["type"], e["weight"], e["location"], e["description"]) for e in found["two_pointers_opposite"]["evidence"]] == [
+        ("left_pointer_increment", 0.25, "4:4", "Left pointer 'i' increments toward center"), ("right_pointer_decrement", 0.25, "4:4", "Right pointer 'j' decrements toward center"),
+        ("convergence_loop", 0.4, "4:4", "While loop converging i < j"),
+    ]
+    lists = {d["pattern_id"]: d for d in analyze(samples.POSITIVE["fast_slow_pointers"])[1]}["fast_slow_pointers"]["evidence"]
+    assert [e["type"] for e in lists] == ["pointer_names", "floyd_traversal", "cycle_check"] and lists[0]["location"] is None
+
+
+def test_late_rows_wait_for_the_watermark(spark, tmp_path):
+    rows = catalogue.leveled(Tables(spark, "/root/testdata/sf0.001")).filter("user_id <= 3").withColumn("submitted_at", F.col("submitted_at").cast("timestamp"))
+    w = rows.orderBy(F.xxhash64("id")).collect()  # any order
+    last = max(r["submitted_at"] for r in w)
+    closing = [rows.columns, [{**r.asDict(), "user_id": 99, "id": -1, "submitted_at": last.replace(year=2025)} for r in w[:1]]]
+    parts = [w[: len(w) // 2], w[len(w) // 2 :], [tuple(closing[1][0][c] for c in closing[0])]]
+    for i, part in enumerate(parts):
+        spark.createDataFrame(part, rows.schema).coalesce(1).write.parquet(str(tmp_path / "in" / str(i)))
+    live = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    streams.drain(streams.topic_profiles(live, late="60 days"), "update", str(tmp_path / "out"), str(tmp_path / "state"))
+    got = {(r["user_id"], r["topic"]): r for r in spark.read.parquet(str(tmp_path / "out")).orderBy("batch").collect()}
+    want = folds.topic_profiles(rows, places=None).collect()
+    assert len(want) > 10 and set(got) == {(r["user_id"], r["topic"]) for r in want}
+    for r in want:
+        s = got[r["user_id"], r["topic"]]
+        assert abs(s["elo_rating"] - r["elo_rating"]) < 1e-9 and s["attempt_count"] == r["attempt_count"] and s["recent_failures"] == r["recent_failures"]
+
+
+def test_windows_drop_repeats_and_late_rows(spark, tmp_path):
+    batches = [[(1, "2024-01-01 10:00:00"), (1, "2024-01-01 10:00:00"), (2, "2024-01-01 23:00:00")], [(3, "2024-01-05 00:00:00")], [(4, "2024-01-01 12:00:00"), (5, "2024-01-09 00:00:00")]]
+    schema = "event_id long, event_type string, value double, ts timestamp"
+    for i, rows in enumerate(batches):
+        table = spark.createDataFrame([(e, "view", 1.0, t) for e, t in rows], "event_id long, event_type string, value double, t string")
+        table.select("event_id", "event_type", "value", F.col("t").cast("timestamp").alias("ts")).coalesce(1).write.parquet(str(tmp_path / "in" / str(i)))
+    live = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    streams.drain(streams.event_windows(live, once="event_id"), "append", str(tmp_path / "out"), str(tmp_path / "state"))
+    got = {str(r["start"])[:10]: r["n"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {"2024-01-01": 2, "2024-01-05": 1}  # the repeat counts once, row 4 came too late, the newest window is open
+
+
+def test_older_days_leave_streaks(spark, tmp_path):
+    for i, day in enumerate(("2024-01-01", "2024-01-02", "2023-12-01", "2024-01-03")):
+        spark.createDataFrame([(7, day)], "user_id long, d string").select("user_id", F.col("d").cast("timestamp").alias("submitted_at")).coalesce(1).write.parquet(str(tmp_path / "in" / str(i)))
+    live = spark.readStream.schema("user_id long, submitted_at timestamp").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    serving.serve(streams.daily_streaks(live), "update", str(tmp_path / "out"), "streaks", str(tmp_path / "state"))
+    assert [tuple(r) for r in serving.published(spark, str(tmp_path / "out"), "streaks", ["user_id"]).select("user_id", "current_streak").collect()] == [(7, 3)]
+
+
+def test_submissions_are_published_together(spark, tmp_path):
+    t, root, now = Tables(spark, "/root/testdata/sf0.001"), str(tmp_path / "serving"), F.lit(catalogue.AS_OF).cast("timestamp")
+    rows = t.submissions.filter("user_id <= 3")
+    first, second = rows.filter("submitted_at < '2024-01-16'"), rows.filter("submitted_at >= '2024-01-16'")
+    read = lambda name: serving.published(spark, root, name, submissions.KEYS[name])
+    assert read("submissions") is None
+    submissions.persist(first, t.problems, root, 0, now)
+    with pytest.raises(Exception, match="nothing"):  # fails after other tables are written
+        broken = second.withColumn("verdict", F.raise_error(F.lit("nothing")).cast("string"))
+        submissions.persist(broken, t.problems, root, 1, now)
+    assert read("submissions").count() == first.count()  # nothing of the failed batch shows
+    serving.publish({"recommendations": spark.createDataFrame([(1, 1, False, "2024-01-01"), (2, 1, False, "2024-01-02")], "id long, user_id long, acted_on boolean, created_at string")}, root, 2)
+    for _ in range(2):  # a batch may run again
+        submissions.persist(second, t.problems, root, 3, now)
+    assert read("submissions").count() == rows.count()
+    want = {(r["id"]): r["attempt_number"] for r in windows.attempts(rows).collect()}
+    assert {r["id"]: r["attempt_number"] for r in read("submissions").collect()} == want
+    profiles = {(r["user_id"], r["topic"]): r["elo_rating"] for r in folds.topic_profiles(catalogue.leveled(t).filter("user_id <= 3")).collect()}
+    assert {(r["user_id"], r["topic"]): r["elo_rating"] for r in read("topic_profiles").collect()} == profiles
+    assert {r["user_id"]: r["current_streak"] for r in read("streaks").collect()} == {r["user_id"]: r["current_streak"] for r in windows.daily_streak(rows).collect()}
+    assert {r["id"]: r["acted_on"] for r in read("recommendations").collect()} == {1: False, 2: True}
+
+
+def test_cascade_and_set_null(spark):
+    rows, gone = spark.createDataFrame([(1, 5), (2, None), (3, 6)], "id long, problem_id long"), spark.createDataFrame([(5,), (5,)], "problem_id long")
+    assert sorted(r["id"] for r in quality.cascade(rows, gone, "problem_id").collect()) == [2, 3]
+    assert sorted((r["id"], r["problem_id"]) for r in quality.set_null(rows, gone, "problem_id").filter("problem_id IS NOT NULL").collect()) == [(3, 6)]
