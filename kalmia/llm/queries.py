@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kalmia.llm import chat, exact_dedup, mixing, ngram_join, packing, pii, sharding, spotsigs, tokens, toxicity
+from kalmia.llm import chat, exact_dedup, filter_audit, harmonic, mixing, ngram_join, packing, pii, repair, sharding, spotsigs, tokens, toxicity
 from kalmia.llm._common import documents, prepare
 
 
@@ -51,8 +51,23 @@ def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.query(documents(spark, sf_dir))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.query(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.query(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op13_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return harmonic.pack(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_best_fit_packing, op2_token_counts, op3_toxicity, op4_poisson_mixing, op5_ngram_jaccard_join, op6_chat_formatting, op7_exact_dedup, op8_rendezvous_sharding, op9_pii, op10_spotsigs)
-}
-ORACLE_SQL: dict[str, str] = {"op4_poisson_mixing": mixing.SQL, "op7_exact_dedup": exact_dedup.SQL}
+    for f in (
+        op1_best_fit_packing, op2_token_counts, op3_toxicity, op4_poisson_mixing, op5_ngram_jaccard_join, op6_chat_formatting, op7_exact_dedup, op8_rendezvous_sharding, op9_pii, op10_spotsigs,
+        op11_conversation_repair, op12_filter_audit, op13_harmonic_packing,
+    )
+}
+ORACLE_SQL: dict[str, str] = {"op4_poisson_mixing": mixing.SQL, "op7_exact_dedup": exact_dedup.SQL, "op12_filter_audit": filter_audit.SQL}
