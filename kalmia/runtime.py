@@ -13,15 +13,18 @@ _shipped: set[str] = set()
 
 
 def is_local(spark: SparkSession) -> bool:
-    """Whether driver and executors are one process, and so share folders and modules."""
+    """Whether driver and executors are one process, and so share folders."""
     master = spark.sparkContext.master
     return master == "local" or master.startswith("local[")
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Makes this package importable in a cluster's Python workers, wherever the driver stands."""
+    """Makes this package importable in Python workers, wherever the driver stands.
+
+    Workers are processes of their own, on a local master too, and don't see the driver's ``sys.path``.
+    """
     app = spark.sparkContext.applicationId
-    if app in _shipped or is_local(spark):
+    if app in _shipped:
         return
     into = tempfile.mkdtemp(prefix="kalmia-package-")
     spark.sparkContext.addPyFile(shutil.make_archive(f"{into}/kalmia", "zip", str(Path(__file__).resolve().parent.parent), "kalmia"))
