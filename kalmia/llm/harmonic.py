@@ -44,7 +44,7 @@ SEPARATOR = 1
 #: Tokens of padding at most that a piece may cost in its class instead of being cut.
 SLACK = 1.0
 #: Chunks of text whose ids a worker remembers, and characters of the longest one.
-REMEMBERED, SHORT = 300_000, 48
+REMEMBERED, SHORT = 600_000, 48
 
 #: Between these, neither a pre-token, nor a merge, nor a normalization, nor a special string can cross.
 _SPACE = re.compile(r"[ \t\n\r]+")
