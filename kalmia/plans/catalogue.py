@@ -18,6 +18,7 @@ from kalmia.functions.taxonomy import ORDER
 from kalmia.operators import gaps, matching, quality, recommend, submissions, windows
 from kalmia.operators.detect import engine as detect
 from kalmia.operators.detect import weighted
+from kalmia.operators import interleaved
 from kalmia.operators import ratings as folds
 from kalmia.sources import adapter, bank, serving
 from kalmia.plans import labelled, samples
@@ -443,9 +444,60 @@ def elo_global_summary(t: Tables) -> DataFrame:
     return rows.select("user_id", "average_elo_change", F.array_join("strongest_improvement_patterns", ",").alias("strongest"), F.array_join("weakest_patterns", ",").alias("weakest"))
 
 
-@query()  # rounds after each step, where engines round halves differently: tests hold it against a plain loop
+#: Every submission's gap signals and ratings, as of itself: detections before it by windows over (user, pattern), ratings by recursion over a pattern's own submissions.
+REPLAY_SQL = """
+, sub AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY submitted_at, id) AS n,
+    CASE WHEN NOT gap_identified THEN 'FULL_MATCH' WHEN verdict = 'pass' THEN 'PARTIAL_MATCH' ELSE 'NO_MATCH' END AS m FROM submissions),
+seen AS (SELECT user_id, detected_pattern AS pattern_id, submitted_at AS at, detected_confidence AS c, row_number() OVER w AS k,
+    list(submitted_at) OVER five AS ats, list(detected_confidence) OVER five AS confs
+  FROM sub WINDOW w AS (PARTITION BY user_id, detected_pattern ORDER BY n), five AS (PARTITION BY user_id, detected_pattern ORDER BY n ROWS 4 PRECEDING)),
+pats AS (SELECT DISTINCT user_id, detected_pattern AS pattern_id FROM sub UNION SELECT user_id, expected_pattern FROM sub WHERE gap_identified),
+grid AS (SELECT s.user_id, s.n, s.id, s.submitted_at, s.m, p.pattern_id, s.detected_pattern = p.pattern_id AS hit, s.detected_confidence AS c, s.gap_identified AND s.expected_pattern = p.pattern_id AND NOT (s.detected_pattern = p.pattern_id AND s.detected_confidence > 0) AS missing,
+    s.gap_identified AND s.expected_pattern = p.pattern_id AS unmatched,
+    count(*) FILTER (s.detected_pattern = p.pattern_id) OVER w AS freq, sum(CASE WHEN s.detected_pattern = p.pattern_id THEN s.detected_confidence END) OVER w AS total,
+    sum(CASE WHEN s.detected_pattern = p.pattern_id THEN s.detected_confidence * s.detected_confidence END) OVER w AS squares
+  FROM sub s JOIN pats p USING (user_id) WINDOW w AS (PARTITION BY s.user_id, p.pattern_id ORDER BY s.n)),
+asof_ AS (SELECT g.*, freq >= 2 AND n >= 2 AND sqrt(greatest(0, squares / freq - (total / freq) * (total / freq))) > 0.2 + 1e-9 AS shaky,
+    coalesce(list_min(l.confs) >= 0.6, false) AS sure,
+    least(1, coalesce(list_sum(list_transform(range(1, len(l.ats) + 1), lambda i: greatest(0, 1 - date_diff('microsecond', l.ats[i], g.submitted_at) / 3.6e9 / 720) * i / len(l.ats))) / len(l.ats), 0)) AS recency
+  FROM grid g LEFT JOIN seen l ON l.user_id = g.user_id AND l.pattern_id = g.pattern_id AND l.k = g.freq),
+weak AS (SELECT *, CASE WHEN hit AND c < 0.6 THEN (0.6 - c) / 0.6 WHEN shaky THEN 0.3 ELSE 0 END AS w FROM asof_),
+raw AS (SELECT *, CASE WHEN m <> 'FULL_MATCH' AND NOT sure AND (missing OR (hit AND c < 0.6) OR shaky)
+    THEN floor(least(1, greatest(0, least(1, freq / n) * 0.5 + recency * 0.3 + CASE WHEN w > 0 THEN w WHEN missing THEN 0.5 ELSE 0 END * 0.2)) * 10000 + 0.500001) / 10000 END AS s FROM weak),
+cands AS (SELECT *, CASE WHEN s >= 0.01 THEN s ELSE 0 END AS gap, CASE WHEN hit THEN c ELSE 0 END AS conf, CASE m WHEN 'FULL_MATCH' THEN 1.0 WHEN 'PARTIAL_MATCH' THEN 0.5 ELSE 0.0 END::DOUBLE AS base,
+    row_number() OVER w AS step, count(*) FILTER (m = 'FULL_MATCH') OVER five AS fulls, count(*) FILTER (m = 'NO_MATCH') OVER five AS nones
+  FROM raw WHERE hit OR unmatched OR s >= 0.01 WINDOW w AS (PARTITION BY user_id, pattern_id ORDER BY n), five AS (PARTITION BY user_id, pattern_id ORDER BY n ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)),
+scored AS (SELECT *, CASE WHEN gap > 0.6 THEN greatest(0, base - 0.3) WHEN gap > 0.3 THEN greatest(0, base - 0.15) ELSE base END AS low, CASE WHEN conf >= 0.8 THEN 1400.0 ELSE 1200.0 END::DOUBLE AS opp,
+    CASE WHEN m = 'FULL_MATCH' AND fulls >= 3 THEN greatest(1 - (fulls - 2) * 0.1, 0.5) WHEN m = 'NO_MATCH' AND nones >= 3 THEN greatest(1 - (nones - 2) * 0.15, 0.3) ELSE 1 END AS drift,
+    CASE WHEN gap > 0.5 THEN 48 ELSE 32 END AS k FROM cands)"""
+RATED_SQL = REPLAY_SQL + """
+, ready AS (SELECT user_id, pattern_id, step, (CASE WHEN conf > 0 AND base < 0.5 THEN greatest(low, 0.2) ELSE low END) * {drift} AS score, {k} AS k, opp FROM scored),
+fold AS (SELECT user_id, pattern_id, 0::BIGINT AS step, 1200.0::DOUBLE AS elo FROM (SELECT DISTINCT user_id, pattern_id FROM ready)
+  UNION ALL SELECT f.user_id, f.pattern_id, r.step, greatest(400, f.elo + r.k * (r.score - 1 / (1 + pow(10.0, (r.opp - f.elo) / 400)))) FROM fold f JOIN ready r ON r.user_id = f.user_id AND r.pattern_id = f.pattern_id AND r.step = f.step + 1)
+SELECT user_id, pattern_id, round(elo, 6) AS elo, step AS updates FROM fold QUALIFY row_number() OVER (PARTITION BY user_id, pattern_id ORDER BY step DESC) = 1"""
+
+
+def replayed(t: Tables, histories: bool = False) -> DataFrame:
+    return interleaved.states(interleaved.replay(interleaved.analysed(t.submissions), places=None, histories=histories))
+
+
+@query(RATED_SQL.format(drift="1", k="k"))
 def pattern_elo_replay(t: Tables) -> DataFrame:
-    return folds.pattern_replay(rated(t))
+    return interleaved.pattern_elos(replayed(t)).withColumn("elo", r6("elo"))
+
+
+@query(RATED_SQL.format(drift="drift", k="CASE WHEN step > 3 THEN k - 8 ELSE k END"))
+def pattern_elo_histories(t: Tables) -> DataFrame:
+    """The same with what earlier results take off scores and K factors."""
+    return interleaved.pattern_elos(replayed(t, histories=True)).withColumn("elo", r6("elo"))
+
+
+@query(REPLAY_SQL + """
+SELECT user_id, pattern_id, s AS gap_strength, freq AS frequency, submitted_at AS last_seen FROM raw WHERE s >= 0.01
+QUALIFY row_number() OVER (PARTITION BY user_id, pattern_id ORDER BY n DESC) = 1""")
+def gap_signals_replay(t: Tables) -> DataFrame:
+    """Each pattern's latest signal after all submissions, each signal as of its submission."""
+    return interleaved.gap_signals(replayed(t)).withColumn("last_seen", F.col("last_seen").cast("timestamp_ntz"))
 
 
 def rated(t: Tables) -> DataFrame:
