@@ -25,6 +25,7 @@ from kalmia.plans import labelled, samples
 from kalmia.runtime import forget_at_exit, shared_dir, ship_package
 from kalmia.sources.adapter import Tables
 from kalmia.streaming import folds as streams
+from kalmia.streaming import stateful
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -500,11 +501,6 @@ def gap_signals_replay(t: Tables) -> DataFrame:
     return interleaved.gap_signals(replayed(t)).withColumn("last_seen", F.col("last_seen").cast("timestamp_ntz"))
 
 
-def rated(t: Tables) -> DataFrame:
-    result = F.when(~F.col("gap_identified"), "FULL_MATCH").when(F.col("verdict") == "pass", "PARTIAL_MATCH").otherwise("NO_MATCH")
-    return t.submissions.select("user_id", "id", "submitted_at", F.col("detected_pattern").alias("pattern_id"), result.alias("match_result"), F.lit(0.0).alias("gap_strength"), F.col("detected_confidence").alias("confidence"))
-
-
 # ---- matching and gaps
 
 MATCH_SQL = """
@@ -1051,20 +1047,20 @@ def _drained(t: Tables, out: DataFrame, mode: str) -> DataFrame:
     ship_package(t.spark)
     where = f"{shared_dir(t.spark)}/kalmia/stream-{uuid.uuid4().hex}"
     forget_at_exit(t.spark, where)
-    streams.drain(out, mode, f"{where}/out", f"{where}/checkpoint")
+    stateful.drain(out, mode, f"{where}/out", f"{where}/checkpoint")
     return t.spark.read.parquet(f"{where}/out")
 
 
 @query(LIVE_SQL + " SELECT user_id, topic, round(elo_rating, 6) AS elo_rating, attempt_count, pass_count, recent_failures FROM profiles")
 def stream_topic_elo(t: Tables) -> DataFrame:
-    out = _drained(t, streams.topic_profiles(leveled(_Live(t.spark, t.sf_dir))), "update")
+    out = _drained(t, stateful.topic_profiles(leveled(_Live(t.spark, t.sf_dir))), "update")
     last = Window.partitionBy("user_id", "topic").orderBy(F.desc("batch"))
     return out.withColumn("rn", F.row_number().over(last)).filter("rn = 1").select("user_id", "topic", r6("elo_rating").alias("elo_rating"), "attempt_count", "pass_count", "recent_failures")
 
 
 @query(ORACLE_SQL["daily_streak"].removeprefix(adapter.SQL))
 def stream_daily_streak(t: Tables) -> DataFrame:
-    out = _drained(t, streams.daily_streaks(_Live(t.spark, t.sf_dir).submissions), "update")
+    out = _drained(t, stateful.daily_streaks(_Live(t.spark, t.sf_dir).submissions), "update")
     last = Window.partitionBy("user_id").orderBy(F.desc("batch"))
     return out.withColumn("rn", F.row_number().over(last)).filter("rn = 1").select("user_id", "last_submission_date", "current_streak")
 
@@ -1077,8 +1073,8 @@ def stream_event_windows(t: Tables) -> DataFrame:
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total")
 
 
-@query()  # rounds after each step, as pattern_elo_replay; a test holds it against that
+@query(RATED_SQL.format(drift="1", k="k"))
 def stream_pattern_elo(t: Tables) -> DataFrame:
-    out = _drained(t, streams.pattern_ratings(rated(_Live(t.spark, t.sf_dir))), "update")
+    out = _drained(t, stateful.pattern_ratings(_Live(t.spark, t.sf_dir).submissions, places=None), "update")
     last = Window.partitionBy("user_id", "pattern_id").orderBy(F.desc("batch"))
-    return out.withColumn("rn", F.row_number().over(last)).filter("rn = 1").select("user_id", "pattern_id", "elo", "updates")
+    return out.withColumn("rn", F.row_number().over(last)).filter("rn = 1").select("user_id", "pattern_id", r6("elo").alias("elo"), "updates")

@@ -97,7 +97,8 @@ def test_batch_equals_stream(spark, tmp_path):
 
 
 def test_pattern_ratings_batch_equals_stream(spark, tmp_path):
-    rows = catalogue.rated(Tables(spark, "/root/testdata/sf0.001")).filter("user_id <= 4")
+    result = F.when(~F.col("gap_identified"), "FULL_MATCH").when(F.col("verdict") == "pass", "PARTIAL_MATCH").otherwise("NO_MATCH")
+    rows = Tables(spark, "/root/testdata/sf0.001").submissions.filter("user_id <= 4").select("user_id", "id", "submitted_at", F.col("detected_pattern").alias("pattern_id"), result.alias("match_result"), F.lit(0.0).alias("gap_strength"), F.col("detected_confidence").alias("confidence"))
     live = batches_of(spark, rows, tmp_path / "in", 2)
     streams.drain(streams.pattern_ratings(live), "update", str(tmp_path / "out"), str(tmp_path / "state"))
     last = {(r["user_id"], r["pattern_id"]): (r["elo"], r["updates"]) for r in spark.read.parquet(str(tmp_path / "out")).orderBy("batch").collect()}
