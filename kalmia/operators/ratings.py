@@ -19,8 +19,11 @@ def _history(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.array_sort(F.collect_list(step)).alias("steps"))
 
 
-def _fold(rows: DataFrame, keys: Sequence[str], failures: Callable[[Column, Column, Column], Column], matches: bool, places: int | None) -> DataFrame:
-    start = F.struct(*[F.lit(v).alias(n) for n, v in (("elo", R.START), ("attempts", 0), ("passes", 0), ("matched", 0))], F.lit(0).cast("bigint").alias("failures"))
+def _fold(rows: DataFrame, keys: Sequence[str], failures: Callable[[Column, Column, Column], Column], matches: bool, places: int | None, start_at: DataFrame | None = None) -> DataFrame:
+    """``start_at``: profiles to go on from, as this returns them."""
+    fresh = {"elo": F.lit(R.START), **{n: F.lit(0) for n in ("attempts", "passes", "matched")}, "failures": F.lit(0).cast("bigint")}
+    known = dict(zip(fresh, ("elo_rating", "attempt_count", "pass_count", "pattern_match_count", "recent_failures"), strict=True))
+    start = F.struct(*[(v if start_at is None else F.coalesce(F.col(f"_from.{n}"), v)).alias(n) for n, v in fresh.items()])
 
     def step(s: Column, x: Column) -> Column:
         won = R.outcome(x["verdict"], x["detected_pattern"], x["expected_pattern"])
@@ -31,18 +34,21 @@ def _fold(rows: DataFrame, keys: Sequence[str], failures: Callable[[Column, Colu
             (s["matched"] + hit.cast("int")).alias("matched"), failures(s["failures"], x["verdict"], won).cast("bigint").alias("failures"),
         )
 
-    folded = _history(rows, keys).select(*keys, F.aggregate("steps", start, step).alias("s"), F.element_at("steps", -1)["submitted_at"].alias("last_attempt_at"))
+    history = _history(rows, keys)
+    if start_at is not None:
+        history = history.join(start_at.select(*keys, F.struct(*[F.col(c).alias(n) for n, c in known.items()]).alias("_from")), list(keys), "left")
+    folded = history.select(*keys, F.aggregate("steps", start, step).alias("s"), F.element_at("steps", -1)["submitted_at"].alias("last_attempt_at"))
     return folded.select(
         *keys, F.col("s.elo").alias("elo_rating"), F.col("s.attempts").alias("attempt_count"), F.col("s.passes").alias("pass_count"),
         F.col("s.matched").alias("pattern_match_count"), (F.col("s.passes") / F.col("s.attempts")).alias("accuracy"), F.col("s.failures").alias("recent_failures"), "last_attempt_at",
     )
 
 
-def topic_profiles(rows: DataFrame, places: int | None = 2) -> DataFrame:
+def topic_profiles(rows: DataFrame, places: int | None = 2, start_at: DataFrame | None = None) -> DataFrame:
     """Profiles per (user_id, topic) from submissions with a difficulty. A fail raises recent_failures,
-    anything else lowers it by one, to no less than 0."""
+    anything else lowers it by one, to no less than 0. ``start_at``: what earlier submissions left of these profiles."""
     fail = lambda n, verdict, _: F.when(verdict == "fail", n + 1).otherwise(F.greatest(F.lit(0).cast("bigint"), n - 1))
-    return _fold(rows.filter("difficulty IS NOT NULL"), ["user_id", "topic"], fail, True, places)
+    return _fold(rows.filter("difficulty IS NOT NULL"), ["user_id", "topic"], fail, True, places, start_at)
 
 
 def backfilled_profiles(rows: DataFrame, places: int | None = 2) -> DataFrame:

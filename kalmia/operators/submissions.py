@@ -1,44 +1,95 @@
-"""Submissions into all tables that depend on them, published together."""
+"""Submissions into all tables that depend on them, published together.
+
+Folds go on from what the tables hold: a user's interleaved state, topic profiles, attempts by problem and
+streak. Only users with a row that isn't newer than their newest so far are folded anew, from all their rows.
+So a batch reads its users' small states and no histories but those, and any cut of the submissions into
+batches leaves the same tables; only recommendations depend on it, as a batch makes one for each user, after
+the newest row.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kalmia.operators import gaps, ratings, windows
+from kalmia.operators import interleaved, ratings, recommend, windows
+from kalmia.runtime import written
 from kalmia.sources import serving
 
-#: The tables and their keys.
-KEYS = {
-    "submissions": ["id"], "topic_profiles": ["user_id", "topic"], "gap_signals": ["user_id", "pattern_id"],
-    "user_pattern_elo": ["user_id", "pattern_id"], "streaks": ["user_id"], "recommendations": ["id"],
-}
+KEYS = serving.KEYS
+
+
+def once(rows: DataFrame) -> DataFrame:
+    """One row of each id: the one with the least hash, so that a batch that runs again takes the same."""
+    own = [F.col(c) for c in rows.columns if c != "id"]
+    return rows.groupBy("id").agg(F.min(F.struct(F.xxhash64(*own).alias("h"), F.struct(*own).alias("row"))).alias("x")).select("id", "x.row.*").select(*rows.columns)
+
+
+def _rejoined(new: DataFrame, old: DataFrame | None) -> DataFrame:
+    """Streaks of users' new days, joined to the streak so far where they go on from it."""
+    fresh = windows.daily_streak(new if old is None else new.select("user_id", "submitted_at").unionByName(old.select("user_id", F.col("last_submission_date").cast("timestamp").alias("submitted_at"))))
+    if old is None:
+        return fresh
+    before = old.select("user_id", F.col("last_submission_date").alias("_last"), F.col("current_streak").alias("_run"))
+    goes_on = F.date_sub("last_submission_date", F.col("current_streak").cast("int") - 1) == F.col("_last")
+    run = F.col("current_streak") + F.when(goes_on, F.col("_run") - 1).otherwise(0)
+    return fresh.join(before, "user_id", "left").select("user_id", "last_submission_date", F.coalesce(run, "current_streak").alias("current_streak"))
+
+
+def _advice(users: DataFrame, profiles: DataFrame, attempts: DataFrame, problems: DataFrame) -> DataFrame:
+    """user_id, problem_id, topic, difficulty, reason: what to practise next."""
+    bank = problems.select("id", "difficulty", "topics", "acceptance_rate", "primary_pattern")
+    weakest = recommend.weakest_topics(profiles, bank.select(F.col("primary_pattern").alias("topic")).distinct(), 5)
+    solved = attempts.filter("passed").select("user_id", "problem_id", F.lit("pass").alias("verdict"))
+    found = recommend.standalone(users, weakest, recommend.topic_problems(bank, weakest), bank, solved)
+    return found.withColumn("reason", F.concat(F.lit("Next in "), F.translate("topic", "_", " "), F.lit(": an unsolved problem at level "), F.col("difficulty"), F.lit(".")))
 
 
-def persist(new: DataFrame, problems: DataFrame, root: str, batch: int, as_of: Column, places: int | None = 2) -> None:
-    """One batch of analysed submissions: themselves with attempt numbers, and their users' profiles, gaps, pattern ratings, streaks; last recommendations become acted on.
+def persist(new: DataFrame, problems: DataFrame, root: str, batch: int, places: int | None = 2) -> None:
+    """One batch of analysed submissions: themselves with attempt numbers, and their users' states, profiles, gaps, pattern ratings, attempts, streaks and next recommendations; last recommendations become acted on.
 
     new: id, user_id, problem_id, verdict, detected_pattern, detected_confidence, expected_pattern, gap_identified, topic,
-    submitted_at. Ids that are there already are left out. Only touched users' rows are read again and written. If
-    anything fails nothing is published; a batch may run again.
+    submitted_at, and what else ``interleaved.analysed`` takes. Ids that are there already are left out. If anything
+    fails nothing is published; a batch may run again.
     """
     spark = new.sparkSession
-    old = serving.published(spark, root, "submissions", KEYS["submissions"], before=batch)
-    rows = new.dropDuplicates(["id"])
-    if old is not None:
-        rows = rows.join(old.select("id"), "id", "left_anti")
-    users = rows.select("user_id").distinct()
-    history = rows if old is None else rows.unionByName(old.select(*rows.columns).join(users, "user_id", "left_semi"))
-    numbered = windows.attempts(history).join(rows.select("id"), "id", "left_semi")
-    leveled = history.join(problems.select(F.col("id").alias("problem_id"), "difficulty"), "problem_id")
-    outcome = F.when(~F.col("gap_identified"), "FULL_MATCH").when(F.col("verdict") == "pass", "PARTIAL_MATCH").otherwise("NO_MATCH")
-    rated = history.select("user_id", "id", "submitted_at", F.col("detected_pattern").alias("pattern_id"), outcome.alias("match_result"), F.lit(0.0).alias("gap_strength"), F.col("detected_confidence").alias("confidence"))
-    tables = {
-        "submissions": numbered, "topic_profiles": ratings.topic_profiles(leveled, places), "gap_signals": gaps.current(history, as_of),
-        "user_pattern_elo": ratings.pattern_replay(rated), "streaks": windows.daily_streak(history),
-    }
-    given = serving.published(spark, root, "recommendations", KEYS["recommendations"], before=batch)
+    came = written(once(new))
+    users = came.select("user_id").distinct()
+    read = lambda name: serving.published(spark, root, name, before=batch, only=users)
+    stored = read("submissions")
+    if stored is not None:
+        low, high = came.agg(F.min("id"), F.max("id")).first()
+        came = written(came.join(stored.filter(F.col("id").between(low, high)).select("id"), "id", "left_anti"))
+    states = read("states")
+    if states is not None:
+        at, newest = F.struct(F.unix_micros(F.col("submitted_at").cast("timestamp")), "id"), F.struct("state.last_at", "state.last_id")
+        first = came.groupBy("user_id").agg(F.min(at).alias("first"))
+        late = written(first.join(states.select("user_id", newest.alias("newest")), "user_id").filter(F.col("first") <= F.col("newest")).select("user_id"))
+        known = lambda name: read(name).join(late, "user_id", "left_anti")
+        states, profiles, attempts, streaks = known("states"), known("topic_profiles"), known("attempts"), known("streaks")
+        again = stored.select(*came.columns).join(late, "user_id", "left_semi")
+        came = written(came.unionByName(again))
+    else:
+        profiles = attempts = streaks = None
+    after = written(interleaved.states(interleaved.replay(interleaved.analysed(came), states, places)).join(users, "user_id", "left_semi"))
+    numbered = windows.attempts(came)
+    if attempts is not None:
+        numbered = numbered.join(attempts.select("user_id", "problem_id", F.col("attempts").alias("_before")), ["user_id", "problem_id"], "left")
+        numbered = numbered.withColumn("attempt_number", F.when(F.col("problem_id").isNull(), 1).otherwise(F.col("attempt_number") + F.coalesce("_before", F.lit(0)))).drop("_before")
+    counted = came.filter("problem_id IS NOT NULL").groupBy("user_id", "problem_id").agg(F.count("*").alias("attempts"), F.bool_or(F.col("verdict") == "pass").alias("passed"))
+    tried = counted if attempts is None else counted.unionByName(attempts).groupBy("user_id", "problem_id").agg(F.sum("attempts").alias("attempts"), F.bool_or("passed").alias("passed"))
+    leveled = came.join(problems.select(F.col("id").alias("problem_id"), "difficulty"), "problem_id")
+    folded = ratings.topic_profiles(leveled, places, profiles)
+    all_profiles = folded if profiles is None else folded.unionByName(profiles.join(folded, ["user_id", "topic"], "left_anti"))
+    tried, all_profiles = written(tried), written(all_profiles)
+    newest = windows.latest(came, ["user_id"], 1).select("user_id", "id", F.col("submitted_at").alias("created_at"))
+    advice = _advice(newest.select("user_id"), all_profiles, tried, problems)
+    made = newest.join(advice, "user_id").select("id", "user_id", "problem_id", "topic", "difficulty", "reason", "created_at", F.lit(False).alias("acted_on"))
+    given = read("recommendations")
     if given is not None:
-        last = windows.latest(given.join(users, "user_id", "left_semi"), ["user_id"], 1, at="created_at").drop("rn")
-        tables["recommendations"] = last.withColumn("acted_on", F.lit(True))
-    serving.publish(tables, root, batch)
+        last = windows.latest(given.join(newest.select("user_id"), "user_id", "left_semi"), ["user_id"], 1, at="created_at").drop("rn").withColumn("acted_on", F.lit(True))
+        made = made.unionByName(last.join(made.select("id"), "id", "left_anti"), allowMissingColumns=True)
+    serving.publish({
+        "submissions": numbered.select(*came.columns, F.col("attempt_number").cast("long").alias("attempt_number")), "topic_profiles": all_profiles, "gap_signals": interleaved.gap_signals(after), "user_pattern_elo": interleaved.pattern_elos(after),
+        "streaks": _rejoined(came, streaks), "attempts": tried, "states": after, "recommendations": made,
+    }, root, batch)

@@ -6,6 +6,7 @@ joined strings. Queries without SQL say why.
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Callable
 
@@ -627,15 +628,51 @@ def serving_checks(t: Tables) -> DataFrame:
     return quality.serving_violations(profiles(t), gap_rows(t), windows.attempts(t.submissions), t.submissions.select("user_id").distinct())
 
 
+#: Folders of serving tables by application and input: the queries below read the same ones.
+_SERVED: dict[tuple[str, str], str] = {}
+
+
+def _persisted(t: Tables) -> str:
+    """Two batches of submissions through all serving tables: their folder."""
+    key = t.spark.sparkContext.applicationId, t.sf_dir
+    if key not in _SERVED:
+        root = f"{shared_dir(t.spark)}/kalmia/serving-{uuid.uuid4().hex}"
+        forget_at_exit(t.spark, root)
+        late = F.col("submitted_at") >= F.lit("2024-01-16").cast("timestamp")
+        for batch, part in enumerate((t.submissions.filter(~late), t.submissions.filter(late))):
+            submissions.persist(part, t.problems, root, batch, places=None)
+        _SERVED[key] = root
+    return _SERVED[key]
+
+
 @query(LIVE_SQL + PROFILE_SQL)
 def persisted_profiles(t: Tables) -> DataFrame:
     """Two batches of submissions through all serving tables; the profiles as readers see them."""
-    root = f"{shared_dir(t.spark)}/kalmia/serving-{uuid.uuid4().hex}"
-    forget_at_exit(t.spark, root)
-    late = F.col("submitted_at") >= F.lit("2024-01-16").cast("timestamp")
-    for batch, part in enumerate((t.submissions.filter(~late), t.submissions.filter(late))):
-        submissions.persist(part, t.problems, root, batch, F.lit(AS_OF).cast("timestamp"), places=None)
-    return shown(serving.published(t.spark, root, "topic_profiles", submissions.KEYS["topic_profiles"]))
+    return shown(serving.published(t.spark, _persisted(t), "topic_profiles", before=2))
+
+
+@query(RATED_SQL.format(drift="1", k="k"))
+def persisted_elos(t: Tables) -> DataFrame:
+    """The pattern ratings that the same batches publish."""
+    return serving.published(t.spark, _persisted(t), "user_pattern_elo", before=2).select("user_id", "pattern_id", r6("elo").alias("elo"), "updates")
+
+
+@query(REPLAY_SQL + """, gone AS (SELECT user_id FROM submissions WHERE user_id % 3 = 0),
+kept AS (SELECT * FROM submissions WHERE user_id NOT IN (SELECT user_id FROM gone))
+SELECT 'submissions' AS name, count(*) AS n, count(DISTINCT user_id) AS users FROM kept
+UNION ALL SELECT 'topic_profiles', count(*), count(DISTINCT user_id) FROM (SELECT DISTINCT user_id, topic FROM kept)
+UNION ALL SELECT 'gap_signals', count(*), count(DISTINCT user_id) FROM (SELECT DISTINCT user_id, pattern_id FROM raw WHERE s >= 0.01 AND user_id NOT IN (SELECT user_id FROM gone))
+UNION ALL SELECT 'user_pattern_elo', count(*), count(DISTINCT user_id) FROM (SELECT DISTINCT user_id, pattern_id FROM scored WHERE user_id NOT IN (SELECT user_id FROM gone))
+UNION ALL SELECT 'streaks', count(DISTINCT user_id), count(DISTINCT user_id) FROM kept
+UNION ALL SELECT 'attempts', count(*), count(DISTINCT user_id) FROM (SELECT DISTINCT user_id, problem_id FROM kept)
+UNION ALL SELECT 'states', count(DISTINCT user_id), count(DISTINCT user_id) FROM kept
+UNION ALL SELECT 'recommendations', count(*), count(DISTINCT user_id) FROM (SELECT user_id FROM kept GROUP BY user_id, submitted_at < TIMESTAMP '2024-01-16')""")
+def deleted_users(t: Tables) -> DataFrame:
+    """Rows of each serving table once a third batch has deleted every third user."""
+    root = _persisted(t)
+    serving.delete_owners(t.spark, t.users.filter("user_id % 3 = 0"), root, 2)
+    counts = [serving.published(t.spark, root, n).agg(F.lit(n).alias("name"), F.count("*").alias("n"), F.count_distinct("user_id").alias("users")) for n in submissions.KEYS]
+    return functools.reduce(DataFrame.unionByName, counts)
 
 
 # ---- recommendations

@@ -5,9 +5,10 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -54,3 +55,11 @@ def forget(spark: SparkSession, path: str) -> None:
 
 def forget_at_exit(spark: SparkSession, path: str) -> None:
     atexit.register(forget, spark, path)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df``, written once to the shared folder and read from there; it goes when the driver ends."""
+    path = f"{shared_dir(df.sparkSession)}/kalmia/{uuid.uuid4().hex}"
+    forget_at_exit(df.sparkSession, path)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

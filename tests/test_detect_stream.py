@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from kalmia.operators import quality, submissions, windows
+from kalmia.operators import interleaved, quality, submissions, windows
 from kalmia.operators import ratings as folds
 from kalmia.operators.detect import DETECTORS, analyze, analyze_codes, register_udtf
 from kalmia.operators.detect import weighted
@@ -184,26 +184,55 @@ def test_older_days_leave_streaks(spark, tmp_path):
 
 
 def test_submissions_are_published_together(spark, tmp_path):
-    t, root, now = Tables(spark, "/root/testdata/sf0.001"), str(tmp_path / "serving"), F.lit(catalogue.AS_OF).cast("timestamp")
+    t, root = Tables(spark, "/root/testdata/sf0.001"), str(tmp_path / "serving")
     rows = t.submissions.filter("user_id <= 3")
     first, second = rows.filter("submitted_at < '2024-01-16'"), rows.filter("submitted_at >= '2024-01-16'")
     read = lambda name: serving.published(spark, root, name, submissions.KEYS[name])
     assert read("submissions") is None
-    submissions.persist(first, t.problems, root, 0, now)
+    submissions.persist(first, t.problems, root, 0)
     with pytest.raises(Exception, match="nothing"):  # fails after other tables are written
         broken = second.withColumn("verdict", F.raise_error(F.lit("nothing")).cast("string"))
-        submissions.persist(broken, t.problems, root, 1, now)
+        submissions.persist(broken, t.problems, root, 1)
     assert read("submissions").count() == first.count()  # nothing of the failed batch shows
-    serving.publish({"recommendations": spark.createDataFrame([(1, 1, False, "2024-01-01"), (2, 1, False, "2024-01-02")], "id long, user_id long, acted_on boolean, created_at string")}, root, 2)
+    advised = {r["user_id"]: (r["id"], r["acted_on"]) for r in read("recommendations").collect()}
+    assert {u: i for u, (i, _) in advised.items()} == {r["user_id"]: r["id"] for r in windows.latest(first, ["user_id"], 1).collect()} and not any(a for _, a in advised.values())
     for _ in range(2):  # a batch may run again
-        submissions.persist(second, t.problems, root, 3, now)
+        submissions.persist(second, t.problems, root, 3)
     assert read("submissions").count() == rows.count()
     want = {(r["id"]): r["attempt_number"] for r in windows.attempts(rows).collect()}
     assert {r["id"]: r["attempt_number"] for r in read("submissions").collect()} == want
     profiles = {(r["user_id"], r["topic"]): r["elo_rating"] for r in folds.topic_profiles(catalogue.leveled(t).filter("user_id <= 3")).collect()}
     assert {(r["user_id"], r["topic"]): r["elo_rating"] for r in read("topic_profiles").collect()} == profiles
     assert {r["user_id"]: r["current_streak"] for r in read("streaks").collect()} == {r["user_id"]: r["current_streak"] for r in windows.daily_streak(rows).collect()}
-    assert {r["id"]: r["acted_on"] for r in read("recommendations").collect()} == {1: False, 2: True}
+    acted = {r["id"]: r["acted_on"] for r in read("recommendations").collect()}
+    assert acted == {i: True for i, _ in advised.values()} | {r["id"]: False for r in windows.latest(second, ["user_id"], 1).collect()}
+    after = interleaved.states(interleaved.replay(interleaved.analysed(rows)))
+    for name, want in (("gap_signals", interleaved.gap_signals(after)), ("user_pattern_elo", interleaved.pattern_elos(after))):
+        assert sorted(map(tuple, read(name).select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_any_cut_and_late_rows_leave_the_same_tables(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(serving, "BUCKETS", 2)
+    t = Tables(spark, "/root/testdata/sf0.001")
+    rows = t.submissions.filter("user_id <= 3")
+    days = F.dayofmonth("submitted_at")
+    cuts = {
+        "one": [F.lit(True)], "three": [days < 8, (days >= 8) & (days < 20), days >= 20],
+        "late": [(days < 20) & (F.col("id") % 7 != 0), (days >= 20) | (F.col("id") % 7 == 0)],  # the second brings rows from before the first's newest
+    }
+    seen = {}
+    for cut, parts in cuts.items():
+        root = str(tmp_path / cut)
+        for batch, part in enumerate(parts):
+            submissions.persist(rows.filter(part), t.problems, root, batch)
+        if cut == "late":
+            again = rows.filter(parts[-1]).unionByName(rows.filter(parts[-1]).limit(20))  # repeated ids, and the batch runs again
+            submissions.persist(again, t.problems, root, len(parts) - 1)
+        tables = ("submissions", "topic_profiles", "gap_signals", "user_pattern_elo", "streaks", "attempts")
+        read = {n: serving.published(spark, root, n) for n in tables}
+        seen[cut] = {n: sorted(map(str, (r.select(*sorted(r.columns)).collect()))) for n, r in read.items()}
+    assert len(seen["one"]["submissions"]) == rows.count() and seen["one"] == seen["three"] == seen["late"]
+    assert {r["user_id"]: r["current_streak"] for r in read["streaks"].collect()} == {r["user_id"]: r["current_streak"] for r in windows.daily_streak(rows).collect()}
 
 
 def test_cascade_and_set_null(spark):
