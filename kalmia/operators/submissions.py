@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kalmia.operators import interleaved, ratings, recommend, windows
+from kalmia.operators import gate, interleaved, ratings, recommend, windows
 from kalmia.runtime import written
 from kalmia.sources import serving
 
@@ -49,11 +49,12 @@ def persist(new: DataFrame, problems: DataFrame, root: str, batch: int, places:
     """One batch of analysed submissions: themselves with attempt numbers, and their users' states, profiles, gaps, pattern ratings, attempts, streaks and next recommendations; last recommendations become acted on.
 
     new: id, user_id, problem_id, verdict, detected_pattern, detected_confidence, expected_pattern, gap_identified, topic,
-    submitted_at, and what else ``interleaved.analysed`` takes. Ids that are there already are left out. If anything
+    submitted_at, and what else ``interleaved.analysed`` takes. Rows that break a constraint (``gate.TABLES``) go to the
+    quarantine table instead. Ids that are there already are left out. If anything
     fails nothing is published; a batch may run again.
     """
     spark = new.sparkSession
-    came = written(once(new))
+    came, held = gate.gate(once(new), "submissions", parents={"problem_id": problems.select("id")})
     users = came.select("user_id").distinct()
     read = lambda name: serving.published(spark, root, name, before=batch, only=users)
     stored = read("submissions")
@@ -91,5 +92,5 @@ def persist(new: DataFrame, problems: DataFrame, root: str, batch: int, places:
         made = made.unionByName(last.join(made.select("id"), "id", "left_anti"), allowMissingColumns=True)
     serving.publish({
         "submissions": numbered.select(*came.columns, F.col("attempt_number").cast("long").alias("attempt_number")), "topic_profiles": all_profiles, "gap_signals": interleaved.gap_signals(after), "user_pattern_elo": interleaved.pattern_elos(after),
-        "streaks": _rejoined(came, streaks), "attempts": tried, "states": after, "recommendations": made,
+        "streaks": _rejoined(came, streaks), "attempts": tried, "states": after, "recommendations": made, "quarantine": held,
     }, root, batch)

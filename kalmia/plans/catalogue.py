@@ -16,14 +16,14 @@ from pyspark.sql import functions as F
 from kalmia.functions import ratings as R
 from kalmia.functions import text as T
 from kalmia.functions.taxonomy import ORDER
-from kalmia.operators import gaps, matching, quality, recommend, submissions, windows
+from kalmia.operators import gaps, gate, matching, quality, recommend, submissions, windows
 from kalmia.operators.detect import engine as detect
 from kalmia.operators.detect import weighted
 from kalmia.operators import interleaved
 from kalmia.operators import ratings as folds
 from kalmia.sources import adapter, bank, serving
 from kalmia.plans import labelled, samples
-from kalmia.runtime import forget_at_exit, shared_dir, ship_package
+from kalmia.runtime import forget_at_exit, shared_dir, ship_package, written
 from kalmia.sources.adapter import Tables
 from kalmia.streaming import folds as streams
 from kalmia.streaming import stateful
@@ -628,6 +628,31 @@ def serving_checks(t: Tables) -> DataFrame:
     return quality.serving_violations(profiles(t), gap_rows(t), windows.attempts(t.submissions), t.submissions.select("user_id").distinct())
 
 
+DIRTY_SQL = """, dirty AS (SELECT id, user_id, CASE WHEN id % 31 = 5 THEN problem_id + 1000000000 ELSE problem_id END AS problem_id, CASE WHEN id % 19 = 3 THEN 'maybe' ELSE verdict END AS verdict,
+    CASE WHEN id % 23 = 7 THEN NULL ELSE topic END AS topic, CASE WHEN id % 17 = 2 THEN detected_confidence + 1.5 ELSE detected_confidence END AS detected_confidence, submitted_at, gap_identified, 0 AS copy FROM submissions),
+batch AS (SELECT * FROM dirty UNION ALL SELECT * REPLACE ('error' AS verdict, 1 AS copy) FROM dirty WHERE id % 29 = 4),
+ruled AS (SELECT *, detected_confidence > 1 AS r1, verdict NOT IN ('pass', 'fail', 'error', 'tle') AS r2, topic IS NULL AS r3, problem_id > 1000000000 AS r4, id % 13 = 6 AS r5,
+  row_number() OVER (PARTITION BY id ORDER BY CASE WHEN detected_confidence > 1 OR verdict NOT IN ('pass', 'fail', 'error', 'tle') OR topic IS NULL THEN 1 ELSE 0 END, verdict <> 'error') > 1 AS r6 FROM batch)"""
+
+
+@query(DIRTY_SQL + """
+SELECT 'detected_confidence_range' AS rule, count(*) FILTER (r1) AS n FROM ruled UNION ALL SELECT 'verdict_known', count(*) FILTER (r2) FROM ruled UNION ALL SELECT 'topic_missing', count(*) FILTER (r3) FROM ruled
+UNION ALL SELECT 'problem_id_unknown', count(*) FILTER (r4) FROM ruled UNION ALL SELECT 'key_exists', count(*) FILTER (r5) FROM ruled UNION ALL SELECT 'repeated_key', count(*) FILTER (r6) FROM ruled
+UNION ALL SELECT 'passed', count(*) FILTER (NOT (r1 OR r2 OR r3 OR r4 OR r5 OR r6)) FROM ruled""")
+def gate_violations(t: Tables) -> DataFrame:
+    """A batch with planted violations of each rule at the gate: rows by broken rule, and those that passed."""
+    rows = t.submissions.select("id", "user_id", "problem_id", "verdict", "topic", "detected_confidence", "submitted_at", "gap_identified")
+    spoilt = lambda k, n, c, bad: F.when(F.col("id") % k == n, bad).otherwise(F.col(c)).alias(c)
+    dirty = rows.select(
+        "id", "user_id", spoilt(31, 5, "problem_id", F.col("problem_id") + 1_000_000_000), spoilt(19, 3, "verdict", F.lit("maybe")), spoilt(23, 7, "topic", F.lit(None)),
+        spoilt(17, 2, "detected_confidence", F.col("detected_confidence") + 1.5), "submitted_at", "gap_identified",
+    )
+    batch = dirty.unionByName(dirty.filter("id % 29 = 4").withColumn("verdict", F.lit("error")))
+    found = written(gate.judged(batch, gate.TABLES["submissions"], rows.filter("id % 13 = 6"), {"problem_id": t.problems.select("id")}))
+    broken = found.select(F.explode("broken").alias("rule")).groupBy("rule").agg(F.count("*").alias("n"))
+    return broken.unionByName(found.filter(F.size("broken") == 0).agg(F.lit("passed").alias("rule"), F.count("*").alias("n")))
+
+
 #: Folders of serving tables by application and input: the queries below read the same ones.
 _SERVED: dict[tuple[str, str], str] = {}
 
@@ -671,7 +696,7 @@ def deleted_users(t: Tables) -> DataFrame:
     """Rows of each serving table once a third batch has deleted every third user."""
     root = _persisted(t)
     serving.delete_owners(t.spark, t.users.filter("user_id % 3 = 0"), root, 2)
-    counts = [serving.published(t.spark, root, n).agg(F.lit(n).alias("name"), F.count("*").alias("n"), F.count_distinct("user_id").alias("users")) for n in submissions.KEYS]
+    counts = [serving.published(t.spark, root, n).agg(F.lit(n).alias("name"), F.count("*").alias("n"), F.count_distinct("user_id").alias("users")) for n in submissions.KEYS if n != "quarantine"]
     return functools.reduce(DataFrame.unionByName, counts)
 
 

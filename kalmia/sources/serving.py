@@ -31,6 +31,7 @@ from pyspark.sql import types as T
 KEYS = {
     "submissions": ["id"], "topic_profiles": ["user_id", "topic"], "gap_signals": ["user_id", "pattern_id"], "user_pattern_elo": ["user_id", "pattern_id"],
     "streaks": ["user_id"], "recommendations": ["id"], "attempts": ["user_id", "problem_id"], "states": ["user_id"],
+    "quarantine": ["table_name", "row"],
 }
 OWNER = "user_id"
 #: Buckets of a new table: enough that one is a task's work. A table keeps the number it began with.
