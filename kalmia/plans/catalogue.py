@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from kalmia.functions import ratings as R
 from kalmia.functions import text as T
 from kalmia.functions.taxonomy import ORDER
-from kalmia.operators import gaps, gate, matching, quality, recommend, submissions, windows
+from kalmia.operators import gaps, gate, matching, ordering, quality, recommend, submissions, windows
 from kalmia.operators.detect import engine as detect
 from kalmia.operators.detect import weighted
 from kalmia.operators import interleaved
@@ -700,6 +700,23 @@ def deleted_users(t: Tables) -> DataFrame:
     return functools.reduce(DataFrame.unionByName, counts)
 
 
+@query("""SELECT CAST(40 + row_number() OVER (ORDER BY p_brand, p_type, p_partkey) AS BIGINT) AS id, p_partkey AS part FROM part""", plain=True)
+def dense_ids(t: Tables) -> DataFrame:
+    """Ids for new rows in a natural order."""
+    return ordering.numbered(t.read("part").select(F.col("p_partkey").alias("part"), "p_brand", "p_type"), ["p_brand", "p_type", "part"], after=40).select("id", "part")
+
+
+@query(""", placed AS (SELECT id, title, row_number() OVER (ORDER BY id) - 1 AS pos, count(*) OVER () AS n FROM problems WHERE difficulty <> 'Hard')
+SELECT 1 AS page, id, title FROM placed WHERE pos < 20 UNION ALL SELECT 2, id, title FROM placed WHERE pos // 20 = n // 40 UNION ALL SELECT 3, id, title FROM placed WHERE pos // 20 = (n - 1) // 20""")
+def deep_pages(t: Tables) -> DataFrame:
+    """The first, a middle and the last page of a filtered bank, each read from its own range."""
+    where = f"{shared_dir(t.spark)}/kalmia/pages-{uuid.uuid4().hex}"
+    forget_at_exit(t.spark, where)
+    pages = ordering.paged(t.problems.filter("difficulty <> 'Hard'").select("id", "title"), ["id"], where, ranges=16)
+    numbers = (1, pages.total // 40 + 1, (pages.total - 1) // 20 + 1)
+    return functools.reduce(DataFrame.unionByName, [pages.page(n, 20).select(F.lit(i).alias("page"), "id", "title") for i, n in enumerate(numbers, 1)])
+
+
 # ---- recommendations
 
 WEAK_SQL = LIVE_SQL + """

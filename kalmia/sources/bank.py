@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kalmia.functions.taxonomy import EXTRA
+from kalmia.operators import ordering
 
 # The CSV's columns and ours.
 CSV_COLUMNS = {
@@ -76,8 +77,8 @@ def read_through(wanted: DataFrame, cache: DataFrame, keys: Sequence[str]) -> tu
 
 
 def with_ids(rows: DataFrame, after: int, order: Sequence[str]) -> DataFrame:
-    """Ids that follow ``after`` in a natural order. The rank is global: for batches of new rows, not whole tables."""
-    return rows.withColumn("id", F.row_number().over(Window.orderBy(*order)) + F.lit(after))
+    """Ids that follow ``after`` in a natural order, without gaps; no task sees all rows."""
+    return ordering.numbered(rows, order, "id", after)
 
 
 def point_update(rows: DataFrame, where: Column, values: dict[str, Column]) -> DataFrame:
