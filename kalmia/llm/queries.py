@@ -70,4 +70,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op11_conversation_repair, op12_filter_audit, op13_harmonic_packing,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op4_poisson_mixing": mixing.SQL, "op7_exact_dedup": exact_dedup.SQL, "op12_filter_audit": filter_audit.SQL}
+ORACLE_SQL: dict[str, str] = {"op4_poisson_mixing": mixing.SQL, "op7_exact_dedup": exact_dedup.SQL, "op11_conversation_repair": repair.SQL, "op12_filter_audit": filter_audit.SQL}

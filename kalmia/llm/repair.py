@@ -348,3 +348,56 @@ def audit(turns: DataFrame, conversations: DataFrame | None = None) -> DataFrame
 def query(turns: DataFrame) -> DataFrame:
     turns = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     return audit(damage(turns), turns)
+
+
+#: The contract in DuckDB's SQL: every state's best edits as whole strings, turn by turn, with CRC-32 bit by bit.
+SQL = r"""
+WITH RECURSIVE keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda c: ascii(c)::BIGINT) AS bytes
+  FROM conversations
+), fated AS (
+  SELECT conv_id, turn, role, text, xor(list_reduce(bytes,
+    lambda a, b: list_reduce([0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)), xor(a, b)), 4294967295::BIGINT), 4294967295) % 20 AS fate
+  FROM keyed
+), spoilt AS (
+  SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role, unnest(CASE WHEN fate = 3 THEN [0, 1] ELSE [0] END) AS copy,
+    CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM fated WHERE fate <> 0
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS n, left(role, 1) AS initial FROM spoilt
+), seen AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 AS again,
+    lag(initial) OVER (PARTITION BY conv_id ORDER BY n) AS before
+  FROM placed
+), turns AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN again THEN 'duplicate'
+    WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE '' END AS fault
+  FROM seen
+), counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (n > 1 AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal, max(n) AS last
+  FROM turns GROUP BY conv_id
+), inserts(q, k, into_, lines) AS (
+  VALUES (0, 0, 0, []::VARCHAR[]), (0, 1, 2, ['user:']), (0, 2, 3, ['user:', 'assistant:']), (1, 0, 1, []), (1, 1, 2, ['user:']), (1, 2, 3, ['user:', 'assistant:']),
+    (2, 0, 2, []), (2, 1, 3, ['assistant:']), (2, 2, 2, ['assistant:', 'user:']), (3, 0, 3, []), (3, 1, 2, ['user:']), (3, 2, 3, ['user:', 'assistant:'])
+), moves(from_, edit, needs, goes, price) AS (
+  VALUES (0, 'D', NULL, 0, 3), (1, 'D', NULL, 1, 3), (2, 'D', NULL, 2, 3), (3, 'D', NULL, 3, 3), (0, 'K', 's', 1, 0), (0, 'K', 'u', 2, 0), (1, 'K', 'u', 2, 0), (2, 'K', 'a', 3, 0), (3, 'K', 'u', 2, 0),
+    (0, 'R', NULL, 2, 2), (1, 'R', NULL, 2, 2), (2, 'R', NULL, 3, 2), (3, 'R', NULL, 2, 2)
+), layers AS (
+  SELECT conv_id, 0::BIGINT AS n, 0 AS q, 0 AS cost, '' AS audit, []::VARCHAR[] AS lines FROM counts
+  UNION ALL
+  SELECT l.conv_id, t.n, m.goes, l.cost + 2 * i.k + m.price + CASE WHEN m.edit <> 'D' AND t.fault = 'truncated' THEN 1 ELSE 0 END AS total, l.audit || repeat('I', i.k) || m.edit AS said,
+    l.lines || i.lines || CASE m.edit WHEN 'D' THEN [] WHEN 'K' THEN [t.role || ':' || t.text] ELSE [CASE WHEN m.goes = 3 THEN 'assistant:' ELSE 'user:' END || t.text] END
+  FROM layers l JOIN turns t ON t.conv_id IS NOT DISTINCT FROM l.conv_id AND t.n = l.n + 1 JOIN inserts i ON i.q = l.q JOIN moves m ON m.from_ = i.into_
+  WHERE (m.needs IS NULL OR m.needs = t.initial) AND (m.edit = 'D' OR t.fault NOT IN ('blank', 'duplicate'))
+  QUALIFY row_number() OVER (PARTITION BY l.conv_id, m.goes ORDER BY total, said) = 1
+), ended AS (
+  SELECT l.conv_id, l.cost + 2 * i.k AS total, l.audit || repeat('I', i.k) AS said, l.lines || i.lines AS lines
+  FROM layers l JOIN counts c ON c.conv_id IS NOT DISTINCT FROM l.conv_id AND c.last = l.n JOIN inserts i ON i.q = l.q
+  WHERE i.into_ IN (0, 3) QUALIFY row_number() OVER (PARTITION BY l.conv_id ORDER BY total, said) = 1
+)
+SELECT a.conv_id, coalesce(c.gaps, 0)::BIGINT AS gaps, coalesce(c.blank, 0) AS blank, coalesce(c.duplicate, 0) AS duplicate, coalesce(c.truncated, 0) AS truncated, coalesce(c.illegal, 0) AS illegal,
+  coalesce(e.total, 0)::BIGINT AS cost, coalesce(e.said, '') AS audit, sha256(coalesce(array_to_string(e.lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM a.conv_id
+"""

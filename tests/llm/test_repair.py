@@ -168,3 +168,19 @@ def test_repaired_rows(strange):
     for conv, want in said.items():
         own = sorted(e[1:] for e in edits if e[0] == conv)
         assert "".join(e[2] for e in own) == want["audit"] and SHAPE.match("".join(e[3][:1] for e in own if e[2] != "D"))
+
+
+def test_sql_on_strange_rows(spark, strange):
+    import duckdb
+
+    small = strange.filter("length(coalesce(text, '')) < 1000").select("conv_id", "turn", "role", "text")
+    c = duckdb.connect()
+    c.register("conversations", small.toPandas().astype({"conv_id": "Int64", "turn": "Int64"}))
+    want = c.sql(repair.SQL)
+    assert sorted(map(str, repair.query(small).select(*want.columns).collect())) == sorted(str(repair_row(want.columns, r)) for r in want.fetchall())
+
+
+def repair_row(names, values):
+    from pyspark.sql import Row
+
+    return Row(**dict(zip(names, values, strict=True)))
