@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from kalmia.functions import ratings as R
 from kalmia.functions import text as T
 from kalmia.functions.taxonomy import ORDER
-from kalmia.operators import gaps, gate, matching, ordering, quality, recommend, submissions, windows
+from kalmia.operators import gaps, gate, matching, ordering, quality, recommend, runs, submissions, windows
 from kalmia.operators.detect import engine as detect
 from kalmia.operators.detect import weighted
 from kalmia.operators import interleaved
@@ -628,6 +628,23 @@ def serving_checks(t: Tables) -> DataFrame:
     return quality.serving_violations(profiles(t), gap_rows(t), windows.attempts(t.submissions), t.submissions.select("user_id").distinct())
 
 
+@query(""", o AS (SELECT user_id, id, submitted_at, verdict, row_number() OVER w - row_number() OVER (PARTITION BY user_id, verdict ORDER BY submitted_at, id) AS island, lag(verdict) OVER w <> verdict AS changed,
+  count(*) FILTER (verdict <> 'pass') OVER (PARTITION BY user_id ORDER BY submitted_at DESC, id DESC ROWS UNBOUNDED PRECEDING) AS broken FROM submissions WINDOW w AS (PARTITION BY user_id ORDER BY submitted_at, id)),
+isl AS (SELECT user_id, max(n) AS longest_run FROM (SELECT user_id, count(*) AS n FROM o GROUP BY user_id, verdict, island) GROUP BY 1)
+SELECT user_id, any_value(longest_run) AS longest_run, count(*) FILTER (changed) AS switches, count(*) FILTER (broken = 0) AS pass_run FROM o JOIN isl USING (user_id) GROUP BY 1""")
+def run_summaries(t: Tables) -> DataFrame:
+    """Verdicts' longest run, changes, and passes at the end: summaries of the first half of the month, merged with the rest's."""
+    late = F.col("submitted_at") >= F.lit("2024-01-16").cast("timestamp")
+
+    def of(value):
+        before = runs.merged(runs.summaries(t.submissions.filter(~late), value))
+        return written(runs.merged(runs.summaries(t.submissions.filter(late), value), before))
+
+    whole, passes = of(F.col("verdict")), of(F.col("verdict") == "pass")
+    both = runs.longest_runs(whole).join(runs.switches(whole).select("user_id", "switches"), "user_id")
+    return both.join(runs.leading_run(passes).withColumnRenamed("run", "pass_run"), "user_id")
+
+
 DIRTY_SQL = """, dirty AS (SELECT id, user_id, CASE WHEN id % 31 = 5 THEN problem_id + 1000000000 ELSE problem_id END AS problem_id, CASE WHEN id % 19 = 3 THEN 'maybe' ELSE verdict END AS verdict,
     CASE WHEN id % 23 = 7 THEN NULL ELSE topic END AS topic, CASE WHEN id % 17 = 2 THEN detected_confidence + 1.5 ELSE detected_confidence END AS detected_confidence, submitted_at, gap_identified, 0 AS copy FROM submissions),
 batch AS (SELECT * FROM dirty UNION ALL SELECT * REPLACE ('error' AS verdict, 1 AS copy) FROM dirty WHERE id % 29 = 4),
