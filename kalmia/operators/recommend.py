@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from kalmia.functions import ratings as R
 from kalmia.functions.taxonomy import CATEGORY_OF, TAGS
-from kalmia.operators import windows
+from kalmia.operators import substrings, windows
+from kalmia.runtime import written
 
 SPECIFIC, HINT = 0.75, 0.55
 MOST = 5
@@ -48,8 +49,14 @@ def pass_probability(difficulty: Column, topic: Column, rates: dict[str, float],
 
 def topic_problems(problems: DataFrame, topics: DataFrame) -> DataFrame:
     """(topic, problem) where the topic's text is in the problem's topics (with SQL's wildcards) or is its primary pattern."""
-    on = (F.col("primary_pattern") == F.col("topic")) | F.expr("topics LIKE concat('%', topic, '%')")
-    return problems.join(F.broadcast(topics.select("topic").distinct()), on)
+    different = topics.select("topic").dropna().distinct()
+    # Pairs of different texts and topics, few; written, as callers use the result several times.
+    found = written(substrings.like(problems.select("topics"), different.select(F.concat(F.lit("%"), "topic", F.lit("%")))))
+    named = found.withColumn("topic", F.expr("substring(pattern, 2, char_length(pattern) - 2)"))
+    by_text = problems.join(named.select(F.col("text").alias("topics"), "topic"), "topics").filter(~F.col("primary_pattern").eqNullSafe(F.col("topic")))
+    by_pattern = problems.join(different, F.col("primary_pattern") == F.col("topic"))
+    columns = [*problems.columns, "topic"]
+    return by_pattern.select(*columns).unionByName(by_text.select(*columns))
 
 
 def ranked_unsolved(wanted: DataFrame, bank: DataFrame, submissions: DataFrame, exclude: DataFrame | None = None) -> DataFrame:
