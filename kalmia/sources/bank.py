@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from kalmia.functions.taxonomy import EXTRA
 from kalmia.operators import ordering
+from kalmia.sources import relational
 
 # The CSV's columns and ours.
 CSV_COLUMNS = {
@@ -85,9 +86,9 @@ def point_update(rows: DataFrame, where: Column, values: dict[str, Column]) -> D
     return rows.withColumns({c: F.when(where, v).otherwise(F.col(c)) for c, v in values.items()})
 
 
-def read_jdbc(spark: SparkSession, url: str, table: str, key: str, bounds: tuple[int, int], partitions: int, **options: str) -> DataFrame:
-    """A relational table in key ranges, one connection each."""
-    return spark.read.jdbc(url, table, column=key, lowerBound=bounds[0], upperBound=bounds[1], numPartitions=partitions, properties=options)
+def read_jdbc(spark: SparkSession, url: str, table: str, key: str, partitions: int, tie: str | None = None, **options: str) -> DataFrame:
+    """A relational table in ranges of equal numbers of rows, one connection each."""
+    return relational.read_ranges(relational.Source(spark, url, table, options), key, partitions, tie)
 
 
 def missing_tables(spark: SparkSession, required: Sequence[str]) -> list[str]:

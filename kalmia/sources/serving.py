@@ -62,7 +62,7 @@ def _delete(spark: SparkSession, path: str) -> None:
     fs.delete(where, True)
 
 
-def _put(spark: SparkSession, path: str, text: str) -> None:
+def put(spark: SparkSession, path: str, text: str) -> None:
     """A file that is there whole or not at all."""
     fs, draft = _fs(spark, f"{path}.{uuid.uuid4().hex}")
     out = fs.create(draft, True)
@@ -167,7 +167,7 @@ def publish(tables: dict[str, DataFrame], root: str, batch: int, gone: dict[str,
     names = list(dict.fromkeys([*tables, *gone]))
     with ThreadPoolExecutor(AT_ONCE) as pool:  # small tables don't wait for large ones
         now["tables"] |= dict(zip(names, pool.map(changed, names), strict=True))
-    _put(spark, f"{root}/manifests/{batch}.json", json.dumps(now))
+    put(spark, f"{root}/manifests/{batch}.json", json.dumps(now))
 
 
 def published(spark: SparkSession, root: str, name: str, keys: Sequence[str] | None = None, before: int | None = None, only: DataFrame | None = None) -> DataFrame | None:

@@ -76,7 +76,7 @@ def test_a_crash_between_any_two_writes(spark, tmp_path, monkeypatch, step):
 
     with monkeypatch.context() as m:  # two writes and two merges, then the manifest
         m.setattr(serving, "_write", failing(serving._write))
-        m.setattr(serving, "_put", failing(serving._put))
+        m.setattr(serving, "put", failing(serving.put))
         with pytest.raises(OSError, match="lost"):
             serving.publish(both(2.0), root, 1, keys=KEYS)
     assert contents(spark, root) == {(1, "a"): 1.0} and contents(spark, root, "u") == {(1, "b"): 1.0}
