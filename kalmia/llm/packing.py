@@ -10,8 +10,8 @@ The items, a few numbers each, are dealt by hash into groups of bounded size and
 group, longest first. Sequences that come out full are done; the items of the others are dealt
 again at the next level, into fewer groups, until one group of bounded size holds all that is left.
 So no task ever holds more than a group, whatever one source or one text's copies make up of the
-corpus, and only the last group leaves sequences open. (Where items can't be combined and the levels
-no longer shrink, the sequences stay as they are.)
+corpus. Where a level settles less than a tenth of its items, as lengths don't add up to the capacity, sequences into
+which no item fits any more and the fuller half stay as they are, and the rest goes on to the next level.
 
 Null texts count as empty (one separator). Repeated rows, equal doc_ids and ties are packed row by
 row. An empty table gives an empty result. Other columns than doc_id and text aren't read.
@@ -164,10 +164,18 @@ def pack_items(items: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -
         groups = max(1, n // group)
         dealt = level.withColumn("grp", F.pmod(F.xxhash64("item", F.lit(tag)), F.lit(groups)) + F.lit(first))
         now = materialize(dealt.groupBy("grp").applyInPandas(_pack_group(capacity), schema))
-        left = now.filter(F.col("used") < capacity).select("item", "length")
-        before, n = n, left.count()
-        last = groups == 1 or n > 0.9 * before
-        done = (now if last else now.filter(F.col("used") >= capacity)).select("item", "bin", "at")
+        gap = F.col("gap")
+        now = now.withColumn("gap", F.lit(capacity) - F.col("used"))
+        before = n
+        n, smallest, middle = now.filter(gap > 0).agg(F.count(F.lit(1)), F.coalesce(F.min("length"), F.lit(0)), F.coalesce(F.percentile_approx("gap", 0.5), F.lit(0))).first()
+        last, reach = groups == 1 or n == 0, 0
+        if not last and n > 0.9 * before:
+            # Few came out full. No item fits into gaps below the smallest; at least the fuller half of the items is settled.
+            reach = max(smallest - 1, middle)
+            n = now.filter(gap > reach).count()
+            last = n == 0
+        left = now.filter(gap > reach).select("item", "length")
+        done = (now if last else now.filter(gap <= reach)).select("item", "bin", "at")
         placed = done if placed is None else placed.unionByName(done)
         if last:
             return placed

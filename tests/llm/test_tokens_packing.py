@@ -82,6 +82,24 @@ def test_packing(docs, odd, none):
     assert packing.pack(none).count() == 0
 
 
+def test_lengths_that_never_add_up_go_on_to_one_group(spark):
+    def used(lengths, group):
+        items = spark.createDataFrame([(i, n) for i, n in enumerate(lengths)], "item long, length long")
+        got = packing.pack_items(items, 2048, group).toPandas().merge(items.toPandas(), on="item")
+        assert len(got) == len(lengths) and got["item"].is_unique
+        for _, rows in got.sort_values("at").groupby("bin"):
+            assert (rows["at"].to_numpy() == np.cumsum([0, *rows["length"]])[:-1]).all() and rows["length"].sum() <= 2048
+        return got["bin"].nunique()
+
+    # Two of 690 to 720 fit, three don't: half as many sequences as items. The rule alone, over all in one group, takes more.
+    lengths = [690 + i % 31 for i in range(4_000)]
+    alone = packing.sum_of_squares(np.array(sorted(lengths, reverse=True)), 2048)[0].max() + 1
+    assert used(lengths, 400) <= 2_003 <= alone
+    # A few small ones among them keep every gap open to something.
+    assert used([*lengths, 1, 2, 3], 400) <= 2_005
+    assert used([1_500 + i % 3 for i in range(900)], 100) == 900
+
+
 def test_first_piece_is_the_shorter_one():
     assert packing.pieces_of(np.zeros(5000), 2048) == [(0, 904), (904, 2048), (2952, 2048)]
     assert packing.pieces_of(np.zeros(4096), 2048) == [(0, 2048), (2048, 2048)]
