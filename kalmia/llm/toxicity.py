@@ -13,7 +13,8 @@ Features are a text's distinct words and their first 4, 5 and 6 letters, over wh
 source, ids and labels are never inputs of a score.
 
 Training reads at most ``max_positive`` + ``max_unlabelled`` + ``max_calibration`` texts, picked by
-a hash of doc_id: the driver holds their features, 32 bits each. Scores cover every row.
+a hash of doc_id: the driver holds their features, 32 bits each. Where the pick exceeds its bound, the rows with the
+smallest hashes stay, so it doesn't depend on the order of rows. Scores cover every row.
 
 Null texts count as empty; they and texts without words get the score of a text without features.
 Repeated labels of a doc_id: toxic if one says so; null labels are ignored. Without any confirmed
@@ -183,7 +184,8 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE,
     prior = toxic / n if n else 0.0
     share = lambda most, of: min(1.0, 0.95 * most / max(of, 1))
     picked = known.filter(((F.col("toxic") == 1) & _thin(F.col("doc_id"), 1, share(max_positive, toxic))) | _thin(F.col("doc_id"), 2, share(max_calibration, n)))
-    picked = picked.limit(max_positive + max_calibration)  # the pick's size varies around its bound; this holds it
+    # The pick's size varies around its bound; this holds it, and drops the same rows whatever order they come in.
+    picked = picked.orderBy(F.xxhash64("doc_id", F.lit(4)), "doc_id").limit(max_positive + max_calibration)
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("toxic", T.IntegerType()), T.StructField("u", T.BooleanType()), T.StructField("c", T.BooleanType()), T.StructField("f", T.BinaryType())])
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,7 +198,8 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE,
         docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id", "left").withColumn("u", F.coalesce(unlabelled, F.lit(False)))
         .filter(F.col("u") | F.col("toxic").isNotNull())
         .withColumn("c", F.crc32(F.concat(F.lit("c"), F.col("doc_id").cast("string")).cast("binary")) % 2 == 1)
-        .select("doc_id", "text", "toxic", "u", "c").mapInArrow(extract, schema).limit(2 * (max_positive + max_unlabelled + max_calibration))
+        .select("doc_id", "text", "toxic", "u", "c").mapInArrow(extract, schema)
+        .orderBy(F.xxhash64("doc_id", "f"), "doc_id", "f").limit(2 * (max_positive + max_unlabelled + max_calibration))
     )
     p, u, c, y = [], [], [], []
     for row in sorted(rows.collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"], bytes(r["f"]))):

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import zlib
 
 import numpy as np
@@ -53,6 +54,80 @@ def test_the_correction_never_goes_negative():
     assert w[0] + w[2] + b > 0 > w[1] + w[2] + b
 
 
+def plain_training(p, u, width, prior, seed, steps):
+    """The risk from its definition, sums over rows in plain loops; its slope by central differences."""
+    rng = np.random.default_rng(seed)
+    cp, cu = rng.poisson(1, len(p)) + 1e-3, rng.poisson(1, len(u)) + 1e-3
+    cp, cu = [x / sum(cp) for x in cp], [x / sum(cu) for x in cu]
+    loss = lambda z: 1 / (1 + math.exp(z))
+
+    def mean(rows, share, at, sign):
+        return sum(c * loss(sign * (at[-1] + sum(at[f] for f in row))) for row, c in zip(rows, share, strict=True))
+
+    def goal(at, against):
+        rest = mean(u, cu, at, -1) - prior * mean(p, cp, at, -1)
+        return -rest if against else prior * mean(p, cp, at, 1) + rest
+
+    at = [0.0] * width + [math.log(prior / (1 - prior))]
+    first, second = [0.0] * (width + 1), [0.0] * (width + 1)
+    turned = 0
+    for step in range(1, steps + 1):
+        against = mean(u, cu, at, -1) < prior * mean(p, cp, at, -1)
+        turned += against
+        slope = []
+        for i in range(width + 1):
+            up, down = at[:], at[:]
+            up[i], down[i] = up[i] + 1e-5, down[i] - 1e-5
+            slope.append((goal(up, against) - goal(down, against)) / 2e-5 + (1e-4 * at[i] if i < width else 0))
+        for i, g in enumerate(slope):
+            first[i] = 0.9 * first[i] + 0.1 * g
+            second[i] = 0.999 * second[i] + 0.001 * g * g
+            at[i] -= 0.05 * (first[i] / (1 - 0.9**step)) / (math.sqrt(second[i] / (1 - 0.999**step)) + 1e-8)
+            if i < width:
+                at[i] = max(at[i], 0.0)
+    return at, turned
+
+
+def test_training_equals_plain_training():
+    rng = np.random.default_rng(3)
+    draw = lambda n, odds: [sorted(i for i in range(5) if rng.random() < odds[i]) for _ in range(n)]
+    dirty, clean = (0.9, 0.7, 0.4, 0.5, 0.1), (0.05, 0.1, 0.4, 0.5, 0.6)
+    p, u = draw(20, dirty), draw(12, dirty) + draw(40, clean)
+    turns = 0
+    for seed, prior in ((0, 0.25), (1, 0.4), (2, 0.6)):
+        rows = [toxicity._Rows([np.array(r, dtype=np.uint32) for r in x], np.arange(5, dtype=np.uint32)) for x in (p, u)]
+        w, b = toxicity.train_nnpu(*rows, prior, seed, steps=80)
+        want, turned = plain_training(p, u, 5, prior, seed, 80)
+        turns += turned
+        assert np.allclose([*w, b], want, atol=1e-3), (w, b, want)
+    assert turns  # the correction was met
+
+
+def test_selection_equals_plain_counts():
+    rng = np.random.default_rng(5)
+    p = [np.flatnonzero(rng.random(40) < np.linspace(0.9, 0.05, 40)).astype(np.uint32) for _ in range(60)]
+    u = [np.flatnonzero(rng.random(40) < 0.15).astype(np.uint32) for _ in range(200)]
+    prior, want = 0.1, []
+    for f in range(40):
+        n, m = sum(f in r for r in p), sum(f in r for r in u)
+        a, one = n / len(p), 1 / len(u)
+        clean = max(0.0, m / len(u) - prior * a) / (1 - prior)
+        deviation = math.sqrt(a * (1 - a) / len(p) + (clean + one) / len(u))
+        if n >= 3 and a > 3 * (clean + one) and (a - clean) / deviation > 2.5:
+            want.append(f)
+    assert want and toxicity.select(p, u, prior).tolist() == want
+
+
+def test_the_sample_does_not_depend_on_the_order_of_rows(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "labels"))
+    docs = docs.unionByName(docs.withColumn("text", F.concat("text", F.lit(" again"))))  # repeated ids go over the bounds
+    few = {"max_positive": 20, "max_unlabelled": 60, "max_calibration": 20}
+    one = toxicity.train(docs.repartition(7, "text"), labels.repartition(3), **few)
+    other = toxicity.train(docs.orderBy(F.desc("text")), labels.orderBy("doc_id"), **few)
+    assert one == other and one.weights
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.sampled_from(["<", "s>", "/s>", "\\", "[", "INST]", "/INST]", "<|", "|turn|>", "|body|>", "|endoftext|>", "a", " ", "</s>", "[INST]"]), max_size=14).map("".join))
 def test_escaping_is_reversible_and_complete(text):
