@@ -31,6 +31,7 @@ from pyspark.sql import types as T
 KEYS = {
     "submissions": ["id"], "topic_profiles": ["user_id", "topic"], "gap_signals": ["user_id", "pattern_id"], "user_pattern_elo": ["user_id", "pattern_id"],
     "streaks": ["user_id"], "recommendations": ["id"], "attempts": ["user_id", "problem_id"], "states": ["user_id"],
+    "snapshots": ["user_id", "upto_at", "upto_id"],
     "quarantine": ["table_name", "row"],
 }
 OWNER = "user_id"
@@ -170,10 +171,11 @@ def publish(tables: dict[str, DataFrame], root: str, batch: int, gone: dict[str,
     put(spark, f"{root}/manifests/{batch}.json", json.dumps(now))
 
 
-def published(spark: SparkSession, root: str, name: str, keys: Sequence[str] | None = None, before: int | None = None, only: DataFrame | None = None) -> DataFrame | None:
+def published(spark: SparkSession, root: str, name: str, keys: Sequence[str] | None = None, before: int | None = None, only: DataFrame | None = None, fixed: Column | None = None) -> DataFrame | None:
     """A table as the published batches (those before ``before``) leave it; None before its first rows.
 
     ``only``: rows of these owners (a table with the owner's columns); other buckets aren't opened.
+    ``fixed``: a condition on columns that a key never changes; it's put to the files, before versions are compared.
     """
     now = manifest(spark, root, before)
     table = None if now is None else now["tables"].get(name)
@@ -188,6 +190,8 @@ def published(spark: SparkSession, root: str, name: str, keys: Sequence[str] | N
     if not paths:
         return spark.createDataFrame([], schema)
     rows = _files(spark, root, table, paths)
+    if fixed is not None:
+        rows = rows.filter(fixed | F.col("_gone"))
     if only is not None:
         owners = only.select(*table["by"]).distinct()
         same = [rows[c].eqNullSafe(owners[c]) for c in table["by"]]
