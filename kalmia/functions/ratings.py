@@ -22,6 +22,11 @@ def of(table: dict[str, float], key: Column) -> Column:
     return out
 
 
+def rounded(value: Column, places: int) -> Column:
+    """Rounds the scaled number, as SQL engines in C do: 0.25505, a little less in binary, goes down."""
+    return F.round(value * 10.0**places, 0) / 10.0**places
+
+
 def expected(rating: Column, opponent: Column) -> Column:
     return 1 / (1 + F.pow(F.lit(10.0), (opponent - rating) / 400))
 
