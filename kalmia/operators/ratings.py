@@ -141,4 +141,7 @@ def global_summary(updates: DataFrame, keys: Sequence[str], places: int = 2) ->
     top = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("delta")).alias("d"), F.col("place").alias("o"), F.col("pattern_id").alias("p")))), 1, 3)
     low = F.slice(F.array_sort(F.collect_list(F.struct(F.col("delta").alias("d"), (-F.col("place")).alias("o"), F.col("pattern_id").alias("p")))), 1, 3)
     pick = lambda xs: F.transform(F.filter(xs, lambda x: x["d"] < 0), lambda x: x["p"])
-    return updates.groupBy(*keys).agg(F.round(F.avg("delta"), places).alias("average_elo_change"), pick(top).alias("strongest_improvement_patterns"), pick(low).alias("weakest_patterns"))
+    # Summed from the greatest loss on, so that the last digit doesn't depend on partitions.
+    deltas = F.array_sort(F.collect_list(F.struct(F.col("delta").cast("double").alias("d"), (-F.col("place")).alias("o"))))
+    mean = F.aggregate(deltas, F.lit(0.0), lambda s, x: s + F.coalesce(x["d"], F.lit(0.0))) / F.count("delta")
+    return updates.groupBy(*keys).agg(R.rounded(mean, places).alias("average_elo_change"), pick(top).alias("strongest_improvement_patterns"), pick(low).alias("weakest_patterns"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kalmia.functions import ratings as R
 from kalmia.operators import gaps
+from kalmia.operators import ratings as folds
 
 START = datetime.datetime(2024, 1, 1)
 
@@ -28,3 +29,11 @@ def test_halves(spark):
     rows = got.collect()
     sql = duckdb.sql("SELECT round((i * 2 + 1) / 20000, 4) FROM range(10000) r(i) ORDER BY i").fetchall()
     assert [r["y"] for r in rows] == [r[0] for r in sql]
+
+def test_means_of_changes(spark):
+    rows = [(u, i, f"p{i}", round(10 + u * 0.00137 + i * 0.00001 * (u % 3), 6)) for u in range(300) for i in range(4)]
+    table = spark.createDataFrame(rows, "user_id long, place int, pattern_id string, delta double").repartition(5)
+    got = {r["user_id"]: r["average_elo_change"] for r in folds.global_summary(table, ["user_id"], places=5).collect()}
+    values = ", ".join(f"({u}, {i}, {d}::DOUBLE)" for u, i, _, d in rows)
+    sql = duckdb.sql(f"SELECT u, round(avg(d ORDER BY d, i DESC), 5) FROM (VALUES {values}) v(u, i, d) GROUP BY u").fetchall()
+    assert got == dict(sql)
