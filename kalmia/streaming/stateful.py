@@ -4,11 +4,13 @@
 the earliest wakes their key. So a batch writes the rows that came and removes those that were folded, and
 never writes again what still waits. Rows later than the watermark are left out by Spark.
 
-* ``topic_profiles``: a profile a (user, topic).
+* ``topic_profiles``: a user's profiles by topic, as one value, which the taxonomy bounds: a call to the store
+  costs more than the few profiles that it brings.
 * ``pattern_ratings``: the interleaved fold: a user's counters as one value, patterns as a map, of which a
   batch writes the entries that changed.
 * ``daily_streaks``: a user's days as runs, in two maps (first day to last, last day to first), so that a day
-  joins its neighbours' runs in any order of arrival: a late day that closes a gap makes two runs one.
+  joins its neighbours' runs in any order of arrival: a late day that closes a gap makes two runs one. A batch
+  reads the runs in one call and writes those that changed.
 
 On input in order, or with ``late`` on input out of order by less than that, streams and batches agree.
 ``ttl`` (milliseconds) lets state of keys go that were idle for so long, where repeated visits aren't expected.
@@ -109,12 +111,19 @@ class _Ordered(StatefulProcessor):
 
 class _Profiles(_Ordered):
     def parts(self, handle):
-        self.profile = handle.getValueState("profile", folds.PROFILE_STATE, self.ttl)
+        self.profiles = handle.getValueState("profiles", "body string", self.ttl)
 
     def fold(self, key, rows):
-        new = folds._profile(self.profile.get() if self.profile.exists() else (R.START, 0, 0, 0), rows)
-        self.profile.update(new)
-        return [{"user_id": key[0], "topic": key[1], "elo_rating": new[0], "attempt_count": new[1], "pass_count": new[2], "recent_failures": new[3]}]
+        held = json.loads(self.profiles.get()[0]) if self.profiles.exists() else {}
+        came: dict[str, list[dict]] = {}
+        for r in rows:
+            came.setdefault(r["topic"], []).append(r)
+        for topic, theirs in came.items():
+            # A null topic is a topic too: JSON has no null as a key.
+            held[json.dumps(topic)] = folds._profile(held.get(json.dumps(topic), (R.START, 0, 0, 0)), theirs)
+        self.profiles.update((json.dumps(held),))
+        out = [(topic, held[json.dumps(topic)]) for topic in came]
+        return [{"user_id": key[0], "topic": t, "elo_rating": n[0], "attempt_count": n[1], "pass_count": n[2], "recent_failures": n[3]} for t, n in out]
 
 
 class _Ratings(_Ordered):
@@ -145,6 +154,19 @@ class _Ratings(_Ordered):
         return out
 
 
+def _merged(runs: dict[int, int], days: list[int]) -> dict[int, int]:
+    """Runs of days (first to last) with more days."""
+    out: dict[int, int] = {}
+    first = last = None
+    for a, b in sorted([*runs.items(), *((d, d) for d in days)]):
+        if last is not None and a <= last + 1:
+            last = max(last, b)
+        else:
+            first, last = a, b
+        out[first] = last
+    return out
+
+
 class _Streaks(StatefulProcessor):
     def __init__(self, ttl: int | None) -> None:
         self.ttl = ttl
@@ -154,33 +176,32 @@ class _Streaks(StatefulProcessor):
         self.first_of = handle.getMapState("first_of", "last long", "first long", self.ttl)
         self.newest = handle.getValueState("newest", "day long", self.ttl)
 
-    def _inside(self, day: int) -> bool:
-        """Whether a run holds a day that is no run's end."""
-        return any(first <= day <= last for (first,), (last,) in self.last_of.iterator())
-
-    def add(self, day: int) -> None:
-        if self.last_of.containsKey((day,)) or self.first_of.containsKey((day,)):
-            return
-        after, before = self.last_of.containsKey((day + 1,)), self.first_of.containsKey((day - 1,))
-        if not (after and before) and self.newest.exists() and day < self.newest.get()[0] and self._inside(day):
-            return
-        last = self.last_of.getValue((day + 1,))[0] if after else day
-        first = self.first_of.getValue((day - 1,))[0] if before else day
-        if after:
-            self.last_of.removeKey((day + 1,))
-        if before:
-            self.first_of.removeKey((day - 1,))
-        self.last_of.updateValue((first,), (last,))
-        self.first_of.updateValue((last,), (first,))
-        if not self.newest.exists() or day > self.newest.get()[0]:
-            self.newest.update((day,))
+    def add(self, *days: int) -> None:
+        """Takes all of a batch's days at once: the runs are read in one call, and only those that changed are written."""
+        held = {first: last for (first,), (last,) in self.last_of.iterator()} if self.newest.exists() else {}
+        runs = _merged(held, [*days])
+        for first, last in held.items() - runs.items():
+            if first not in runs:
+                self.last_of.removeKey((first,))
+            if runs.get(self._first(runs, last)) != last:
+                self.first_of.removeKey((last,))
+        for first, last in runs.items() - held.items():
+            self.last_of.updateValue((first,), (last,))
+            self.first_of.updateValue((last,), (first,))
+        if runs and runs != held:
+            self.newest.update((max(runs.values()),))
+        self.current = max(runs.items(), default=None)
+
+    @staticmethod
+    def _first(runs: dict[int, int], last: int) -> int:
+        """The first day of the run that holds a day."""
+        return max(first for first in runs if first <= last)
 
     def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
-        for day in sorted({d.toordinal() for batch in rows for d in batch["day"] if d is not None and not pd.isna(d)}):
-            self.add(day)
-        if self.newest.exists():
-            last = self.newest.get()[0]
-            yield pd.DataFrame({"user_id": [key[0]], "last_submission_date": [date.fromordinal(last)], "current_streak": [last - self.first_of.getValue((last,))[0] + 1]})
+        self.add(*{d.toordinal() for batch in rows for d in batch["day"].dropna().unique()})
+        if self.current:
+            first, last = self.current
+            yield pd.DataFrame({"user_id": [key[0]], "last_submission_date": [date.fromordinal(last)], "current_streak": [last - first + 1]})
 
     def close(self) -> None:
         pass
@@ -197,7 +218,7 @@ def topic_profiles(stream: DataFrame, late: str | None = None, ttl: int | None =
     columns = ("user_id", "topic", "verdict", "difficulty", "detected_pattern", "expected_pattern", "id")
     at = F.col("submitted_at").cast("timestamp")
     rows = stream.select(*columns, at.alias("submitted_at"), F.unix_micros(at).alias("at_us"))
-    return _keyed(rows, ("user_id", "topic"), lambda waits: _Profiles(waits, ttl), folds.PROFILE, late)
+    return _keyed(rows, ("user_id",), lambda waits: _Profiles(waits, ttl), folds.PROFILE, late)
 
 
 def pattern_ratings(stream: DataFrame, late: str | None = None, places: int | None = 2, histories: bool = False, ttl: int | None = None) -> DataFrame:
