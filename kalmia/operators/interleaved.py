@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import asdict, dataclass, field, fields
+from dataclasses import dataclass, field, fields
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -79,22 +79,32 @@ class Known:
         return min(sum(parts) / max(n, 1), 1.0)
 
 
+NAMES = tuple(f.name for f in fields(Known))
+
+
 @dataclass
 class User:
     submissions: int = 0
     last_at: int | None = None
     last_id: int | None = None
     patterns: dict[str, Known] = field(default_factory=dict)
+    #: Patterns whose confidences scatter; only a detection changes that.
+    scattered: set[str] = field(default_factory=set)
 
     @classmethod
     def of(cls, state: dict | None) -> User:
         if not state:
             return cls()
-        names = [f.name for f in fields(Known)]
-        return cls(state["submissions"], state["last_at"], state["last_id"], {p["pattern_id"]: Known(**{n: p[n] for n in names}) for p in state["patterns"]})
+        known = {p["pattern_id"]: Known(**{n: p[n] for n in NAMES}) for p in state["patterns"]}
+        return cls(state["submissions"], state["last_at"], state["last_id"], known, {p for p, k in known.items() if k.scattered()})
+
+    def detected(self, pattern: str, at: int, conf: float | None) -> None:
+        known = self.patterns.setdefault(pattern, Known())
+        known.detected(at, conf)
+        self.scattered.add(pattern) if known.scattered() else self.scattered.discard(pattern)
 
     def state(self) -> dict:
-        return {"submissions": self.submissions, "last_at": self.last_at, "last_id": self.last_id, "patterns": [{"pattern_id": p, **asdict(k)} for p, k in sorted(self.patterns.items())]}
+        return {"submissions": self.submissions, "last_at": self.last_at, "last_id": self.last_id, "patterns": [{"pattern_id": p, **{n: getattr(k, n) for n in NAMES}} for p, k in sorted(self.patterns.items())]}
 
 
 def strength(miss: float, recency: float, penalty: float, places: int | None) -> float:
@@ -109,7 +119,7 @@ def found_gaps(user: User, row: dict, strongest: dict[str, float], places: int |
         return {}
     weak = {p: (gaps.LOW - c) / gaps.LOW for p, c in strongest.items() if c < gaps.LOW}
     if user.submissions >= 2:
-        weak = {p: 0.3 for p, k in user.patterns.items() if k.scattered()} | weak
+        weak = dict.fromkeys(user.scattered, 0.3) | weak
     missing = {p for p in row["unmatched"] or [] if p and strongest.get(p, 0.0) <= 0.0}
     out = {}
     for p in sorted(missing | weak.keys()):
@@ -138,11 +148,11 @@ def drift(result: str, results: list[str]) -> float:
     return 1.0
 
 
-def submit(user: User, row: dict, places: int | None, histories: bool) -> list[dict]:
-    """Takes one submission into a user's state: the changes of its candidate patterns, in order."""
+def submit(user: User, row: dict, places: int | None, histories: bool, told: bool = True) -> list[dict]:
+    """Takes one submission into a user's state: the changes of its candidate patterns, in order (none unless ``told``)."""
     user.submissions, user.last_at, user.last_id = user.submissions + 1, row["at"], row["id"]
     if row["detected_pattern"]:
-        user.patterns.setdefault(row["detected_pattern"], Known()).detected(row["at"], row["detected_confidence"])
+        user.detected(row["detected_pattern"], row["at"], row["detected_confidence"])
     strongest: dict[str, float] = {}
     last: dict[str, float] = {}
     for d in row["detections"] or []:
@@ -168,6 +178,8 @@ def submit(user: User, row: dict, places: int | None, histories: bool) -> list[d
         k.rated, k.results = k.rated + 1, [*k.results, result][-5:]
         if p in found:
             k.strength, k.frequency, k.last_seen = gap, found[p]["frequency"], row["at"]
+        if not told:
+            continue
         none = {"gap_strength": None, "frequency": None, "recency_score": None, "confidence_penalty": None}
         out.append({
             "place": place, "pattern_id": p, **found.get(p, none), "old_elo": shown(old, 2), "new_elo": k.elo, "delta": shown(k.elo - old, 2),
@@ -193,8 +205,8 @@ def analysed(submissions: DataFrame) -> DataFrame:
     )
 
 
-def replay(rows: DataFrame, start: DataFrame | None = None, places: int | None = 2, histories: bool = False) -> DataFrame:
-    """A row for each submission (user_id, id, at, updates) and one for each user's state after all (id null; state).
+def replay(rows: DataFrame, start: DataFrame | None = None, places: int | None = 2, histories: bool = False, told: bool = True) -> DataFrame:
+    """A row for each submission (user_id, id, at, updates) and one for each user's state after all (id null; state); only the latter unless ``told``.
 
     rows: as ``analysed`` gives them. start: (user_id, state) to go on from; users without rows keep their state.
     ``histories``: K factors and scores heed how often and how a pattern was rated before, as the rating rules
@@ -218,8 +230,10 @@ def replay(rows: DataFrame, start: DataFrame | None = None, places: int | None =
                     key, user = (row["user_id"],), User()
                 if row["state"] is not None:
                     user = User.of(row["state"])
-                else:
+                elif told:
                     held.append({"user_id": key[0], "id": row["id"], "at": row["at"], "updates": submit(user, row, places, histories), "state": None})
+                else:
+                    submit(user, row, places, histories, told=False)
             yield pa.RecordBatch.from_pylist(held, shape)
             held = []
         if user is not None:

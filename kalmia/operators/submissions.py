@@ -114,7 +114,7 @@ def persist(new: DataFrame, problems: DataFrame, root: str, batch: int, places:
             states = states.unionByName(based.select("user_id", "base.state"))
             profiles = profiles.unionByName(based.select("user_id", F.explode("base.profiles").alias("p")).select("user_id", "p.*"))
             streaks = streaks.unionByName(based.select("user_id", "base.streak.*"))
-    after = written(interleaved.states(interleaved.replay(interleaved.analysed(came), states, places)).join(users, "user_id", "left_semi"))
+    after = written(interleaved.states(interleaved.replay(interleaved.analysed(came), states, places, told=False)).join(users, "user_id", "left_semi"))
     numbered = windows.attempts(came)
     if attempts is not None:
         before = attempts.select("user_id", "problem_id", F.col("attempts").alias("_before"))

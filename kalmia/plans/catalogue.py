@@ -480,7 +480,7 @@ SELECT user_id, pattern_id, round(elo, 6) AS elo, step AS updates FROM fold QUAL
 
 
 def replayed(t: Tables, histories: bool = False) -> DataFrame:
-    return interleaved.states(interleaved.replay(interleaved.analysed(t.submissions), places=None, histories=histories))
+    return interleaved.states(interleaved.replay(interleaved.analysed(t.submissions), places=None, histories=histories, told=False))
 
 
 @query(RATED_SQL.format(drift="1", k="k"))

@@ -132,3 +132,10 @@ def test_partitions_and_empty_tables(spark):
     assert state_of(interleaved.states(interleaved.replay(rows.repartition(9)))) == state_of(interleaved.states(interleaved.replay(rows.coalesce(1))))
     assert interleaved.replay(rows.limit(0)).count() == 0
     assert interleaved.updates(interleaved.replay(rows.filter("id = 3").withColumn("detections", F.lit(None).cast("array<struct<pattern_id:string,confidence:double>>")))).count() >= 1
+
+
+def test_states_alone(spark):
+    rows = spark.createDataFrame([(u, i, i * 10**9, "ab"[i % 2], i % 7 / 10, None, ["c"], "NO_MATCH") for u in (1, 2) for i in range(20)], SCHEMA)
+    alone = interleaved.replay(rows, told=False)
+    assert alone.count() == 2 and interleaved.updates(alone).count() == 0
+    assert sorted(interleaved.states(alone).collect()) == sorted(interleaved.states(interleaved.replay(rows)).collect())
