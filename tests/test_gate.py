@@ -60,3 +60,13 @@ def test_stored_keys_are_not_shuffled_before_the_filter(spark):
     assert "BroadcastNestedLoopJoin" in plan and "Range (0, 1000000" in plan
     stored_side = plan[: plan.index("Range (0, 1000000")].rsplit("BroadcastNestedLoopJoin", 1)[1]
     assert "Exchange hashpartitioning" not in stored_side
+
+
+def test_a_stored_row_meets_one_bitmap_of_a_large_filter(spark):
+    keys = spark.range(100_000).select((F.col("id") * 3).alias("k"))
+    stored = spark.range(300_000).select(F.col("id").alias("k"))
+    left = gate.pruned(stored, keys)
+    got = {r["k"] for r in left.collect()}
+    assert set(range(0, 300_000, 3)) <= got and len(got) < 100_000 + 2_000
+    plan = left._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "NestedLoop" not in plan and "Exchange hashpartitioning" not in plan[: plan.index("Range (0, 300000")]
