@@ -71,12 +71,16 @@ class Known:
         return math.sqrt(max(0.0, self.squares / self.known - mean * mean)) > SPREAD + NOISE
 
     def confident(self) -> bool:
-        return bool(self.conf) and all(c is not None and c >= gaps.LOW for c in self.conf)
+        for c in self.conf:
+            if c is None or c < gaps.LOW:
+                return False
+        return bool(self.conf)
 
     def recency(self, now: int) -> float:
-        n = len(self.at)
-        parts = [max(0.0, 1.0 - (now - t) / 3.6e9 / gaps.HORIZON_HOURS) * (i + 1) / n for i, t in enumerate(self.at)]
-        return min(sum(parts) / max(n, 1), 1.0)
+        if not (n := len(self.at)):
+            return 0.0
+        weights = [1.0 - (now - t) / 3.6e9 / gaps.HORIZON_HOURS for t in self.at]
+        return min(sum([w * i / n for i, w in enumerate(weights, 1) if w > 0.0]) / n, 1.0)
 
 
 NAMES = tuple(f.name for f in fields(Known))
@@ -98,8 +102,14 @@ class User:
         known = {p["pattern_id"]: Known(**{n: p[n] for n in NAMES}) for p in state["patterns"]}
         return cls(state["submissions"], state["last_at"], state["last_id"], known, {p for p, k in known.items() if k.scattered()})
 
+    def known(self, pattern: str) -> Known:
+        """What is known of a pattern, from now on at least nothing."""
+        if (found := self.patterns.get(pattern)) is None:
+            found = self.patterns[pattern] = Known()
+        return found
+
     def detected(self, pattern: str, at: int, conf: float | None) -> None:
-        known = self.patterns.setdefault(pattern, Known())
+        known = self.known(pattern)
         known.detected(at, conf)
         self.scattered.add(pattern) if known.scattered() else self.scattered.discard(pattern)
 
@@ -121,12 +131,12 @@ def found_gaps(user: User, row: dict, strongest: dict[str, float], places: int |
     if user.submissions >= 2:
         weak = dict.fromkeys(user.scattered, 0.3) | weak
     missing = {p for p in row["unmatched"] or [] if p and strongest.get(p, 0.0) <= 0.0}
-    out = {}
+    out, nothing, submissions = {}, Known(), max(user.submissions, 1)
     for p in sorted(missing | weak.keys()):
-        k = user.patterns.get(p, Known())
+        k = user.patterns.get(p, nothing)
         if k.confident():
             continue
-        miss, recency = min(k.seen / max(user.submissions, 1), 1.0), k.recency(row["at"])
+        miss, recency = min(k.seen / submissions, 1.0), k.recency(row["at"])
         penalty = weak.get(p, 0.0) or (0.5 if p in missing else 0.0)
         s = strength(miss, recency, penalty, places)
         if s >= gaps.LEAST:
@@ -166,7 +176,7 @@ def submit(user: User, row: dict, places: int | None, histories: bool, told: boo
     shown = (lambda x, n: x) if places is None else round
     out = []
     for place, p in enumerate(dict.fromkeys(x for x in (*found, *last, *(row["unmatched"] or [])) if x) or ["default"]):
-        k, gap, conf = user.patterns.setdefault(p, Known()), found.get(p, {}).get("gap_strength", 0.0), last.get(p, 0.0)
+        k, gap, conf = user.known(p), found[p]["gap_strength"] if p in found else 0.0, last.get(p, 0.0)
         score = max(0.0, base - 0.3) if gap > 0.6 else max(0.0, base - 0.15) if gap > 0.3 else base
         score = max(score, 0.2) if conf > 0.0 and base < 0.5 else score
         if histories:

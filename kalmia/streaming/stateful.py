@@ -6,8 +6,8 @@ never writes again what still waits. Rows later than the watermark are left out
 
 * ``topic_profiles``: a user's profiles by topic, as one value, which the taxonomy bounds: a call to the store
   costs more than the few profiles that it brings.
-* ``pattern_ratings``: the interleaved fold: a user's counters as one value, patterns as a map, of which a
-  batch writes the entries that changed.
+* ``pattern_ratings``: the interleaved fold: a user's counters and patterns, which the taxonomy bounds too, as
+  one value for the same reason: each batch reads all of a user's patterns anyhow.
 * ``daily_streaks``: a user's days as runs, in two maps (first day to last, last day to first), so that a day
   joins its neighbours' runs in any order of arrival: a late day that closes a gap makes two runs one. A batch
   reads the runs in one call and writes those that changed.
@@ -37,7 +37,8 @@ from kalmia.streaming import folds
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-RATING = "user_id long, pattern_id string, elo double, updates long, gap_strength double, frequency long, last_seen timestamp"
+#: A moment as microseconds: a frame of its own for each user makes conversions of times and nested values dear.
+RATING = "user_id long, pattern_id string, elo double, updates long, gap_strength double, frequency long, last_seen_us long"
 
 
 @contextmanager
@@ -69,12 +70,15 @@ class _Ordered(StatefulProcessor):
     def fold(self, key: tuple, rows: list[dict]) -> list[dict]:
         raise NotImplementedError
 
+    def read(self, batch: pd.DataFrame) -> list[dict]:
+        return json.loads(batch.drop(columns=["submitted_at"], errors="ignore").to_json(orient="records"))
+
     def _out(self, key: tuple, rows: list[dict]) -> Iterator[pd.DataFrame]:
         if rows:
             yield pd.DataFrame(self.fold(key, sorted(rows, key=lambda r: (r["at_us"], r["id"]))))
 
     def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803 - Spark's names
-        came = [r for batch in rows for r in json.loads(batch.drop(columns=["submitted_at"], errors="ignore").to_json(orient="records"))]
+        came = [r for batch in rows for r in self.read(batch)]
         if not self.waits:
             yield from self._out(key, came)
             return
@@ -132,25 +136,24 @@ class _Ratings(_Ordered):
         self.places, self.histories = places, histories
 
     def parts(self, handle):
-        self.user = handle.getValueState("user", "submissions long, last_at long, last_id long", self.ttl)
-        self.patterns = handle.getMapState("patterns", "pattern_id string", "body string", self.ttl)
+        self.user = handle.getValueState("user", "submissions long, last_at long, last_id long, patterns string", self.ttl)
+
+    def read(self, batch):
+        return [json.loads(body) for body in batch["body"]]
 
     def fold(self, key, rows):
-        names = ("submissions", "last_at", "last_id")
-        told = dict(zip(names, self.user.get(), strict=True)) if self.user.exists() else dict.fromkeys(names) | {"submissions": 0}
-        user = interleaved.User.of(told | {"patterns": [{"pattern_id": p[0], **json.loads(body[0])} for p, body in self.patterns.iterator()]})
-        touched: dict[str, None] = {}
+        names = ("submissions", "last_at", "last_id", "patterns")
+        told = dict(zip(names, self.user.get(), strict=True)) if self.user.exists() else None
+        user = interleaved.User.of(told and told | {"patterns": json.loads(told["patterns"])})
+        before = {p: (k.seen, k.rated) for p, k in user.patterns.items()}
         for r in rows:
-            touched |= dict.fromkeys(u["pattern_id"] for u in interleaved.submit(user, r | {"at": r["at_us"]}, self.places, self.histories))
-            touched |= {r["detected_pattern"]: None} if r["detected_pattern"] else {}
-        self.user.update((user.submissions, user.last_at, user.last_id))
+            interleaved.submit(user, r | {"at": r["at_us"]}, self.places, self.histories, told=False)
+        after = user.state()
+        self.user.update((*(after[n] for n in names[:3]), json.dumps(after["patterns"])))
         out = []
-        for p, state in ((x["pattern_id"], x) for x in user.state()["patterns"]):
-            if p in touched:
-                self.patterns.updateValue((p,), (json.dumps({k: v for k, v in state.items() if k != "pattern_id"}),))
-                if state["elo"] is not None:
-                    seen = None if state["last_seen"] is None else pd.Timestamp(state["last_seen"], unit="us")
-                    out.append({"user_id": key[0], "pattern_id": p, "elo": state["elo"], "updates": state["rated"], "gap_strength": state["strength"], "frequency": state["frequency"], "last_seen": seen})
+        for state in after["patterns"]:
+            if before.get(p := state["pattern_id"]) != (state["seen"], state["rated"]) and state["elo"] is not None:
+                out.append({"user_id": key[0], "pattern_id": p, "elo": state["elo"], "updates": state["rated"], "gap_strength": state["strength"], "frequency": state["frequency"], "last_seen_us": state["last_seen"]})
         return out
 
 
@@ -223,8 +226,11 @@ def topic_profiles(stream: DataFrame, late: str | None = None, ttl: int | None =
 
 def pattern_ratings(stream: DataFrame, late: str | None = None, places: int | None = 2, histories: bool = False, ttl: int | None = None) -> DataFrame:
     """Ratings and latest gap signals of the patterns that a micro-batch changed. stream: submissions as ``interleaved.analysed`` takes them."""
-    rows = interleaved.analysed(stream).withColumnRenamed("at", "at_us").withColumn("submitted_at", F.timestamp_micros("at_us"))
-    return _keyed(rows, ("user_id",), lambda waits: _Ratings(waits, ttl, places, histories), RATING, late)
+    rows = interleaved.analysed(stream).withColumnRenamed("at", "at_us")
+    body = F.to_json(F.struct(*[c for c in rows.columns if c != "user_id"]), {"ignoreNullFields": "false"}).alias("body")
+    ready = rows.select("user_id", body, *([F.timestamp_micros("at_us").alias("submitted_at")] if late else []))
+    out = _keyed(ready, ("user_id",), lambda waits: _Ratings(waits, ttl, places, histories), RATING, late)
+    return out.withColumn("last_seen", F.timestamp_micros("last_seen_us")).drop("last_seen_us")
 
 
 def daily_streaks(stream: DataFrame, ttl: int | None = None) -> DataFrame:

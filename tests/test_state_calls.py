@@ -1,6 +1,7 @@
 """Calls to the state store: each costs a round trip to the JVM, so they mustn't grow with a user's days or topics."""
 
 import datetime
+import json
 import random
 
 import pandas as pd
@@ -78,3 +79,17 @@ def test_profiles_call_the_store_thrice():
         out = pd.concat(p.handleInputRows((7,), iter([pd.DataFrame(rows)]), None))
         assert handle.counted[0] <= 3
         assert out["attempt_count"].tolist() == [2 * n] * 11
+
+
+def test_ratings_call_the_store_thrice():
+    handle, p = Handle(), stateful._Ratings(False, None, None, False)
+    p.init(handle)
+    for n in (1, 2):
+        rows = [
+            {"user_id": 7, "id": 100 * n + i, "at_us": 10**15 + n * 10**9 + i, "detected_pattern": t, "detected_confidence": 0.5, "detections": [{"pattern_id": t, "confidence": 0.5}], "unmatched": ["z"], "match_result": "NO_MATCH"}
+            for i, t in enumerate("abcdefghij"[: 12 - 2 * n])
+        ]
+        handle.counted[0] = 0
+        out = pd.concat(p.handleInputRows((7,), iter([pd.DataFrame({"body": [json.dumps(r) for r in rows]})]), None))
+        assert handle.counted[0] <= 3
+        assert dict(zip(out["pattern_id"], out["updates"], strict=True)) == {**dict.fromkeys("abcdefghij"[: 12 - 2 * n], n), "z": 10 if n == 1 else 18}
