@@ -745,8 +745,8 @@ best AS (SELECT r.user_id, r.topic, r.rn, r.level, p.id AS problem_id, p.primary
 options AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY rn) AS place FROM best WHERE pick = 1)"""
 
 
-def weak(t: Tables, k: int = 33) -> DataFrame:
-    return recommend.weakest_topics(profiles(t), t.problems.select(F.col("primary_pattern").alias("topic")).distinct(), k)
+def weak(t: Tables, k: int = 33, known: DataFrame | None = None) -> DataFrame:
+    return recommend.weakest_topics(profiles(t) if known is None else known, t.problems.select(F.col("primary_pattern").alias("topic")).distinct(), k)
 
 
 def options(t: Tables) -> DataFrame:
@@ -860,18 +860,30 @@ def recommendation_strategy(t: Tables) -> DataFrame:
     return recommend.strategy(ranked, t.submissions.groupBy("user_id").agg(F.count("*").alias("total")))
 
 
+class _Once(Tables):
+    """Tables for queries that read submissions many times: joined with the bank once, then written."""
+
+    @functools.cached_property
+    def submissions(self) -> DataFrame:
+        return written(super().submissions)
+
+
 @query()  # ten exits with texts: tests hold it against a plain decision ladder
 def gated_recommendation(t: Tables) -> DataFrame:
+    """What several branches read is written once: submissions, profiles, the topics' problems and the rows (one a user) so far."""
+    t = _Once(t.spark, t.sf_dir)
     subs, bank_ = t.submissions, bank_of(t)
     last = leveled(t).withColumn("rn", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("submitted_at"), F.desc("id")))).filter("rn = 1")
     last = last.select("user_id", F.col("problem_id").alias("current_id"), "verdict", F.col("gap_identified").alias("gap_detected"), F.col("detected_confidence").alias("confidence"), F.coalesce("detected_pattern", "topic").alias("topic"), "difficulty")
-    prof = profiles(t).select("user_id", "topic", "elo_rating", "recent_failures")
+    known = written(profiles(t))
+    prof = known.select("user_id", "topic", "elo_rating", "recent_failures")
     locks = windows.latest(subs, ["user_id", "topic"], 3).groupBy("user_id", "topic").agg(((F.count("*") == 3) & F.bool_and(F.col("verdict") == "pass")).alias("locked_pass"))
     runs = windows.leading_run(subs, ["user_id", "topic"], F.col("verdict") == "pass")
     rows = last.join(prof, ["user_id", "topic"], "left").join(locks, ["user_id", "topic"], "left").join(runs, ["user_id", "topic"], "left").join(diversity_check(t), "user_id", "left")
-    rows = rows.withColumn("user_difficulty", R.difficulty_for(F.coalesce("elo_rating", F.lit(R.START))))
-    open_topics = recommend.topic_problems(bank_, t.pattern_dim.select(F.col("pattern_id").alias("topic")))
-    current = last.select("user_id", F.col("current_id").alias("id"))
+    rows = written(rows.withColumn("user_difficulty", R.difficulty_for(F.coalesce("elo_rating", F.lit(R.START)))))
+    # Profiles' topics are patterns of this dimension too, so the turn below picks from the same problems.
+    open_topics = written(recommend.topic_problems(bank_, t.pattern_dim.select(F.col("pattern_id").alias("topic"))))
+    current = rows.select("user_id", F.col("current_id").alias("id"))
     levels = ("Easy", "Medium", "Hard")
     wanted = rows.select("user_id", "topic", F.explode(F.array(*map(F.lit, levels))).alias("difficulty"))
     best = recommend.ranked_unsolved(wanted, open_topics, subs, current).groupBy("user_id", "topic").agg(*[F.max(F.when(F.col("difficulty") == d, F.col("problem_id"))).alias(f"best_{d}") for d in levels])
@@ -880,10 +892,11 @@ def gated_recommendation(t: Tables) -> DataFrame:
     rows = rows.withColumns({
         "problem_pass": at(R.moved(F.col("difficulty"), F.lit(1))), "problem_fail": at(R.moved(F.col("difficulty"), F.lit(-1))), "problem_user": at(F.col("user_difficulty")),
     })
-    turn = recommend.rotate_topic(rows.select("user_id", F.col("topic").alias("current_topic")), options(t)).select("user_id", "new_topic")
+    choices = recommend.rotation(weak(t, known=known), open_topics, subs)
+    turn = recommend.rotate_topic(rows.select("user_id", F.col("topic").alias("current_topic")), choices).select("user_id", "new_topic")
     rows = rows.join(turn, "user_id", "left")
     new_level = prof.select("user_id", F.col("topic").alias("new_topic"), R.difficulty_for(F.col("elo_rating")).alias("new_difficulty"))
-    rows = rows.join(new_level, ["user_id", "new_topic"], "left").withColumn("new_difficulty", F.coalesce("new_difficulty", F.lit("Easy")))
+    rows = written(rows.join(new_level, ["user_id", "new_topic"], "left").withColumn("new_difficulty", F.coalesce("new_difficulty", F.lit("Easy"))))
     new_problem = recommend.ranked_unsolved(rows.select("user_id", F.col("new_topic").alias("topic"), F.col("new_difficulty").alias("difficulty")), open_topics, subs).select("user_id", F.col("topic").alias("new_topic"), F.col("problem_id").alias("new_problem_id"))
     rows = rows.join(new_problem, ["user_id", "new_topic"], "left")
     no = F.lit(False)
