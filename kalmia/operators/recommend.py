@@ -126,7 +126,7 @@ def rotate_topic(current: DataFrame, options: DataFrame) -> DataFrame:
 
 
 def learning_gain(score: Column, unsolved_: Column) -> Column:
-    return F.round(F.least(F.lit(1.0), score * 0.7 + F.when(unsolved_, 0.2).otherwise(0.0)), 4)
+    return R.rounded(F.least(F.lit(1.0), score * 0.7 + F.when(unsolved_, 0.2).otherwise(0.0)), 4)
 
 
 def weak_score(gap: Column, elo: Column) -> Column:

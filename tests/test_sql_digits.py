@@ -37,3 +37,12 @@ def test_means_of_changes(spark):
     values = ", ".join(f"({u}, {i}, {d}::DOUBLE)" for u, i, _, d in rows)
     sql = duckdb.sql(f"SELECT u, round(avg(d ORDER BY d, i DESC), 5) FROM (VALUES {values}) v(u, i, d) GROUP BY u").fetchall()
     assert got == dict(sql)
+
+
+def test_learning_gains(spark):
+    from kalmia.operators import recommend
+
+    rows = spark.range(20_000).select((F.col("id") / 20_000).alias("x"), (F.col("id") % 2 == 0).alias("open"))
+    got = [r["y"] for r in rows.select(recommend.learning_gain(F.col("x"), F.col("open")).alias("y")).collect()]
+    sql = duckdb.sql("SELECT round(least(1, (i / 20000) * 0.7 + CASE WHEN i % 2 = 0 THEN 0.2 ELSE 0 END), 4) FROM range(20000) r(i) ORDER BY i").fetchall()
+    assert got == [r[0] for r in sql]
