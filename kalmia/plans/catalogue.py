@@ -539,7 +539,7 @@ def match_signals(t: Tables) -> DataFrame:
 
 @query(STATS_SQL + " SELECT user_id, pattern_id, frequency, round(recency, 6) AS recency, round(spread, 6) AS spread, all_confident FROM st")
 def gap_history(t: Tables) -> DataFrame:
-    return gaps.history_stats(t.submissions, F.lit(AS_OF).cast("timestamp")).select("user_id", "pattern_id", "frequency", r6("recency").alias("recency"), r6("spread").alias("spread"), "all_confident")
+    return gaps.history_stats(t.submissions, F.lit(AS_OF).cast("timestamp")).select("user_id", "pattern_id", "frequency", R.rounded(F.col("recency"), 6).alias("recency"), r6("spread").alias("spread"), "all_confident")
 
 
 @query(STATS_SQL + " SELECT user_id, pattern_id, round(spread, 6) AS spread FROM st JOIN tot USING (user_id) WHERE frequency >= 2 AND total >= 2 AND spread > 0.2")

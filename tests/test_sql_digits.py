@@ -46,3 +46,18 @@ def test_learning_gains(spark):
     got = [r["y"] for r in rows.select(recommend.learning_gain(F.col("x"), F.col("open")).alias("y")).collect()]
     sql = duckdb.sql("SELECT round(least(1, (i / 20000) * 0.7 + CASE WHEN i % 2 = 0 THEN 0.2 ELSE 0 END), 4) FROM range(20000) r(i) ORDER BY i").fetchall()
     assert got == [r[0] for r in sql]
+
+
+def test_recency_halves(spark, tmp_path):
+    from kalmia.plans import catalogue
+
+    con = duckdb.connect()
+    event = "i AS event_id, TIMESTAMP '2024-01-31 00:00:00' - to_seconds(162 * (2 * i + 1)) AS ts, i AS user_id, 'view' AS event_type, 50.0::DOUBLE AS value, '{}' AS props FROM range(4000) r(i)"
+    part = "i + 1 AS p_partkey, 'n' AS p_name, 't' AS p_type, 'b' AS p_brand, 1 AS p_size, 1.0::DOUBLE AS p_retailprice FROM range(150) r(i)"
+    for name, rows in {"events": event, "part": part}.items():
+        con.execute(f"COPY (SELECT {rows}) TO '{tmp_path}/{name}.parquet'")
+        con.execute(f"CREATE VIEW {name} AS FROM '{tmp_path}/{name}.parquet'")
+    got = {(r["user_id"], r["pattern_id"]): r["recency"] for r in catalogue.QUERIES["gap_history"](spark, str(tmp_path)).collect()}
+    sql = con.execute(f"SELECT user_id, pattern_id, recency FROM ({catalogue.ORACLE_SQL['gap_history']})").fetchall()
+    assert got == {(u, p): r for u, p, r in sql}
+    assert len(got) == 4000
