@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kalmia.operators import gate, interleaved, ratings, recommend, windows
-from kalmia.runtime import written
+from kalmia.runtime import measured_broadcasts, written
 from kalmia.sources import serving
 
 KEYS = serving.KEYS
@@ -82,6 +82,11 @@ def persist(new: DataFrame, problems: DataFrame, root: str, batch: int, places:
     quarantine table instead. Ids that are there already are left out. If anything
     fails nothing is published; a batch may run again.
     """
+    with measured_broadcasts(new.sparkSession):
+        _persist(new, problems, root, batch, places)
+
+
+def _persist(new: DataFrame, problems: DataFrame, root: str, batch: int, places: int | None) -> None:
     spark = new.sparkSession
     came, held = gate.gate(once(new), "submissions", parents={"problem_id": problems.select("id")})
     users = came.select("user_id").distinct()

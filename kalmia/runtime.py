@@ -6,11 +6,15 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+#: Bytes up to which a join's side goes to all tasks: as estimated before anything runs, and as measured once its shuffle is written.
+ESTIMATED, MEASURED = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
 
 
 def is_local(spark: SparkSession) -> bool:
@@ -57,6 +61,24 @@ def forget_at_exit(spark: SparkSession, path: str) -> None:
     atexit.register(forget, spark, path)
 
 
+@contextmanager
+def measured_broadcasts(spark: SparkSession) -> Iterator[None]:
+    """Joins that run in here send a side to all tasks by its measured size only, or where a hint says so; the session's settings come back.
+
+    A side is estimated by its files' compressed bytes, a fraction of what the driver must hold to send it: 10 MB of ids
+    and names are a relation of some 250 MB.
+    """
+    before = {k: spark.conf.get(k, None) for k in (ESTIMATED, MEASURED)}
+    if before[MEASURED] is None:
+        spark.conf.set(MEASURED, spark.conf.get(ESTIMATED))
+    spark.conf.set(ESTIMATED, "-1")
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df``, written once to the shared folder and read from there; it goes when the driver ends."""
     path = f"{shared_dir(df.sparkSession)}/kalmia/{uuid.uuid4().hex}"

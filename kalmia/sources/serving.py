@@ -27,6 +27,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kalmia.runtime import measured_broadcasts, written
+
 #: The tables of the learning service and their keys.
 KEYS = {
     "submissions": ["id"], "topic_profiles": ["user_id", "topic"], "gap_signals": ["user_id", "pattern_id"], "user_pattern_elo": ["user_id", "pattern_id"],
@@ -166,7 +168,7 @@ def publish(tables: dict[str, DataFrame], root: str, batch: int, gone: dict[str,
         return table
 
     names = list(dict.fromkeys([*tables, *gone]))
-    with ThreadPoolExecutor(AT_ONCE) as pool:  # small tables don't wait for large ones
+    with measured_broadcasts(spark), ThreadPoolExecutor(AT_ONCE) as pool:  # small tables don't wait for large ones
         now["tables"] |= dict(zip(names, pool.map(changed, names), strict=True))
     put(spark, f"{root}/manifests/{batch}.json", json.dumps(now))
 
@@ -217,10 +219,12 @@ def delete_owners(spark: SparkSession, owners: DataFrame, root: str, batch: int)
     """Deletes owners (a table with ``OWNER``) from all tables that have them, in one batch."""
     now = manifest(spark, root, before=batch)
     gone = {}
-    for name, table in (now or {"tables": {}})["tables"].items():
-        if table["by"] == [OWNER]:
-            gone[name] = published(spark, root, name, before=batch, only=owners).select(*dict.fromkeys([*table["keys"], OWNER]))
-    publish({}, root, batch, gone)
+    with measured_broadcasts(spark):
+        lost = written(owners.select(OWNER).distinct())  # every table looks them up
+        for name, table in (now or {"tables": {}})["tables"].items():
+            if table["by"] == [OWNER]:
+                gone[name] = published(spark, root, name, before=batch, only=lost).select(*dict.fromkeys([*table["keys"], OWNER]))
+        publish({}, root, batch, gone)
 
 
 def delete_problems(spark: SparkSession, problems: DataFrame, root: str, batch: int, cascade: bool = True) -> None:
